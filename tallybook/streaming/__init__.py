@@ -1,0 +1 @@
+"""Intentionally empty: every valuation statement is a batch query over whole ledgers."""
