@@ -136,6 +136,11 @@ def number(value: str) -> str:
     return f"case when {value} is not null then coalesce({leading}, 0.0) end"
 
 
+def digits(value: str) -> str:
+    """A figure from powers or means of doubles, to the digits both engines agree on."""
+    return f"cast(printf('%.12e', {value}) as double)"
+
+
 def _chain(*extra: str) -> str:
     parts = [LEDGER, FIGURES.format(ke=COST_OF_EQUITY), *extra]
     return "with " + ",".join(p.strip("\n") for p in parts)
@@ -216,16 +221,18 @@ def oracle_sql() -> dict[str, str]:
             f"{suffix}fcf_projection": f"{chain} select y as year, final as fcf_final, "
             "projected as fcf_projected from projection",
             f"{suffix}pv_fcf": f"{chain} select y as year, final as fcf_final, g as growth, "
-            "pv as present_value_fcf from priced",
+            f"{digits('pv')} as present_value_fcf from priced",
             f"{suffix}terminal_value": f"{chain} select y as year, projected as fcf_projected, "
-            "g as growth, r as wacc, terminal as terminal_value from priced",
-            f"{suffix}pv_terminal_value": f"{chain} select y as year, terminal as terminal_value, "
-            "r as wacc, pv_terminal as present_value_terminal_value from priced",
+            f"g as growth, r as wacc, {digits('terminal')} as terminal_value from priced",
+            f"{suffix}pv_terminal_value": f"{chain} select y as year, r as wacc, "
+            f"{digits('terminal')} as terminal_value, "
+            f"{digits('pv_terminal')} as present_value_terminal_value from priced",
         }
 
     report_values = (
-        "g as growth, pv as present_value_fcf, terminal as terminal_value, "
-        "pv_terminal as present_value_terminal_value"
+        f"g as growth, {digits('pv')} as present_value_fcf, "
+        f"{digits('terminal')} as terminal_value, "
+        f"{digits('pv_terminal')} as present_value_terminal_value"
     )
     rated = """
       (select f.y, cast(f.fcf as double) as fcf, w.r, m.g
@@ -233,6 +240,7 @@ def oracle_sql() -> dict[str, str]:
     flows = " + ".join(
         f"fcf * pow(1 + g, {k}) / nullif(pow(1 + r, {k}), 0)" for k in (1, 2, 3)
     )
+    discounted = f"fcf / nullif(pow(1 + r, y - {BASE_YEAR} + 1), 0)"
     fair_terminal = "fcf * pow(1 + g, 3) * (1 + g) / nullif(r - g, 0) / nullif(pow(1 + r, 3), 0)"
 
     return {
@@ -298,7 +306,7 @@ def oracle_sql() -> dict[str, str]:
         "mean_growth_left": f"{base} select {mean}, "
         f"(select {text('avg(g)')} from gross_growth) as mean_growth",
         "mean_growth_inner": f"{base} select {mean}, "
-        "(select round(avg(g), 10) + 0.0 from gross_growth) as mean_growth",
+        f"(select {digits('avg(g)')} from gross_growth) as mean_growth",
         "mean_growth_1dp": f"{base} select (select max(y) from revenue) as year, "
         f"{text(last_revenue('net'))} as revenue, {clamp('g')} as mean_growth from mean_net",
         "annual_growth_1dp": f"{base} select y as year, {money('revenue', 'revenue')}, "
@@ -327,11 +335,11 @@ def oracle_sql() -> dict[str, str]:
         "coalesce(sum(credit - debit) filter (where class = 2), 0) as debts "
         "from classed where class in (1, 2) group by y)",
         "pv_fcf_wacc": f"{base} select y as year, fcf as free_cash_flow, r as wacc, "
-        f"fcf / nullif(pow(1 + r, y - {BASE_YEAR} + 1), 0) as present_value_fcf from {rated}",
+        f"{digits(discounted)} as present_value_fcf from {rated}",
         "terminal_value_mean_g": f"{base} select y as year, fcf as free_cash_flow, "
-        "g as mean_growth, r as wacc, fcf * (1 + g) / nullif(r - g, 0) as terminal_value "
-        f"from {rated}",
-        "fair_value": f"{base} select y as year, {flows} as present_value_fcf, "
-        f"{fair_terminal} as present_value_terminal, {flows} + {fair_terminal} as fair_value "
-        f"from {rated}",
+        f"{digits('g')} as mean_growth, r as wacc, "
+        f"{digits('fcf * (1 + g) / nullif(r - g, 0)')} as terminal_value from {rated}",
+        "fair_value": f"{base} select y as year, {digits(flows)} as present_value_fcf, "
+        f"{digits(fair_terminal)} as present_value_terminal, "
+        f"{digits(f'{flows} + {fair_terminal}')} as fair_value from {rated}",
     }

@@ -1,4 +1,4 @@
-"""Column helpers: id_ID number text, leading-number reading, guarded arithmetic."""
+"""SQL expressions for id_ID number text, leading-number reading and guarded arithmetic."""
 
 from tallybook.functions.money import (
     decimal_3_1,

@@ -1,65 +1,67 @@
-"""Money and ratio helpers, all built from Spark's own column functions."""
+"""Money and ratio helpers: each takes SQL expressions and returns a SQL expression.
 
-from __future__ import annotations
+Only Spark's own functions are used, so every figure stays inside generated code. Text rather than
+``Column`` objects, because a report is some dozens of expressions and parsing one is far cheaper
+than building it node by node from Python.
+"""
 
-from pyspark.sql import Column
-from pyspark.sql import functions as F
+from __future__ import annotations
 
 # Currency prefix, and the leading number a text is read as in arithmetic.
 CURRENCY_PREFIX = "Rp. "
 LEADING_NUMBER = r"^\s*([-+]?(?:[0-9]+[.]?[0-9]*|[.][0-9]+)(?:[eE][-+]?[0-9]+)?)"
 
 # Fixed value: the largest magnitude a DECIMAL(3,1) holds; larger ones saturate.
-DECIMAL_3_1_LIMIT = 99.9
+DECIMAL_3_1_LIMIT = "99.9D"
 
 
-def number_text(value: Column) -> Column:
+def number_text(value: str) -> str:
     """Two-decimal id_ID text: ``.`` groups thousands, ``,`` marks the decimals.
 
     ``format_number`` alone rounds half to even, so the value is rounded half away from zero first.
     """
-    return F.translate(F.format_number(F.round(value, 2), 2), ",.", ".,")
+    return f"translate(format_number(round({value}, 2), 2), ',.', '.,')"
 
 
-def rupiah_text(value: Column) -> Column:
+def rupiah_text(value: str) -> str:
     """``number_text`` with the currency prefix; NULL stays NULL."""
-    return F.concat(F.lit(CURRENCY_PREFIX), number_text(value))
+    return f"concat('{CURRENCY_PREFIX}', {number_text(value)})"
 
 
-def number_prefix(text: Column) -> Column:
+def number_prefix(text: str) -> str:
     """The number a text starts with, 0 if it starts with none, NULL for NULL.
 
     Id_ID text read this way stops at the first decimal comma or second group dot: ``1,25`` is 1
     and ``9.876.543,21`` is 9.876.
     """
-    digits = F.nullif(F.regexp_extract(text, LEADING_NUMBER, 1), F.lit(""))
-    return F.when(text.isNotNull(), F.coalesce(digits.cast("double"), F.lit(0.0)))
+    digits = f"regexp_extract({text}, r'{LEADING_NUMBER}', 1)"
+    return f"cast(regexp_replace({digits}, '^$', '0') as double)"
 
 
-def exact(value: Column) -> Column:
+def exact(value: str) -> str:
     """Carry a figure into the next formula as it is."""
-    return value.cast("double")
+    return f"cast({value} as double)"
 
 
-def through_text(value: Column) -> Column:
+def through_text(value: str) -> str:
     """Carry a figure into the next formula the legacy way: formatted, then read back."""
     return number_prefix(number_text(value))
 
 
-def divide(numerator: Column, denominator: Column) -> Column:
+def divide(numerator: str, denominator: str) -> str:
     """Double division; a zero denominator gives NULL."""
-    return F.try_divide(numerator.cast("double"), denominator.cast("double"))
+    return f"try_divide(cast({numerator} as double), cast({denominator} as double))"
 
 
-def power(base: Column, exponent: Column) -> Column:
+def power(base: str, exponent: str) -> str:
     """``base ** exponent``; zero to a negative power gives NULL."""
-    undefined = (base == 0) & (exponent < 0)
-    return F.when(~undefined, F.pow(base.cast("double"), exponent.cast("double")))
+    raised = f"pow(cast({base} as double), {exponent})"
+    return f"if(({base}) = 0 and ({exponent}) < 0, null, {raised})"
 
 
-def decimal_3_1(value: Column) -> Column:
+def decimal_3_1(value: str) -> str:
     """Round half away from zero to one decimal and saturate at the DECIMAL(3,1) limits."""
-    limit = F.lit(DECIMAL_3_1_LIMIT)
-    clamped = F.greatest(F.least(F.round(value, 1), limit), -limit)
+    limit = DECIMAL_3_1_LIMIT
+    clamped = f"greatest(least(round({value}, 1), {limit}), -{limit})"
     # least() and greatest() skip NULL, so an unknown rate has to be kept NULL explicitly.
-    return F.when(value.isNotNull(), clamped).cast("decimal(3,1)")
+    return f"cast(if({value} is null, null, {clamped}) as decimal(3,1))"

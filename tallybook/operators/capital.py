@@ -3,7 +3,6 @@
 from __future__ import annotations
 
 from pyspark.sql import DataFrame
-from pyspark.sql import functions as F
 
 from tallybook.operators import formulas
 from tallybook.plans import book_of, in_sections
@@ -15,29 +14,29 @@ Source = Ledger | DataFrame
 def equity_by_year(source: Source) -> DataFrame:
     """Equity postings per year: ``year, total_equity``."""
     book = book_of(source, "equity").where("has_equity")
-    return book.select("year", F.col("equity").alias("total_equity"))
+    return book.selectExpr("year", "equity as total_equity")
 
 
 def equity_from_balance(source: Source) -> DataFrame:
     """Assets less liabilities per year: ``year, total_assets, total_debt, equity``."""
     book = book_of(source, "balance").where("has_balance")
-    return book.select(
-        "year",
-        F.col("assets").alias("total_assets"),
-        F.col("liabilities").alias("total_debt"),
-        (F.col("assets") - F.col("liabilities")).alias("equity"),
+    return book.selectExpr(
+        "year", "assets as total_assets", "liabilities as total_debt", "assets - liabilities as equity"
     )
 
 
 def capital_structure(source: Source) -> DataFrame:
-    """Weights of equity and debt in firm value: ``year, equity_weight, debt_weight, firm_value``."""
+    """Weights of equity and debt in firm value: ``year, equity_weight, debt_weight, firm_value``.
+
+    The weights of a worthless firm are NULL.
+    """
     sections = formulas.FIRM_VALUE_SECTIONS
     book = book_of(source, *sections).where(in_sections(*sections))
-    return book.select(
+    return book.selectExpr(
         "year",
-        formulas.equity_weight().alias("equity_weight"),
-        formulas.debt_weight().alias("debt_weight"),
-        formulas.firm_value().alias("firm_value"),
+        f"{formulas.EQUITY_WEIGHT} as equity_weight",
+        f"{formulas.DEBT_WEIGHT} as debt_weight",
+        f"{formulas.FIRM_VALUE} as firm_value",
     )
 
 
@@ -47,18 +46,22 @@ def firm_value(source: Source) -> DataFrame:
 
 
 def equity_weight(source: Source) -> DataFrame:
-    """Equity over firm value, NULL for a worthless firm: ``year, equity_weight``."""
+    """Equity over firm value: ``year, equity_weight``."""
     return capital_structure(source).select("year", "equity_weight")
 
 
 def debt_weight(source: Source) -> DataFrame:
-    """Debt over firm value, NULL for a worthless firm: ``year, debt_weight``."""
+    """Debt over firm value: ``year, debt_weight``."""
     return capital_structure(source).select("year", "debt_weight")
 
 
 def wacc(
     source: Source, kind: str = "exact", cost_of_equity: float = formulas.COST_OF_EQUITY
 ) -> DataFrame:
-    """Weighted average cost of capital: ``year, wacc``; ``kind`` as in ``formulas.wacc``."""
+    """Weighted average cost of capital: ``year, wacc``.
+
+    ``kind`` is ``exact``, ``legacy`` (figures carried through text) or ``textbook`` (tax as a
+    rate; the others use the tax gap).
+    """
     book = book_of(source, *formulas.WACC_SECTIONS).where(formulas.has_wacc(kind))
-    return book.select("year", formulas.wacc(kind, cost_of_equity).alias("wacc"))
+    return book.selectExpr("year", f"{formulas.wacc(kind, cost_of_equity)} as wacc")

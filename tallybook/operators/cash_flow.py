@@ -2,17 +2,14 @@
 
 from __future__ import annotations
 
-from pyspark.sql import Column, DataFrame
-from pyspark.sql import functions as F
+from pyspark.sql import DataFrame
 
 from tallybook.operators import formulas
-from tallybook.plans import all_years, book_of, in_sections
+from tallybook.plans import book_of, in_sections, over_all_years
 from tallybook.sources import Ledger
 
 Source = Ledger | DataFrame
 
-FCF_SECTIONS = ("income", "expense", "components")
-
 
 def fcf_components(source: Source) -> DataFrame:
     """``year, depreciation_amortization, change_in_working_capital, capex``."""
@@ -26,21 +23,22 @@ def fcf_pooled_ebt(source: Source) -> DataFrame:
     ``year, total_revenue, total_expense, free_cash_flow``; revenue and expense are the same in
     every row.
     """
-
-    def pooled(figure: str) -> Column:
-        return F.sum(figure).over(all_years())
-
-    book = book_of(source, *FCF_SECTIONS).select(
-        "*",
-        (pooled("income_credit") - pooled("income_debit")).alias("total_revenue"),
-        (pooled("expense_debit") - pooled("expense_credit")).alias("total_expense"),
+    credit, debit = over_all_years("sum(income_credit)"), over_all_years("sum(income_debit)")
+    spent, refunded = over_all_years("sum(expense_debit)"), over_all_years("sum(expense_credit)")
+    book = book_of(source, *formulas.FCF_SECTIONS).selectExpr(
+        "year",
+        "has_components",
+        f"{credit} - {debit} as revenue",
+        f"{spent} - {refunded} as expense",
+        "depreciation_amortization",
+        "change_in_working_capital",
+        "capex",
     )
-    pooled_ebt = F.col("total_revenue") - F.col("total_expense")
-    return book.where("has_components").select(
+    return book.where("has_components").selectExpr(
         "year",
-        "total_revenue",
-        "total_expense",
-        formulas.free_cash_flow(pooled_ebt).alias("free_cash_flow"),
+        "revenue as total_revenue",
+        "expense as total_expense",
+        f"{formulas.FREE_CASH_FLOW} as free_cash_flow",
     )
 
 
@@ -49,29 +47,29 @@ def fcf_annual(source: Source) -> DataFrame:
 
     ``year, total_revenue, total_expense, ebt, free_cash_flow``.
     """
-    book = book_of(source, *FCF_SECTIONS).where(in_sections(*FCF_SECTIONS))
-    return _fcf_columns(book)
+    sections = formulas.FCF_SECTIONS
+    return _fcf_columns(book_of(source, *sections).where(in_sections(*sections)))
 
 
 def fcf_annual_left(source: Source) -> DataFrame:
     """As ``fcf_annual``, keeping years that lack revenue or expense with NULL figures."""
-    return _fcf_columns(fcf_rows(book_of(source, *FCF_SECTIONS)))
+    return _fcf_columns(fcf_rows(book_of(source, *formulas.FCF_SECTIONS)))
 
 
 def fcf_rows(book: DataFrame) -> DataFrame:
     """The years with components; revenue and expense only where they join on a year."""
-    known_year = F.col("year").isNotNull()
-    return book.where("has_components").withColumns(
-        {c: F.when(known_year, F.col(c)) for c in ("revenue", "expense")}
+    return book.where("has_components").selectExpr(
+        "* except (revenue, expense)",
+        "if(year is null, null, revenue) as revenue",
+        "if(year is null, null, expense) as expense",
     )
 
 
 def _fcf_columns(book: DataFrame) -> DataFrame:
-    ebt = formulas.earnings_before_tax()
-    return book.select(
+    return book.selectExpr(
         "year",
-        F.col("revenue").alias("total_revenue"),
-        F.col("expense").alias("total_expense"),
-        ebt.alias("ebt"),
-        formulas.free_cash_flow(ebt).alias("free_cash_flow"),
+        "revenue as total_revenue",
+        "expense as total_expense",
+        f"{formulas.EBT} as ebt",
+        f"{formulas.FREE_CASH_FLOW} as free_cash_flow",
     )

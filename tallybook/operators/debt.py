@@ -7,7 +7,7 @@ from pyspark.sql import functions as F
 
 from tallybook.functions import divide, number_text
 from tallybook.operators import formulas
-from tallybook.plans import all_years, book_of, debt_payments, in_sections
+from tallybook.plans import book_of, debt_payments, in_sections, over_all_years
 from tallybook.sources import Ledger
 
 Source = Ledger | DataFrame
@@ -15,10 +15,8 @@ Source = Ledger | DataFrame
 
 def _debt(source: Source, section: str) -> DataFrame:
     book = book_of(source, section, names=True).where(f"has_{section}")
-    return book.select(
-        "year",
-        F.col(f"{section}_name").alias("account_name"),
-        F.col(section).alias("total_debt"),
+    return book.selectExpr(
+        "year", f"{section}_name as account_name", f"{section} as total_debt"
     )
 
 
@@ -37,17 +35,18 @@ def debt_by_account_year(source: Source) -> DataFrame:
 
 def debt_single_account(ledger: Ledger, account_id: int) -> DataFrame:
     """Payments on one account by year of payment: ``year, account_name, total_debt``."""
+    payments = debt_payments(ledger, account_id=account_id, names=True)
     return (
-        debt_payments(ledger, account_id=account_id, names=True)
-        .groupBy(F.col("paid_year").alias("year"))
-        .agg(F.min("account_name").alias("account_name"), F.sum("amount").alias("total_debt"))
+        payments.selectExpr("paid_year as year", "account_name", "amount")
+        .groupBy("year")
+        .agg(F.expr("min(account_name) as account_name"), F.expr("sum(amount) as total_debt"))
     )
 
 
 def interest_by_entry_year(source: Source) -> DataFrame:
     """Interest postings by year of their journal entry: ``year, total_interest``."""
     book = book_of(source, "interest").where("has_interest")
-    return book.select("year", F.col("interest").alias("total_interest"))
+    return book.selectExpr("year", "interest as total_interest")
 
 
 def debt_interest_matrix(source: Source) -> DataFrame:
@@ -56,18 +55,18 @@ def debt_interest_matrix(source: Source) -> DataFrame:
     ``debt_year, account_name, total_debt, interest_year, total_interest``. The result itself is
     years × years; both sides are read off the year book, so its size does not depend on the ledger.
     """
-    interest_year = F.struct(
-        F.col("year").alias("interest_year"), F.col("interest").alias("total_interest")
-    )
-    book = book_of(source, "debt_paid", "interest", names=True).withColumn(
-        "interest_years",
-        F.collect_list(F.when(F.col("has_interest"), interest_year)).over(all_years()),
-    )
-    return book.where("has_debt_paid").select(
-        F.col("year").alias("debt_year"),
-        F.col("debt_paid_name").alias("account_name"),
-        F.col("debt_paid").alias("total_debt"),
-        F.inline("interest_years"),
+    interest_year = "struct(year as interest_year, interest as total_interest)"
+    interest_years = over_all_years(f"collect_list(if(has_interest, {interest_year}, null))")
+    book = book_of(source, "debt_paid", "interest", names=True)
+    return (
+        book.selectExpr("*", f"{interest_years} as interest_years")
+        .where("has_debt_paid")
+        .selectExpr(
+            "year as debt_year",
+            "debt_paid_name as account_name",
+            "debt_paid as total_debt",
+            "inline(interest_years)",
+        )
     )
 
 
@@ -76,12 +75,12 @@ def cost_of_debt_cross(source: Source) -> DataFrame:
 
     ``debt_year, interest_year, total_debt, total_interest, cost_of_debt``.
     """
-    return debt_interest_matrix(source).select(
+    return debt_interest_matrix(source).selectExpr(
         "debt_year",
         "interest_year",
         "total_debt",
         "total_interest",
-        divide(F.col("total_interest"), F.col("total_debt")).alias("cost_of_debt"),
+        f"{divide('total_interest', 'total_debt')} as cost_of_debt",
     )
 
 
@@ -91,13 +90,16 @@ def cost_of_debt(source: Source, mode: str = "exact") -> DataFrame:
     In ``legacy`` mode the figures are id_ID text, and the ratio is taken from that text.
     """
     sections = formulas.COST_OF_DEBT_SECTIONS
-    book = book_of(source, *sections).where(in_sections(*sections))
     ratio = formulas.cost_of_debt(formulas.MODES[mode])
-    show = number_text if mode == "legacy" else lambda c: c
-    return book.select(
-        F.col("year").alias("debt_year"),
-        F.col("year").alias("interest_year"),
-        show(F.col("debt_paid")).alias("total_debt"),
-        show(F.col("interest")).alias("total_interest"),
-        show(ratio).alias("cost_of_debt"),
+    show = number_text if mode == "legacy" else str
+    return (
+        book_of(source, *sections)
+        .where(in_sections(*sections))
+        .selectExpr(
+            "year as debt_year",
+            "year as interest_year",
+            f"{show('debt_paid')} as total_debt",
+            f"{show('interest')} as total_interest",
+            f"{show(ratio)} as cost_of_debt",
+        )
     )

@@ -1,4 +1,4 @@
-"""The valuation formulas, as columns over a year book.
+"""The valuation formulas, as SQL expressions over a year book.
 
 ``carry`` says how a figure enters the next formula: ``exact`` keeps the number, ``through_text``
 formats it and reads the text back, which is the legacy behaviour.
@@ -8,67 +8,47 @@ from __future__ import annotations
 
 from collections.abc import Callable
 
-from pyspark.sql import Column
-from pyspark.sql import functions as F
-
 from tallybook.functions import decimal_3_1, divide, exact, power, through_text
-from tallybook.plans import in_sections, previous_year
+from tallybook.plans import in_sections, over_previous_year
 
 # Cost of equity, the year present values refer to, the projection horizon.
 COST_OF_EQUITY = 3.938725
 BASE_YEAR = 2023
 HORIZON = 2028
 
-MODES: dict[str, Callable[[Column], Column]] = {"exact": exact, "legacy": through_text}
+Carry = Callable[[str], str]
+MODES: dict[str, Carry] = {"exact": exact, "legacy": through_text}
 WACC_KINDS = (*MODES, "textbook")
 
+FCF_SECTIONS = ("income", "expense", "components")
+EBT_SECTIONS = ("income", "expense")
 FIRM_VALUE_SECTIONS = ("equity", "debt_opened")
 COST_OF_DEBT_SECTIONS = ("debt_paid", "interest")
-EBT_SECTIONS = ("income", "expense")
-WACC_SECTIONS = (*FIRM_VALUE_SECTIONS, *COST_OF_DEBT_SECTIONS, *EBT_SECTIONS)
-
-
-def earnings_before_tax() -> Column:
-    return F.col("revenue") - F.col("expense")
-
-
-def free_cash_flow(ebt: Column) -> Column:
-    investment = F.col("change_in_working_capital") - F.col("capex")
-    return ebt + F.col("depreciation_amortization") + investment
-
-
-def firm_value() -> Column:
-    return F.col("equity") + F.col("debt_opened")
-
-
-def equity_weight() -> Column:
-    return divide(F.col("equity"), firm_value())
-
-
-def debt_weight() -> Column:
-    return divide(F.col("debt_opened"), firm_value())
-
+WACC_SECTIONS = (*EBT_SECTIONS, *FIRM_VALUE_SECTIONS, *COST_OF_DEBT_SECTIONS)
 
-def cost_of_debt(carry: Callable[[Column], Column] = exact) -> Column:
-    return divide(carry(F.col("interest")), carry(F.col("debt_paid")))
+EBT = "(revenue - expense)"
+FREE_CASH_FLOW = f"({EBT} + depreciation_amortization + change_in_working_capital - capex)"
 
+FIRM_VALUE = "(equity + debt_opened)"
+EQUITY_WEIGHT = divide("equity", FIRM_VALUE)
+DEBT_WEIGHT = divide("debt_opened", FIRM_VALUE)
 
-def tax_gap() -> Column:
-    """Expense less EBT: an amount, used where a tax rate is expected."""
-    return F.col("expense") - earnings_before_tax()
+# Expense less EBT: an amount, used where a tax rate is expected.
+TAX_GAP = f"(expense - {EBT})"
+TAX_RATE_RATIO = divide("expense", EBT)
 
 
-def tax_rate_ratio() -> Column:
-    return divide(F.col("expense"), earnings_before_tax())
+def cost_of_debt(carry: Carry = exact) -> str:
+    return divide(carry("interest"), carry("debt_paid"))
 
 
-def has_wacc(kind: str) -> Column:
+def has_wacc(kind: str) -> str:
     """Whether a year has a WACC: all its inputs exist and, for a tax gap, EBT is not zero."""
     matched = in_sections(*WACC_SECTIONS)
-    return matched if kind == "textbook" else matched & (earnings_before_tax() != 0)
+    return matched if kind == "textbook" else f"{matched} and {EBT} != 0"
 
 
-def wacc(kind: str, cost_of_equity: float) -> Column:
+def wacc(kind: str, cost_of_equity: float) -> str:
     """Weighted average cost of capital of a year.
 
     ``exact`` and ``legacy`` use the tax gap, ``textbook`` the tax rate.
@@ -76,29 +56,28 @@ def wacc(kind: str, cost_of_equity: float) -> Column:
     if kind not in WACC_KINDS:
         raise ValueError(f"kind must be one of {WACC_KINDS}, not {kind!r}")
     carry = MODES.get(kind, exact)
-    tax = tax_rate_ratio() if kind == "textbook" else carry(tax_gap())
-    equity_part = carry(equity_weight()) * F.lit(float(cost_of_equity))
-    debt_part = carry(debt_weight()) * carry(cost_of_debt(carry))
-    return equity_part + debt_part * (F.lit(1.0) - tax)
+    tax = TAX_RATE_RATIO if kind == "textbook" else carry(TAX_GAP)
+    debt_part = f"{carry(DEBT_WEIGHT)} * {carry(cost_of_debt(carry))}"
+    return f"({carry(EQUITY_WEIGHT)} * {float(cost_of_equity)}D + {debt_part} * (1D - {tax}))"
 
 
-def growth(current: Column, previous: Column) -> Column:
-    return divide(current - previous, previous)
+def growth(current: str, previous: str) -> str:
+    return divide(f"({current} - {previous})", previous)
 
 
-def previous(figure: str) -> Column:
-    """A figure of the calendar year before, NULL after a gap and for a row without a year."""
-    return F.when(F.col("year").isNotNull(), F.sum(figure).over(previous_year()))
+def previous(figure: str) -> str:
+    """A figure of the calendar year before."""
+    return over_previous_year(f"sum({figure})")
 
 
-def revenue_growth_1dp() -> Column:
+def revenue_growth_1dp() -> str:
     """Growth of net revenue over the year before, as DECIMAL(3,1)."""
-    return decimal_3_1(growth(F.col("revenue"), previous("revenue")))
+    return decimal_3_1(growth("revenue", previous("revenue")))
 
 
-def present_value(amount: Column, rate: Column, periods: Column) -> Column:
-    return divide(amount, power(F.lit(1.0) + rate, periods))
+def present_value(amount: str, rate: str, periods: str) -> str:
+    return divide(amount, power(f"1D + {rate}", periods))
 
 
-def gordon_terminal_value(cash_flow: Column, rate: Column, rate_of_growth: Column) -> Column:
-    return divide(cash_flow * (F.lit(1.0) + rate_of_growth), rate - rate_of_growth)
+def gordon_terminal_value(cash_flow: str, rate: str, rate_of_growth: str) -> str:
+    return divide(f"({cash_flow} * (1D + {rate_of_growth}))", f"({rate} - {rate_of_growth})")

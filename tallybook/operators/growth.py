@@ -2,8 +2,7 @@
 
 from __future__ import annotations
 
-from pyspark.sql import Column, DataFrame
-from pyspark.sql import functions as F
+from pyspark.sql import DataFrame
 
 from tallybook.functions import decimal_3_1, number_text
 from tallybook.operators import formulas
@@ -15,12 +14,13 @@ Source = Ledger | DataFrame
 
 def _growth(source: Source, figure: str) -> DataFrame:
     book = book_of(source, "income").where("has_income")
-    before = book.withColumn("previous_revenue", formulas.previous(figure))
-    return before.select(
+    before = book.selectExpr(
         "year",
-        F.col(figure).alias("total_revenue"),
-        "previous_revenue",
-        formulas.growth(F.col(figure), F.col("previous_revenue")).alias("growth"),
+        f"{figure} as total_revenue",
+        f"{formulas.previous(figure)} as previous_revenue",
+    )
+    return before.selectExpr(
+        "*", f"{formulas.growth('total_revenue', 'previous_revenue')} as growth"
     )
 
 
@@ -37,35 +37,38 @@ def net_revenue_growth(source: Source) -> DataFrame:
     return _growth(source, "revenue")
 
 
-def _mean_growth(rates: DataFrame, mean: Column, revenue_text: bool = False) -> DataFrame:
-    # The year and revenue shown beside an all-years mean are those of the last year.
-    last_revenue = F.max_by("total_revenue", "year")
-    return rates.agg(
-        F.max("year").alias("year"),
-        (number_text(last_revenue) if revenue_text else last_revenue).alias("revenue"),
-        mean.alias("mean_growth"),
-    )
+# The year and revenue shown beside an all-years mean are those of the last year.
+_LAST_REVENUE = "max_by(total_revenue, year)"
 
 
 def mean_growth_left(source: Source) -> DataFrame:
     """Mean growth of gross revenue as id_ID text, one row: ``year, revenue, mean_growth``."""
-    return _mean_growth(revenue_growth(source), number_text(F.avg("growth")))
+    return revenue_growth(source).selectExpr(
+        "max(year) as year",
+        f"{_LAST_REVENUE} as revenue",
+        f"{number_text('avg(growth)')} as mean_growth",
+    )
 
 
 def mean_growth_inner(source: Source) -> DataFrame:
     """Mean growth of gross revenue, one row: ``year, revenue, mean_growth``."""
-    return _mean_growth(revenue_growth(source), F.avg("growth"))
+    return revenue_growth(source).selectExpr(
+        "max(year) as year", f"{_LAST_REVENUE} as revenue", "avg(growth) as mean_growth"
+    )
 
 
 def mean_growth_1dp(source: Source) -> DataFrame:
     """Mean growth of net revenue as DECIMAL(3,1), one row: ``year, revenue, mean_growth``."""
-    mean = decimal_3_1(F.avg("growth"))
-    return _mean_growth(net_revenue_growth(source), mean, revenue_text=True)
+    return net_revenue_growth(source).selectExpr(
+        "max(year) as year",
+        f"{number_text(_LAST_REVENUE)} as revenue",
+        f"{decimal_3_1('avg(growth)')} as mean_growth",
+    )
 
 
 def annual_growth_1dp(source: Source) -> DataFrame:
     """Growth of net revenue per year as DECIMAL(3,1): ``year, revenue, growth``."""
-    rates = net_revenue_growth(source).where(F.col("year").isNotNull())
-    return rates.select(
-        "year", F.col("total_revenue").alias("revenue"), decimal_3_1(F.col("growth")).alias("growth")
+    rates = net_revenue_growth(source).where("year is not null")
+    return rates.selectExpr(
+        "year", "total_revenue as revenue", f"{decimal_3_1('growth')} as growth"
     )

@@ -5,7 +5,6 @@ from __future__ import annotations
 from collections.abc import Collection
 
 from pyspark.sql import DataFrame
-from pyspark.sql import functions as F
 
 from tallybook.functions import number_text, rupiah_text
 
@@ -14,9 +13,13 @@ def formatted(
     report: DataFrame, currency: Collection[str] = (), plain: Collection[str] = ()
 ) -> DataFrame:
     """``report`` with the ``currency`` columns as ``Rp. 1.234,50`` and ``plain`` as ``1.234,50``."""
-    shown = {c: rupiah_text(F.col(c)) for c in currency}
-    shown.update({c: number_text(F.col(c)) for c in plain})
-    return report.withColumns(shown)
+
+    def shown(column: str) -> str:
+        if column in currency:
+            return f"{rupiah_text(column)} as {column}"
+        return f"{number_text(column)} as {column}" if column in plain else column
+
+    return report.selectExpr(*map(shown, report.columns))
 
 
 def fcf_pooled_text(report: DataFrame) -> DataFrame:

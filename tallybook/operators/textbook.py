@@ -6,13 +6,12 @@ yearly growth of net revenue.
 
 from __future__ import annotations
 
-from pyspark.sql import Column, DataFrame
-from pyspark.sql import functions as F
+from pyspark.sql import DataFrame
 
 from tallybook.functions import power
 from tallybook.operators import formulas
-from tallybook.operators.cash_flow import FCF_SECTIONS
-from tallybook.plans import all_years, book_of, in_sections
+from tallybook.operators.capital import wacc
+from tallybook.plans import book_of, in_sections, over_all_years
 from tallybook.sources import Ledger
 
 Source = Ledger | DataFrame
@@ -21,30 +20,30 @@ Source = Ledger | DataFrame
 FAIR_VALUE_YEARS = 3
 
 
+def wacc_textbook(source: Source, cost_of_equity: float = formulas.COST_OF_EQUITY) -> DataFrame:
+    """WACC with tax as a rate: ``year, wacc``."""
+    return wacc(source, "textbook", cost_of_equity)
+
+
 def _rated(source: Source, cost_of_equity: float) -> DataFrame:
     """The years with cash flow and WACC: ``year, free_cash_flow, wacc, mean_growth``."""
-    sections = tuple(dict.fromkeys((*FCF_SECTIONS, *formulas.WACC_SECTIONS)))
-    raw_growth = formulas.growth(F.col("revenue"), formulas.previous("revenue"))
-    book = book_of(source, *sections).withColumn("raw_growth", raw_growth)
-    cash_flow = formulas.free_cash_flow(formulas.earnings_before_tax())
+    sections = tuple(dict.fromkeys((*formulas.FCF_SECTIONS, *formulas.WACC_SECTIONS)))
+    raw_growth = formulas.growth("revenue", formulas.previous("revenue"))
+    mean_growth = over_all_years("avg(raw_growth)")
     return (
-        book.withColumn("mean_growth", F.avg("raw_growth").over(all_years()))
+        book_of(source, *sections)
+        .selectExpr("*", f"{raw_growth} as raw_growth")
+        .selectExpr("*", f"{mean_growth} as mean_growth")
         .where(in_sections(*sections))
-        .select(
+        .selectExpr(
             "year",
-            cash_flow.cast("double").alias("free_cash_flow"),
-            formulas.wacc("textbook", cost_of_equity).alias("wacc"),
+            f"cast({formulas.FREE_CASH_FLOW} as double) as free_cash_flow",
+            f"{formulas.wacc('textbook', cost_of_equity)} as wacc",
             "mean_growth",
         )
     )
 
 
-def wacc_textbook(source: Source, cost_of_equity: float = formulas.COST_OF_EQUITY) -> DataFrame:
-    """WACC with tax as a rate: ``year, wacc``."""
-    book = book_of(source, *formulas.WACC_SECTIONS).where(formulas.has_wacc("textbook"))
-    return book.select("year", formulas.wacc("textbook", cost_of_equity).alias("wacc"))
-
-
 def pv_fcf_wacc(
     source: Source,
     base_year: int = formulas.BASE_YEAR,
@@ -54,10 +53,9 @@ def pv_fcf_wacc(
 
     A year ``t`` after the base year is discounted over ``t + 1`` periods.
     """
-    periods = F.col("year") - base_year + 1
-    present = formulas.present_value(F.col("free_cash_flow"), F.col("wacc"), periods)
-    return _rated(source, cost_of_equity).select(
-        "year", "free_cash_flow", "wacc", present.alias("present_value_fcf")
+    present = formulas.present_value("free_cash_flow", "wacc", f"(year - {base_year} + 1)")
+    return _rated(source, cost_of_equity).selectExpr(
+        "year", "free_cash_flow", "wacc", f"{present} as present_value_fcf"
     )
 
 
@@ -68,11 +66,9 @@ def terminal_value_mean_g(
 
     ``year, free_cash_flow, mean_growth, wacc, terminal_value``.
     """
-    terminal = formulas.gordon_terminal_value(
-        F.col("free_cash_flow"), F.col("wacc"), F.col("mean_growth")
-    )
-    return _rated(source, cost_of_equity).select(
-        "year", "free_cash_flow", "mean_growth", "wacc", terminal.alias("terminal_value")
+    terminal = formulas.gordon_terminal_value("free_cash_flow", "wacc", "mean_growth")
+    return _rated(source, cost_of_equity).selectExpr(
+        "year", "free_cash_flow", "mean_growth", "wacc", f"{terminal} as terminal_value"
     )
 
 
@@ -82,23 +78,17 @@ def fair_value(source: Source, cost_of_equity: float = formulas.COST_OF_EQUITY)
     The present values of the next three years' projected cash flow, and that of the terminal value
     after them.
     """
-    growth, rate = F.col("mean_growth"), F.col("wacc")
-
-    def projected(years_ahead: int) -> Column:
-        return F.col("free_cash_flow") * power(F.lit(1.0) + growth, F.lit(years_ahead))
 
-    flows = [
-        formulas.present_value(projected(k), rate, F.lit(k)) for k in range(1, FAIR_VALUE_YEARS + 1)
-    ]
-    terminal = formulas.gordon_terminal_value(projected(FAIR_VALUE_YEARS), rate, growth)
-    return (
-        _rated(source, cost_of_equity)
-        .select(
-            "year",
-            sum(flows[1:], flows[0]).alias("present_value_fcf"),
-            formulas.present_value(terminal, rate, F.lit(FAIR_VALUE_YEARS)).alias(
-                "present_value_terminal"
-            ),
-        )
-        .withColumn("fair_value", F.col("present_value_fcf") + F.col("present_value_terminal"))
+    def projected(years_ahead: int) -> str:
+        return f"free_cash_flow * {power('1D + mean_growth', str(years_ahead))}"
+
+    ahead = range(1, FAIR_VALUE_YEARS + 1)
+    flows = (formulas.present_value(projected(k), "wacc", str(k)) for k in ahead)
+    terminal = formulas.gordon_terminal_value(projected(FAIR_VALUE_YEARS), "wacc", "mean_growth")
+    present_terminal = formulas.present_value(terminal, "wacc", str(FAIR_VALUE_YEARS))
+    return _rated(source, cost_of_equity).selectExpr(
+        "year",
+        f"{' + '.join(flows)} as present_value_fcf",
+        f"{present_terminal} as present_value_terminal",
+        "present_value_fcf + present_value_terminal as fair_value",
     )

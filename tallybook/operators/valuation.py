@@ -6,44 +6,42 @@ rows of the year book.
 
 from __future__ import annotations
 
-from pyspark.sql import Column, DataFrame
-from pyspark.sql import functions as F
+from pyspark.sql import DataFrame
 
 from tallybook.functions import decimal_3_1, number_text
 from tallybook.operators import formulas
-from tallybook.operators.cash_flow import FCF_SECTIONS, fcf_rows
-from tallybook.plans import all_years, book_of, in_sections, previous_year
+from tallybook.operators.cash_flow import fcf_rows
+from tallybook.plans import book_of, in_sections, over_all_years, over_previous_year
 from tallybook.sources import Ledger
 
 Source = Ledger | DataFrame
 
-_ONE = 1.0
+# The last year, if its growth is on record: its own cash flow, and the one projected from it.
+_LAST_YEAR = f"is_last and {in_sections('income')}"
+_OWN_PROJECTION = "fcf_carried as fcf_final, fcf_next as fcf_projected"
+
+
+def _carried_projection(cash_flow: str) -> str:
+    return f"{cash_flow} as fcf_final, cast(null as double) as fcf_projected"
 
 
 def _projectable(source: Source, mode: str, *more_sections: str) -> DataFrame:
-    """The years with FCF components: ``ebt, fcf, growth``, and ``fcf_carried`` as ``mode`` has it."""
-    sections = dict.fromkeys((*FCF_SECTIONS, *more_sections))
-    book = book_of(source, *sections).withColumn("growth", formulas.revenue_growth_1dp())
-    ebt = formulas.earnings_before_tax()
-    years = fcf_rows(book).withColumns({"ebt": ebt, "fcf": formulas.free_cash_flow(ebt)})
-    return years.withColumns(
-        {
-            "growth_rate": F.col("growth").cast("double"),
-            "fcf_carried": formulas.MODES[mode](F.col("fcf")),
-            "is_last": F.col("year") == F.max("year").over(all_years()),
-        }
-    ).withColumn("fcf_next", F.col("fcf_carried") * (F.lit(_ONE) + F.col("growth_rate")))
-
-
-def _projection(final: Column, projected: Column) -> Column:
-    return F.struct(final.alias("fcf_final"), projected.cast("double").alias("fcf_projected"))
-
-
-def _last_year_projection() -> Column:
-    """Of the last year, if its growth is on record: its own cash flow, and the one projected."""
-    return F.when(
-        F.col("is_last") & in_sections("income"),
-        _projection(F.col("fcf_carried"), F.col("fcf_next")),
+    """The years with FCF components and, beside the columns of the book: ``ebt``, ``fcf``,
+
+    ``growth``, the cash flow as ``mode`` carries it on (``fcf_carried``), the one that growth
+    makes of it (``fcf_next``), and whether the year ``is_last``.
+    """
+    sections = dict.fromkeys((*formulas.FCF_SECTIONS, *more_sections))
+    book = book_of(source, *sections).selectExpr("*", f"{formulas.revenue_growth_1dp()} as growth")
+    years = fcf_rows(book).selectExpr(
+        "*", f"{formulas.EBT} as ebt", f"{formulas.FREE_CASH_FLOW} as fcf"
+    )
+    last_year = over_all_years("max(year)")
+    return years.selectExpr(
+        "*",
+        f"{formulas.MODES[mode]('fcf')} as fcf_carried",
+        "fcf_carried * (1D + growth) as fcf_next",
+        f"year = {last_year} as is_last",
     )
 
 
@@ -56,21 +54,16 @@ def fcf_projection_draft(
     draft looks its growth rate up by matching the year with the mean growth itself, so the cash
     flow of the latter rows is NULL unless a year equals that percentage.
     """
-    raw_growth = formulas.growth(F.col("revenue"), formulas.previous("revenue"))
-    book = book_of(source, *FCF_SECTIONS).withColumn("raw_growth", raw_growth)
-    mean_growth = decimal_3_1(F.avg("raw_growth").over(all_years()))
-    years = _projectable(book.withColumn("mean_growth", mean_growth), mode)
-    growth_found = F.when(F.col("year") == F.col("mean_growth"), F.col("mean_growth"))
-    grown = F.col("fcf_carried") * (F.lit(_ONE) + growth_found.cast("double"))
-
-    def row(year: Column, cash_flow: Column) -> Column:
-        return F.struct(year.alias("year"), cash_flow.alias("free_cash_flow"))
-
-    rows = F.array(
-        F.when(F.col("is_last"), row(F.col("year"), F.col("fcf_carried"))),
-        F.when(F.col("year") < horizon, row(F.col("year") + 1, grown)),
+    raw_growth = formulas.growth("revenue", formulas.previous("revenue"))
+    mean_growth = decimal_3_1(over_all_years("avg(raw_growth)"))
+    book = book_of(source, *formulas.FCF_SECTIONS).selectExpr("*", f"{raw_growth} as raw_growth")
+    years = _projectable(book.selectExpr("*", f"{mean_growth} as mean_growth"), mode)
+    grown = "fcf_carried * (1D + if(year = mean_growth, mean_growth, null))"
+    return years.selectExpr(
+        f"""inline(array_compact(array(
+              if(is_last, struct(year, fcf_carried as free_cash_flow), null),
+              if(year < {horizon}, struct(year + 1 as year, {grown} as free_cash_flow), null))))"""
     )
-    return years.select(F.inline(F.array_compact(rows)))
 
 
 def fcf_projection(
@@ -81,16 +74,12 @@ def fcf_projection(
     The last year with its own cash flow and the projected one; and, for each year before
     ``horizon``, the next year with the projected cash flow as its final one.
     """
-    own, carried = _last_year_projection(), _projection(F.col("fcf_next"), F.lit(None))
-    rows = F.array(
-        F.when(own.isNotNull(), F.struct(F.col("year"), own.alias("projection"))),
-        F.when(
-            F.col("year") < horizon,
-            F.struct((F.col("year") + 1).alias("year"), carried.alias("projection")),
-        ),
+    carried = _carried_projection("fcf_next")
+    return _projectable(source, mode).selectExpr(
+        f"""inline(array_compact(array(
+              if({_LAST_YEAR}, struct(year, {_OWN_PROJECTION}), null),
+              if(year < {horizon}, struct(year + 1 as year, {carried}), null))))"""
     )
-    projected = _projectable(source, mode).select(F.inline(F.array_compact(rows)))
-    return projected.select("year", "projection.*")
 
 
 def _valued(
@@ -107,27 +96,29 @@ def _valued(
     a kind of ``wacc``, only what needs none is computed.
     """
     years = _projectable(source, mode, *(formulas.WACC_SECTIONS if wacc else ()))
-    before = F.col("year").isNotNull() & (F.count(F.lit(1)).over(previous_year()) > 0)
-    projections = F.array(
-        _last_year_projection(),
-        F.when(
-            before & (F.col("year") - 1 < horizon),
-            _projection(formulas.previous("fcf_next"), F.lit(None)),
-        ),
-    )
-    years = years.withColumn("projections", F.array_compact(projections))
-    rows = years.select("*", F.inline_outer("projections"))
-    growth, periods = F.col("growth_rate"), F.col("year") - base_year
-    valued = {"present_value_fcf": formulas.present_value(F.col("fcf_final"), growth, periods)}
+    rate = "cast(null as double)"
     if wacc:
-        rate = F.when(formulas.has_wacc(wacc), formulas.wacc(wacc, cost_of_equity))
-        rows = rows.withColumn("wacc", rate)
-        terminal = formulas.gordon_terminal_value(F.col("fcf_projected"), F.col("wacc"), growth)
-        valued["terminal_value"] = terminal
-        valued["present_value_terminal_value"] = formulas.present_value(
-            terminal, F.col("wacc"), periods
-        )
-    return rows.withColumns(valued)
+        rate = f"if({formulas.has_wacc(wacc)}, {formulas.wacc(wacc, cost_of_equity)}, null)"
+    carried = _carried_projection("fcf_before")
+    targeted = years.selectExpr(
+        "*",
+        f"{rate} as wacc",
+        f"{over_previous_year('count(*)')} as years_before",
+        f"{formulas.previous('fcf_next')} as fcf_before",
+    ).selectExpr(
+        "*",
+        f"""inline_outer(array_compact(array(
+              if({_LAST_YEAR}, struct({_OWN_PROJECTION}), null),
+              if(years_before > 0 and year - 1 < {horizon}, struct({carried}), null))))""",
+    )
+    periods = f"(year - {base_year})"
+    return targeted.selectExpr(
+        "*",
+        f"{formulas.present_value('fcf_final', 'growth', periods)} as present_value_fcf",
+        f"{formulas.gordon_terminal_value('fcf_projected', 'wacc', 'growth')} as terminal_value",
+        f"{formulas.present_value('terminal_value', 'wacc', periods)}"
+        " as present_value_terminal_value",
+    )
 
 
 def pv_fcf(
@@ -178,15 +169,15 @@ def valuation_report(
 
     ``year, revenue, total_expense, ebt, free_cash_flow, growth, present_value_fcf,
     terminal_value, present_value_terminal_value``. ``mode`` is ``exact`` or ``legacy`` (figures
-    as id_ID text); ``wacc`` is a kind of ``formulas.wacc`` and follows ``mode`` by default.
+    as id_ID text); ``wacc`` is a kind of ``capital.wacc`` and follows ``mode`` by default.
     """
-    show = number_text if mode == "legacy" else lambda c: c
-    return _valued(source, mode, wacc or mode, cost_of_equity, base_year, horizon).select(
+    show = number_text if mode == "legacy" else str
+    return _valued(source, mode, wacc or mode, cost_of_equity, base_year, horizon).selectExpr(
         "year",
-        show(F.col("revenue")).alias("revenue"),
-        show(F.col("expense")).alias("total_expense"),
-        show(F.col("ebt")).alias("ebt"),
-        show(F.col("fcf")).alias("free_cash_flow"),
+        f"{show('revenue')} as revenue",
+        f"{show('expense')} as total_expense",
+        f"{show('ebt')} as ebt",
+        f"{show('fcf')} as free_cash_flow",
         "growth",
         "present_value_fcf",
         "terminal_value",

@@ -3,23 +3,23 @@
 from tallybook.plans.rollups import debt_payments, interest_totals, posting_totals
 from tallybook.plans.yearbook import (
     SECTIONS,
-    all_years,
     book_of,
     in_sections,
-    previous_year,
+    over_all_years,
+    over_previous_year,
     settle,
     year_book,
 )
 
 __all__ = [
     "SECTIONS",
-    "all_years",
     "book_of",
     "debt_payments",
     "in_sections",
     "interest_totals",
+    "over_all_years",
+    "over_previous_year",
     "posting_totals",
-    "previous_year",
     "settle",
     "year_book",
 ]

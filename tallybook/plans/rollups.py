@@ -8,7 +8,7 @@ from __future__ import annotations
 
 from collections.abc import Collection
 
-from pyspark.sql import Column, DataFrame
+from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from tallybook.sources.ledger import Ledger
@@ -20,8 +20,8 @@ INTEREST_POSTING_TEXT = "Pajak Bunga"
 POSTING_SUMS = ("debit", "credit", "net_debit")
 
 
-def _sums(names: Collection[str]) -> list[Column]:
-    return [F.sum(name).alias(name) for name in names]
+def _summed(frame: DataFrame, keys: Collection[str], figures: Collection[str]) -> DataFrame:
+    return frame.groupBy(*keys).agg(*(F.expr(f"sum({f}) as {f}") for f in figures))
 
 
 def posting_totals(ledger: Ledger, classes: Collection[int] | None = None) -> DataFrame:
@@ -33,23 +33,17 @@ def posting_totals(ledger: Ledger, classes: Collection[int] | None = None) -> Da
     A chart that fits a broadcast is joined first, which leaves a shuffle of one row per task,
     class and year. A larger one is joined after rolling up to account and year.
     """
-    accounts = ledger.chart_of_accounts.select("id", F.col("type").alias("class"))
+    accounts = ledger.table("chart_of_accounts").selectExpr("id as account", "type as class")
     if classes is not None:
-        accounts = accounts.where(F.col("class").isin(*classes))
-    postings = ledger.journal_items.select(
-        "account",
-        F.year("created_at").alias("year"),
-        "debit",
-        "credit",
-        (F.col("debit") - F.col("credit")).alias("net_debit"),
+        accounts = accounts.where(f"class in ({', '.join(map(str, sorted(classes)))})")
+    postings = ledger.table("journal_items").selectExpr(
+        "account", "year(created_at) as year", "debit", "credit", "debit - credit as net_debit"
     )
-    on_account = F.col("account") == F.col("id")
     if ledger.chart_fits_broadcast:
-        classified = postings.join(F.broadcast(accounts), on_account)
+        classified = postings.join(F.broadcast(accounts), "account")
     else:
-        by_account = postings.groupBy("account", "year").agg(*_sums(POSTING_SUMS))
-        classified = by_account.join(accounts, on_account)
-    return classified.groupBy("class", "year").agg(*_sums(POSTING_SUMS))
+        classified = _summed(postings, ["account", "year"], POSTING_SUMS).join(accounts, "account")
+    return _summed(classified, ["class", "year"], POSTING_SUMS)
 
 
 def debt_payments(
@@ -61,24 +55,24 @@ def debt_payments(
     With ``names`` there is one row per account name as well.
     """
     if account_id is None:
-        is_debt = F.col("name").contains(DEBT_ACCOUNT_TEXT)
+        is_debt = f"contains(name, '{DEBT_ACCOUNT_TEXT}')"
     else:
-        is_debt = F.col("id") == account_id
-    accounts = ledger.chart_of_accounts.where(is_debt).select(
-        "id", F.year("created_at").alias("opened_year"), F.col("name").alias("account_name")
+        is_debt = f"id = {int(account_id)}"
+    chart = ledger.table("chart_of_accounts").where(is_debt)
+    accounts = chart.selectExpr(
+        "id as account_id", "year(created_at) as opened_year", "name as account_name"
     )
-    payments = ledger.invoice_payments.select(
-        "account_id", F.year("date").alias("paid_year"), "amount"
+    payments = ledger.table("invoice_payments").selectExpr(
+        "account_id", "year(date) as paid_year", "amount"
     )
-    on_account = F.col("account_id") == F.col("id")
     if ledger.chart_fits_broadcast:
-        on_debt = payments.join(F.broadcast(accounts), on_account)
+        on_debt = payments.join(F.broadcast(accounts), "account_id")
     else:
-        by_account = payments.groupBy("account_id", "paid_year").agg(*_sums(["amount"]))
-        on_debt = by_account.join(accounts, on_account)
+        by_account = _summed(payments, ["account_id", "paid_year"], ["amount"])
+        on_debt = by_account.join(accounts, "account_id")
     # The name is a grouping key, not min(name): a text aggregate would sort the payments.
     keys = ["paid_year", "opened_year"] + (["account_name"] if names else [])
-    return on_debt.groupBy(*keys).agg(*_sums(["amount"]))
+    return _summed(on_debt, keys, ["amount"])
 
 
 def interest_totals(ledger: Ledger) -> DataFrame:
@@ -87,14 +81,11 @@ def interest_totals(ledger: Ledger) -> DataFrame:
     Postings are summed per journal before the join, so no journal is hot in it; the roll-up is
     already partitioned by journal, so only the entries' id and year are shuffled besides.
     """
-    interest = (
-        ledger.journal_items.where(F.col("description").contains(INTEREST_POSTING_TEXT))
-        .groupBy("journal")
-        .agg(F.sum("debit").alias("interest"))
+    postings = ledger.table("journal_items").where(
+        f"contains(description, '{INTEREST_POSTING_TEXT}')"
     )
-    entries = ledger.journal_entries.select("id", F.year("date").alias("year"))
-    return (
-        interest.join(entries, F.col("journal") == F.col("id"))
-        .groupBy("year")
-        .agg(*_sums(["interest"]))
+    by_journal = _summed(
+        postings.selectExpr("journal", "debit as interest"), ["journal"], ["interest"]
     )
+    entries = ledger.table("journal_entries").selectExpr("id as journal", "year(date) as year")
+    return _summed(by_journal.join(entries, "journal"), ["year"], ["interest"])

@@ -8,9 +8,10 @@ per-year figures would have decided.
 
 from __future__ import annotations
 
+from collections.abc import Iterable
 from functools import reduce
 
-from pyspark.sql import Column, DataFrame, Window, WindowSpec
+from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from tallybook.plans.rollups import debt_payments, interest_totals, posting_totals
@@ -57,6 +58,14 @@ SECTION_CLASSES = {
     "balance": {ASSET, LIABILITY},
 }
 FANNED_SECTIONS = {"equity", "components"}
+# Which copies of a posting carry its net debit into a figure.
+CARRYING_COPIES = {
+    "asset": f"class = {ASSET}",
+    "current_asset": f"class = {ASSET} and name = '{CURRENT_ASSET}'",
+    "current_liability": f"class = {LIABILITY} and name = '{CURRENT_LIABILITY}'",
+    "fixed_asset": f"class = {ASSET} and name = '{FIXED_ASSET}'",
+    "equity": f"class = {EQUITY} and name = '{EQUITY_SUB_TYPE}'",
+}
 # Sections read from payments: the year they are filed under.
 DEBT_SECTIONS = {"debt_paid": "paid_year", "debt_opened": "opened_year"}
 INTEREST_SECTION = "interest"
@@ -65,10 +74,10 @@ SECTIONS = (*POSTING_SECTIONS, *DEBT_SECTIONS, INTEREST_SECTION)
 
 # Figures computed from the figures of one section.
 DERIVED = {
-    "income": {"revenue": "income_credit - income_debit", "gross_revenue": "income_debit"},
-    "expense": {"expense": "expense_debit - expense_credit"},
-    "equity": {"equity": "equity_credit - equity_debit"},
-    "components": {"change_in_working_capital": "current_assets - current_liabilities"},
+    "income": ("income_credit - income_debit as revenue", "income_debit as gross_revenue"),
+    "expense": ("expense_debit - expense_credit as expense",),
+    "equity": ("equity_credit - equity_debit as equity",),
+    "components": ("current_assets - current_liabilities as change_in_working_capital",),
 }
 
 
@@ -77,24 +86,22 @@ def year_book(ledger: Ledger, *sections: str, names: bool = False) -> DataFrame:
 
     ``names`` adds ``<debt section>_name``, the first account name in text order.
     """
-    wanted = [s for s in SECTIONS if s in sections] if sections else list(SECTIONS)
     unknown = set(sections) - set(SECTIONS)
     if unknown:
         raise ValueError(f"unknown year book sections: {sorted(unknown)}")
+    wanted = [s for s in SECTIONS if s in sections] if sections else list(SECTIONS)
 
-    sources = []
+    stacks = []
     from_postings = [s for s in wanted if s in POSTING_SECTIONS]
     if from_postings:
-        sources.append(_posting_lines(ledger, from_postings))
+        stacks.append(_posting_lines(ledger, from_postings))
     from_payments = [s for s in wanted if s in DEBT_SECTIONS]
     if from_payments:
-        sources.append(_debt_lines(ledger, from_payments, names))
+        stacks.append(_debt_lines(ledger, from_payments, names))
     if INTEREST_SECTION in wanted:
-        sources.append(
-            interest_totals(ledger).select(*_line(INTEREST_SECTION, "interest", "year", "interest"))
-        )
-    lines = reduce(lambda a, b: a.unionByName(b, allowMissingColumns=True), sources)
-    return _spread(lines, wanted, names)
+        interest = _line(INTEREST_SECTION, INTEREST_SECTION, "year", "interest")
+        stacks.append(_stacked(interest_totals(ledger), [interest]))
+    return _spread(reduce(DataFrame.union, stacks), wanted, names)
 
 
 def book_of(source: Ledger | DataFrame, *sections: str, names: bool = False) -> DataFrame:
@@ -116,50 +123,55 @@ def settle(book: DataFrame) -> DataFrame:
     return book.checkpoint()
 
 
-def in_sections(*sections: str) -> Column:
+def in_sections(*sections: str) -> str:
     """Whether a year occurs in all ``sections``, as an inner join on the year decides it.
 
     A row without a year is its own group in every section but joins to nothing.
     """
-    matched = [F.col(f"has_{s}") for s in sections]
-    return reduce(lambda a, b: a & b, matched, F.col("year").isNotNull())
+    return " and ".join(["year is not null", *(f"has_{s}" for s in sections)])
+
+
+def over_all_years(aggregate: str) -> str:
+    """An aggregate over a year book: one row per calendar year, however large the ledger."""
+    return f"{aggregate} over ()"
+
 
+def over_previous_year(aggregate: str) -> str:
+    """An aggregate over the calendar year before: empty after a gap, or without a year.
 
-def all_years() -> WindowSpec:
-    """Every row of a year book. One row per calendar year, however large the ledger: one task."""
-    return Window.partitionBy()
+    The second condition is needed because rows without a year are each other's range.
+    """
+    window = "over (order by year range between 1 preceding and 1 preceding)"
+    return f"if(year is null, null, {aggregate} {window})"
 
 
-def previous_year() -> WindowSpec:
-    """The row of the calendar year before; empty after a gap year."""
-    return Window.orderBy("year").rangeBetween(-1, -1)
+def _line(section: str, line: str, year: str, amount: str, name: str = "") -> str:
+    """One figure of one year, as a struct; all lines have the same fields."""
+    return (
+        f"struct('{section}' as section, '{line}' as line, {year} as year, "
+        f"cast({amount} as {MONEY}) as amount, {name or 'cast(null as string)'} as name)"
+    )
 
 
-def _line(section: str, line: str, year: str | Column, amount: str | Column) -> list[Column]:
-    year, amount = (F.col(c) if isinstance(c, str) else c for c in (year, amount))
-    return [
-        F.lit(section).alias("section"),
-        F.lit(line).alias("line"),
-        year.alias("year"),
-        amount.cast(MONEY).alias("amount"),
-    ]
+def _stacked(totals: DataFrame, lines: Iterable[str]) -> DataFrame:
+    """A row per line for each row of ``totals``, leaving out NULL lines."""
+    return totals.selectExpr(f"inline(array_compact(array({', '.join(lines)})))")
 
 
 def _posting_lines(ledger: Ledger, sections: list[str]) -> DataFrame:
-    classes: set[int] | None = set()
-    for section in sections:
-        reads = SECTION_CLASSES.get(section)
-        classes = None if reads is None or classes is None else classes | reads
-    totals = posting_totals(ledger, classes)
+    reads = [SECTION_CLASSES.get(s) for s in sections]
+    totals = posting_totals(ledger, None if None in reads else set().union(*reads))
     if FANNED_SECTIONS.intersection(sections):
         totals = _with_copies(ledger, totals)
-    lines = [
-        F.when(F.expr(belongs), F.struct(*_line(section, line, "year", F.expr(amount))))
-        for section in sections
-        for belongs, figures in [POSTING_SECTIONS[section]]
-        for line, amount in figures.items()
-    ]
-    return totals.select(F.inline(F.array_compact(F.array(*lines))))
+    return _stacked(
+        totals,
+        (
+            f"if({belongs}, {_line(section, line, 'year', amount)}, null)"
+            for section in sections
+            for belongs, figures in [POSTING_SECTIONS[section]]
+            for line, amount in figures.items()
+        ),
+    )
 
 
 def _with_copies(ledger: Ledger, totals: DataFrame) -> DataFrame:
@@ -170,57 +182,38 @@ def _with_copies(ledger: Ledger, totals: DataFrame) -> DataFrame:
     figure and the others carry 0. Repeating a sum equals summing repeated postings, so the
     repetition is applied here, to one row per class and year.
     """
-    wanted = {
-        "asset": F.col("class") == ASSET,
-        "current_asset": (F.col("class") == ASSET) & (F.col("name") == CURRENT_ASSET),
-        "current_liability": (F.col("class") == LIABILITY) & (F.col("name") == CURRENT_LIABILITY),
-        "fixed_asset": (F.col("class") == ASSET) & (F.col("name") == FIXED_ASSET),
-        "equity": (F.col("class") == EQUITY) & (F.col("name") == EQUITY_SUB_TYPE),
-    }
+    classes = ledger.table("chart_of_account_types").selectExpr("id as class")
+    sub_types = ledger.table("chart_of_account_sub_types").selectExpr("type as class", "name")
+    counts = [f"count_if({test}) as {figure}_copies" for figure, test in CARRYING_COPIES.items()]
     profile = (
-        ledger.chart_of_account_types.select(F.col("id").alias("class"))
-        .join(ledger.chart_of_account_sub_types, F.col("class") == F.col("type"))
+        classes.join(sub_types, "class")
         .groupBy("class")
-        .agg(
-            F.count(F.lit(1)).alias("copies"),
-            *(F.count_if(test).alias(f"{figure}_copies") for figure, test in wanted.items()),
-        )
+        .agg(*map(F.expr, ["count(*) as copies", *counts]))
+    )
+    # The copies that carry 0 keep the sum from being NULL when no posting has both sides.
+    fanned = (
+        f"if({f}_copies = copies, net_debit * {f}_copies, coalesce(net_debit * {f}_copies, 0))"
+        f" as fanned_{f}"
+        for f in CARRYING_COPIES
     )
-    fanned = {}
-    for figure in wanted:
-        repeated = F.col("net_debit") * F.col(f"{figure}_copies")
-        every_copy = F.col(f"{figure}_copies") == F.col("copies")
-        # The copies that carry 0 keep the sum from being NULL when no posting has both sides.
-        fanned[f"fanned_{figure}"] = F.when(every_copy, repeated).otherwise(
-            F.coalesce(repeated, F.lit(0))
-        )
-    return totals.join(profile, "class", "left").withColumns(fanned)
+    return totals.join(profile, "class", "left").selectExpr("*", *fanned)
 
 
 def _debt_lines(ledger: Ledger, sections: list[str], names: bool) -> DataFrame:
-    paid = debt_payments(ledger, names=names)
-    name = [F.col("account_name").alias("name")] if names else []
-    lines = [
-        F.struct(*_line(section, section, DEBT_SECTIONS[section], "amount"), *name)
-        for section in sections
-    ]
-    return paid.select(F.inline(F.array(*lines)))
+    name = "account_name" if names else ""
+    return _stacked(
+        debt_payments(ledger, names=names),
+        (_line(section, section, DEBT_SECTIONS[section], "amount", name) for section in sections),
+    )
 
 
 def _spread(lines: DataFrame, sections: list[str], names: bool) -> DataFrame:
     """Turn lines into columns, one row per year."""
-    figures = {
-        **{s: list(POSTING_SECTIONS[s][1]) for s in POSTING_SECTIONS},
-        **{s: [s] for s in (*DEBT_SECTIONS, INTEREST_SECTION)},
-    }
-    columns = [F.bool_or(F.col("section") == s).alias(f"has_{s}") for s in sections]
+    columns = [f"bool_or(section = '{s}') as has_{s}" for s in sections]
     for section in sections:
-        for figure in figures[section]:
-            columns.append(F.sum(F.when(F.col("line") == figure, F.col("amount"))).alias(figure))
+        figures = POSTING_SECTIONS[section][1] if section in POSTING_SECTIONS else [section]
+        columns += [f"sum(amount) filter (where line = '{f}') as {f}" for f in figures]
         if names and section in DEBT_SECTIONS:
-            columns.append(
-                F.min(F.when(F.col("section") == section, F.col("name"))).alias(f"{section}_name")
-            )
-    book = lines.groupBy("year").agg(*columns)
-    derived = {name: F.expr(e) for s in sections for name, e in DERIVED.get(s, {}).items()}
-    return book.withColumns(derived) if derived else book
+            columns.append(f"min(name) filter (where section = '{section}') as {section}_name")
+    book = lines.groupBy("year").agg(*map(F.expr, columns))
+    return book.selectExpr("*", *(d for s in sections for d in DERIVED.get(s, ())))

@@ -2,11 +2,10 @@
 
 from __future__ import annotations
 
-from dataclasses import dataclass
+from collections.abc import Callable, Mapping
 from functools import cached_property
 
 from pyspark.sql import DataFrame, SparkSession
-from pyspark.sql import functions as F
 
 # The columns and types of the ledger tables.
 TABLE_COLUMNS = {
@@ -29,44 +28,49 @@ TABLE_COLUMNS = {
 ACCOUNT_OVERHEAD_BYTES = 64
 
 
-@dataclass(frozen=True)
 class Ledger:
-    """Postings, payments and the chart of accounts, as lazy DataFrames.
+    """Postings, payments and the chart of accounts, each read when a report first needs it.
 
     ``broadcast_bytes`` bounds what a roll-up may broadcast. The chart of accounts is measured
     against it before the facts are read; a larger chart is joined after the facts are rolled up.
     """
 
-    journal_items: DataFrame
-    journal_entries: DataFrame
-    invoice_payments: DataFrame
-    chart_of_accounts: DataFrame
-    chart_of_account_types: DataFrame
-    chart_of_account_sub_types: DataFrame
-    broadcast_bytes: int = 64 * 1024 * 1024
+    def __init__(
+        self, load: Callable[[str], DataFrame], broadcast_bytes: int = 64 * 1024 * 1024
+    ) -> None:
+        self._load = load
+        self._tables: dict[str, DataFrame] = {}
+        self.broadcast_bytes = broadcast_bytes
 
-    def __post_init__(self) -> None:
-        for table, columns in TABLE_COLUMNS.items():
-            frame = getattr(self, table)
-            typed = frame.select(*(F.col(c).cast(t).alias(c) for c, t in columns.items()))
-            object.__setattr__(self, table, typed)
+    @classmethod
+    def from_frames(cls, frames: Mapping[str, DataFrame], **options) -> Ledger:
+        """A ledger over DataFrames by table name."""
+        return cls(frames.__getitem__, **options)
 
     @classmethod
     def from_parquet(cls, spark: SparkSession, folder: str, **options) -> Ledger:
-        """Read ``<folder>/<table>.parquet`` for each of the six tables."""
-        frames = {t: spark.read.parquet(f"{folder}/{t}.parquet") for t in TABLE_COLUMNS}
-        return cls(**frames, **options)
+        """A ledger over ``<folder>/<table>.parquet``."""
+        return cls(lambda table: spark.read.parquet(f"{folder}/{table}.parquet"), **options)
 
     @classmethod
     def from_catalog(cls, spark: SparkSession, database: str | None = None, **options) -> Ledger:
-        """Read the six tables from the session catalog, from ``database`` if one is named."""
+        """A ledger over the tables of the session catalog, those in ``database`` if one is named."""
         prefix = f"{database}." if database else ""
-        return cls(**{t: spark.table(prefix + t) for t in TABLE_COLUMNS}, **options)
+        return cls(lambda table: spark.table(prefix + table), **options)
+
+    def table(self, name: str) -> DataFrame:
+        """One of the six tables, with the columns and types of ``TABLE_COLUMNS``."""
+        if name not in self._tables:
+            columns = TABLE_COLUMNS[name].items()
+            typed = self._load(name).selectExpr(*(f"cast({c} as {t}) as {c}" for c, t in columns))
+            self._tables[name] = typed
+        return self._tables[name]
 
     @cached_property
     def chart_fits_broadcast(self) -> bool:
         """Whether the whole chart of accounts, names included, stays under ``broadcast_bytes``."""
-        accounts, longest_name = self.chart_of_accounts.agg(
-            F.count(F.lit(1)), F.coalesce(F.max(F.octet_length("name")), F.lit(0))
-        ).first()
+        measured = self.table("chart_of_accounts").selectExpr(
+            "count(*) as accounts", "coalesce(max(octet_length(name)), 0) as longest_name"
+        )
+        accounts, longest_name = measured.first()
         return accounts * (longest_name + ACCOUNT_OVERHEAD_BYTES) <= self.broadcast_bytes

@@ -7,59 +7,70 @@ payments, so the ledger grows with the order tables.
 from __future__ import annotations
 
 from pyspark.sql import DataFrame, SparkSession
-from pyspark.sql import functions as F
 
 from tallybook.sources.ledger import Ledger
 
+# The columns read, stated so that no file has to be opened to plan a report.
+ORDER_SCHEMAS = {
+    "supplier": "s_suppkey bigint, s_name string",
+    "orders": "o_orderkey bigint, o_orderdate timestamp_ntz",
+    "lineitem": (
+        "l_orderkey bigint, l_suppkey bigint, l_linenumber int, l_extendedprice double, "
+        "l_returnflag string, l_linestatus string, l_shipdate timestamp_ntz"
+    ),
+}
+
 ZERO = "cast(0 as decimal(15,2))"
 PRICE = "cast(l_extendedprice as decimal(15,2))"
 # Assets and expenses post to debit, the other classes to credit; returned lines post reversed.
 POSTS_TO_DEBIT = "(l_suppkey % 5 in (0, 4)) <> (l_returnflag = 'R')"
+# Interest is posted on the seventh line of an expense account's order.
+DESCRIPTION = "if(l_suppkey % 5 = 4 and l_linenumber = 7, 'Pajak Bunga ', 'Posting ')"
 
-
-def _read(spark: SparkSession, folder: str, table: str) -> DataFrame:
-    return spark.read.parquet(f"{folder}/{table}.parquet")
+# Assets and liabilities have two sub-types each, which repeats their postings.
+CLASSES = "select * from values (1), (2), (3), (4), (5) as t(id)"
+SUB_TYPES = """
+select * from values
+  ('Current Asset', 1), ('Fixed Asset', 1), ('Current Liability', 2), ('Long Term Liability', 2),
+  ('Equity', 3), ('Income', 4), ('Expense', 5) as t(name, type)
+"""
 
 
 def ledger_from_orders(spark: SparkSession, folder: str, **options) -> Ledger:
     """The ledger over ``<folder>/{supplier,orders,lineitem}.parquet``."""
-    supplier = _read(spark, folder, "supplier")
-    orders = _read(spark, folder, "orders")
-    lineitem = _read(spark, folder, "lineitem")
 
-    chart_of_accounts = supplier.selectExpr(
-        "s_suppkey as id",
-        "if(s_suppkey % 5 = 1, concat('Hutang ', s_name), s_name) as name",
-        "cast(s_suppkey % 5 + 1 as int) as type",
-        "make_date(cast(1995 + s_suppkey % 7 as int), 1, 1) as created_at",
-    )
-    journal_items = lineitem.selectExpr(
-        "l_orderkey as journal",
-        "l_suppkey as account",
-        f"if({POSTS_TO_DEBIT}, {PRICE}, {ZERO}) as debit",
-        f"if({POSTS_TO_DEBIT}, {ZERO}, {PRICE}) as credit",
-        "concat(if(l_suppkey % 5 = 4 and l_linenumber = 7, 'Pajak Bunga ', 'Posting '), l_linestatus)"
-        " as description",
-        "l_shipdate as created_at",
-    )
-    invoice_payments = lineitem.where(F.col("l_linestatus") == "F").selectExpr(
-        "l_suppkey as account_id", f"{PRICE} as amount", "l_shipdate as date"
-    )
-    # Assets and liabilities have two sub-types each, which repeats their postings.
-    sub_types = spark.sql(
-        """
-        select * from values
-          ('Current Asset', 1), ('Fixed Asset', 1),
-          ('Current Liability', 2), ('Long Term Liability', 2),
-          ('Equity', 3), ('Income', 4), ('Expense', 5) as t(name, type)
-        """
-    )
-    return Ledger(
-        journal_items=journal_items,
-        journal_entries=orders.selectExpr("o_orderkey as id", "o_orderdate as date"),
-        invoice_payments=invoice_payments,
-        chart_of_accounts=chart_of_accounts,
-        chart_of_account_types=spark.sql("select * from values (1), (2), (3), (4), (5) as t(id)"),
-        chart_of_account_sub_types=sub_types,
-        **options,
-    )
+    def read(table: str) -> DataFrame:
+        return spark.read.schema(ORDER_SCHEMAS[table]).parquet(f"{folder}/{table}.parquet")
+
+    def load(table: str) -> DataFrame:
+        match table:
+            case "chart_of_accounts":
+                return read("supplier").selectExpr(
+                    "s_suppkey as id",
+                    "if(s_suppkey % 5 = 1, concat('Hutang ', s_name), s_name) as name",
+                    "cast(s_suppkey % 5 + 1 as int) as type",
+                    "make_date(cast(1995 + s_suppkey % 7 as int), 1, 1) as created_at",
+                )
+            case "journal_items":
+                return read("lineitem").selectExpr(
+                    "l_orderkey as journal",
+                    "l_suppkey as account",
+                    f"if({POSTS_TO_DEBIT}, {PRICE}, {ZERO}) as debit",
+                    f"if({POSTS_TO_DEBIT}, {ZERO}, {PRICE}) as credit",
+                    f"concat({DESCRIPTION}, l_linestatus) as description",
+                    "l_shipdate as created_at",
+                )
+            case "journal_entries":
+                return read("orders").selectExpr("o_orderkey as id", "o_orderdate as date")
+            case "invoice_payments":
+                payments = read("lineitem").where("l_linestatus = 'F'")
+                return payments.selectExpr(
+                    "l_suppkey as account_id", f"{PRICE} as amount", "l_shipdate as date"
+                )
+            case "chart_of_account_types":
+                return spark.sql(CLASSES)
+            case "chart_of_account_sub_types":
+                return spark.sql(SUB_TYPES)
+        raise KeyError(table)
+
+    return Ledger(load, **options)
