@@ -50,10 +50,10 @@ fanned as (
   from classed c join account_class k on k.id = c.class join sub_type t on t.class = k.id),
 component as (
   select y,
-    coalesce(sum(net_debit) filter (where class = 1), 0) as da,
-    coalesce(sum(net_debit) filter (where class = 1 and sub = 'Current Asset'), 0)
-      + coalesce(sum(net_debit) filter (where class = 2 and sub = 'Current Liability'), 0) as wc,
-    coalesce(sum(net_debit) filter (where class = 1 and sub = 'Fixed Asset'), 0) as capex
+    sum(if(class = 1, net_debit, 0)) as da,
+    sum(if(class = 1 and sub = 'Current Asset', net_debit, 0))
+      - sum(if(class = 2 and sub = 'Current Liability', -net_debit, 0)) as wc,
+    sum(if(class = 1 and sub = 'Fixed Asset', net_debit, 0)) as capex
   from fanned group by y),
 equity as (
   select y, sum(credit) - sum(debit) as net
@@ -102,12 +102,14 @@ net_growth as (
 growth as (
   select y, revenue, case when g is not null
     then cast(greatest(least(round(g, 1), 99.9), -99.9) + 0.0 as double) end as g
-  from net_growth),
+  from net_growth where y is not null),
 mean_net as (select avg(g) as g from net_growth),
 fcf as (
   select c.y, r.net as revenue, x.net as expense, r.net - x.net as ebt,
          r.net - x.net + c.da + c.wc - c.capex as fcf
-  from component c left join revenue r on r.y = c.y left join expense x on x.y = c.y)
+  from component c left join revenue r on r.y = c.y left join expense x on x.y = c.y),
+complete_fcf as (
+  select * from fcf where y in (select y from revenue) and y in (select y from expense))
 """
 
 # The legacy figures go through text: two decimals, id_ID, read back up to the first comma.
@@ -141,9 +143,9 @@ def digits(value: str) -> str:
     return f"cast(printf('%.12e', {value}) as double)"
 
 
-def _chain(*extra: str) -> str:
-    parts = [LEDGER, FIGURES.format(ke=COST_OF_EQUITY), *extra]
-    return "with " + ",".join(p.strip("\n") for p in parts)
+def _chain(ledger: str, *extra: str) -> str:
+    parts = [ledger, FIGURES.format(ke=COST_OF_EQUITY), *extra]
+    return "with " + ",".join(p.strip("\n") for p in parts if p)
 
 
 def _legacy_figures() -> str:
@@ -183,13 +185,17 @@ priced as (
   from valued)"""
 
 
-def oracle_sql() -> dict[str, str]:
-    """The statement for each registered report, by name."""
-    base = _chain()
-    legacy = _chain(_legacy_figures())
-    exact_projection = _chain(_projection("cast(f.fcf as double)", "wacc"))
+def oracle_sql(ledger: str = LEDGER) -> dict[str, str]:
+    """The statement for each registered report, by name.
+
+    ``ledger`` defines ``account_class, sub_type, account, posting, payment, entry``; it is empty
+    where those are tables.
+    """
+    base = _chain(ledger)
+    legacy = _chain(ledger, _legacy_figures())
+    exact_projection = _chain(ledger, _projection("cast(f.fcf as double)", "wacc"))
     legacy_projection = _chain(
-        _legacy_figures(), _projection(f"({number('f.fcf')})", "legacy_wacc")
+        ledger, _legacy_figures(), _projection(f"({number('f.fcf')})", "legacy_wacc")
     )
     money = "cast({} as double) as {}".format
 
@@ -236,7 +242,7 @@ def oracle_sql() -> dict[str, str]:
     )
     rated = """
       (select f.y, cast(f.fcf as double) as fcf, w.r, m.g
-       from fcf f join wacc_textbook w on w.y = f.y cross join mean_net m)"""
+       from complete_fcf f join wacc_textbook w on w.y = f.y cross join mean_net m)"""
     flows = " + ".join(
         f"fcf * pow(1 + g, {k}) / nullif(pow(1 + r, {k}), 0)" for k in (1, 2, 3)
     )
@@ -258,14 +264,12 @@ def oracle_sql() -> dict[str, str]:
         f"'Rp. ' || {text('revenue')} as total_revenue, "
         f"'Rp. ' || {text('expense')} as total_expense, "
         f"'Rp. ' || {text('fcf')} as free_cash_flow from ({pooled})",
-        "fcf_annual": f"{base} select {fcf_columns} from fcf "
-        "where revenue is not null and expense is not null",
+        "fcf_annual": f"{base} select {fcf_columns} from complete_fcf",
         "fcf_annual_left": f"{base} select {fcf_columns} from fcf",
         "fcf_annual_formatted": f"{base} select y as year, "
         f"'Rp. ' || {text('revenue')} as total_revenue, "
         f"'Rp. ' || {text('expense')} as total_expense, {text('ebt')} as ebt, "
-        f"'Rp. ' || {text('fcf')} as free_cash_flow from fcf "
-        "where revenue is not null and expense is not null",
+        f"'Rp. ' || {text('fcf')} as free_cash_flow from complete_fcf",
         "debt_by_payment_year": f"{base} select y as year, name as account_name, "
         f"{money('amount', 'total_debt')} from debt_paid",
         "debt_by_account_year": f"{base} select y as year, name as account_name, "
@@ -331,8 +335,8 @@ def oracle_sql() -> dict[str, str]:
         "wacc_textbook": f"{base} select y as year, r as wacc from wacc_textbook",
         "equity_from_balance": f"{base} select y as year, {money('assets', 'total_assets')}, "
         f"{money('debts', 'total_debt')}, {money('assets - debts', 'equity')} from ("
-        "select y, coalesce(sum(debit - credit) filter (where class = 1), 0) as assets, "
-        "coalesce(sum(credit - debit) filter (where class = 2), 0) as debts "
+        "select y, sum(if(class = 1, debit - credit, 0)) as assets, "
+        "sum(if(class = 2, credit - debit, 0)) as debts "
         "from classed where class in (1, 2) group by y)",
         "pv_fcf_wacc": f"{base} select y as year, fcf as free_cash_flow, r as wacc, "
         f"{digits(discounted)} as present_value_fcf from {rated}",
