@@ -135,7 +135,7 @@ def number(value: str) -> str:
     """The number the id_ID text of a DuckDB expression is read back as."""
     pattern = r"^\s*([-+]?(?:[0-9]+[.]?[0-9]*|[.][0-9]+)(?:[eE][-+]?[0-9]+)?)"
     leading = f"try_cast(regexp_extract({text(value)}, '{pattern}', 1) as double)"
-    return f"case when {value} is not null then coalesce({leading}, 0.0) end"
+    return f"case when {value} is not null then coalesce({leading}, 0.0) + 0.0 end"
 
 
 def digits(value: str) -> str:

@@ -35,7 +35,8 @@ def number_prefix(text: str) -> str:
     and ``9.876.543,21`` is 9.876.
     """
     digits = f"regexp_extract({text}, r'{LEADING_NUMBER}', 1)"
-    return f"cast(regexp_replace({digits}, '^$', '0') as double)"
+    # Adding 0 turns the -0 that "-0,25" starts with into a plain 0.
+    return f"(cast(regexp_replace({digits}, '^$', '0') as double) + 0D)"
 
 
 def exact(value: str) -> str:
