@@ -12,8 +12,8 @@ from tallybook.sources import Ledger
 Source = Ledger | DataFrame
 
 
-def _growth(source: Source, figure: str) -> DataFrame:
-    book = book_of(source, "income").where("has_income")
+def _growth(source: Source, section: str, figure: str) -> DataFrame:
+    book = book_of(source, section).where(f"has_{section}")
     before = book.selectExpr(
         "year",
         f"{figure} as total_revenue",
@@ -29,12 +29,12 @@ def revenue_growth(source: Source) -> DataFrame:
 
     NULL for the first year, after a gap year, and over a year without revenue.
     """
-    return _growth(source, "gross_revenue")
+    return _growth(source, "gross_income", "gross_revenue")
 
 
 def net_revenue_growth(source: Source) -> DataFrame:
     """Growth of net revenue, as ``revenue_growth``."""
-    return _growth(source, "revenue")
+    return _growth(source, "income", "revenue")
 
 
 # The year and revenue shown beside an all-years mean are those of the last year.

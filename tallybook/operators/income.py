@@ -33,7 +33,7 @@ def annual_revenue(source: Source) -> DataFrame:
 
 def annual_gross_revenue(source: Source) -> DataFrame:
     """Debits on revenue accounts per year: ``year, total_revenue``."""
-    book = book_of(source, "income").where("has_income")
+    book = book_of(source, "gross_income").where("has_gross_income")
     return book.selectExpr("year", "gross_revenue as total_revenue")
 
 

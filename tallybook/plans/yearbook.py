@@ -28,6 +28,7 @@ MONEY = "decimal(38,2)"
 # section, and the figures it adds. ``fanned_*`` and ``*_copies`` are explained in _with_copies.
 POSTING_SECTIONS = {
     "income": (f"class = {REVENUE}", {"income_credit": "credit", "income_debit": "debit"}),
+    "gross_income": (f"class = {REVENUE}", {"gross_revenue": "debit"}),
     "expense": (f"class = {EXPENSE}", {"expense_debit": "debit", "expense_credit": "credit"}),
     "equity": (
         "equity_copies > 0",
@@ -53,6 +54,7 @@ POSTING_SECTIONS = {
 # The classes a section reads; a section not named here reads every class.
 SECTION_CLASSES = {
     "income": {REVENUE},
+    "gross_income": {REVENUE},
     "expense": {EXPENSE},
     "equity": {EQUITY},
     "balance": {ASSET, LIABILITY},
@@ -74,7 +76,7 @@ SECTIONS = (*POSTING_SECTIONS, *DEBT_SECTIONS, INTEREST_SECTION)
 
 # Figures computed from the figures of one section.
 DERIVED = {
-    "income": ("income_credit - income_debit as revenue", "income_debit as gross_revenue"),
+    "income": ("income_credit - income_debit as revenue",),
     "expense": ("expense_debit - expense_credit as expense",),
     "equity": ("equity_credit - equity_debit as equity",),
     "components": ("current_assets - current_liabilities as change_in_working_capital",),

@@ -36,7 +36,7 @@ class Ledger:
     """
 
     def __init__(
-        self, load: Callable[[str], DataFrame], broadcast_bytes: int = 64 * 1024 * 1024
+        self, load: Callable[[str], DataFrame], broadcast_bytes: int = 256 * 1024 * 1024
     ) -> None:
         self._load = load
         self._tables: dict[str, DataFrame] = {}
