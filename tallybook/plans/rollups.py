@@ -59,8 +59,8 @@ def posting_totals(ledger: Ledger, classes: Collection[int] | None = None) -> Da
     ``net_debit`` sums debit − credit posting by posting, so it skips a posting that lacks either
     side; the difference of the other two does not. Sums a report leaves unused are pruned.
 
-    A chart that fits a broadcast is joined first, which leaves a shuffle of one row per task,
-    class and year. A larger one is joined after rolling up to account and year.
+    Accounts that fit a broadcast are joined first, which leaves a shuffle of one row per task,
+    class and year. If there are more, they are joined after rolling up to account and year.
     """
     accounts = ledger.table("chart_of_accounts").selectExpr("id as account", "type as class")
     if classes is not None:
@@ -73,7 +73,7 @@ def posting_totals(ledger: Ledger, classes: Collection[int] | None = None) -> Da
     postings = _in_halves(
         ledger.table("journal_items"), ["account", "year(created_at) as year"], cents
     )
-    if ledger.chart_fits_broadcast:
+    if ledger.fits_broadcast(accounts):
         classified = postings.join(F.broadcast(accounts), "account")
     else:
         classified = _summed(postings, ["account", "year"], cents).join(accounts, "account")
@@ -94,20 +94,22 @@ def debt_payments(
     else:
         is_debt = f"id = {int(account_id)}"
     chart = ledger.table("chart_of_accounts").where(is_debt)
+    keys = ["paid_year", "opened_year"] + (["account_name"] if names else [])
     accounts = chart.selectExpr(
-        "id as account_id", "year(created_at) as opened_year", "name as account_name"
+        "id as account_id",
+        "year(created_at) as opened_year",
+        *(["name as account_name"] if names else []),
     )
     cents = {"amount": _cents("amount")}
     payments = _in_halves(
         ledger.table("invoice_payments"), ["account_id", "year(date) as paid_year"], cents
     )
-    if ledger.chart_fits_broadcast:
+    if ledger.fits_broadcast(accounts):
         on_debt = payments.join(F.broadcast(accounts), "account_id")
     else:
         by_account = _summed(payments, ["account_id", "paid_year"], cents)
         on_debt = by_account.join(accounts, "account_id")
     # The name is a grouping key, not min(name): a text aggregate would sort the payments.
-    keys = ["paid_year", "opened_year"] + (["account_name"] if names else [])
     return _as_money(_summed(on_debt, keys, cents), keys, cents)
 
 

@@ -24,15 +24,15 @@ TABLE_COLUMNS = {
     "chart_of_account_sub_types": {"name": "string", "type": "int"},
 }
 
-# Bytes per account besides its name in a broadcast hash table: row header, three fields, map slot.
+# Bytes per account besides its texts in a broadcast hash table: row header, fields, map slot.
 ACCOUNT_OVERHEAD_BYTES = 64
 
 
 class Ledger:
     """Postings, payments and the chart of accounts, each read when a report first needs it.
 
-    ``broadcast_bytes`` bounds what a roll-up may broadcast. The chart of accounts is measured
-    against it before the facts are read; a larger chart is joined after the facts are rolled up.
+    ``broadcast_bytes`` bounds what a roll-up may broadcast. Accounts are measured against it before
+    the facts are read; if they are larger, they are joined after the facts are rolled up.
     """
 
     def __init__(
@@ -66,11 +66,23 @@ class Ledger:
             self._tables[name] = typed
         return self._tables[name]
 
+    def fits_broadcast(self, accounts: DataFrame) -> bool:
+        """Whether accounts picked from the chart, as they are, stay under ``broadcast_bytes``.
+
+        They do if the whole chart does, which is measured once; else they are measured themselves.
+        """
+        return self._chart_fits or _bytes_at_most(accounts) <= self.broadcast_bytes
+
     @cached_property
-    def chart_fits_broadcast(self) -> bool:
-        """Whether the whole chart of accounts, names included, stays under ``broadcast_bytes``."""
-        measured = self.table("chart_of_accounts").selectExpr(
-            "count(*) as accounts", "coalesce(max(octet_length(name)), 0) as longest_name"
-        )
-        accounts, longest_name = measured.first()
-        return accounts * (longest_name + ACCOUNT_OVERHEAD_BYTES) <= self.broadcast_bytes
+    def _chart_fits(self) -> bool:
+        return _bytes_at_most(self.table("chart_of_accounts")) <= self.broadcast_bytes
+
+
+def _bytes_at_most(accounts: DataFrame) -> int:
+    """An upper bound of what accounts take in a broadcast: rows times the widest row."""
+    texts = (name for name, kind in accounts.dtypes if kind == "string")
+    widest = (f"coalesce(max(octet_length({name})), 0)" for name in texts)
+    rows, width = accounts.selectExpr(
+        "count(*)", " + ".join([str(ACCOUNT_OVERHEAD_BYTES), *widest])
+    ).first()
+    return rows * width

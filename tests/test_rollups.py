@@ -19,10 +19,18 @@ def rows(frame):
     return sorted((tuple(r) for r in frame.collect()), key=repr)
 
 
-def test_the_chart_is_measured_with_its_names(spark):
-    names = [(i, "x" * 1000, 1, None) for i in range(10)]
-    assert make_ledger(spark, chart=names, broadcast_bytes=20_000).chart_fits_broadcast
-    assert not make_ledger(spark, chart=names, broadcast_bytes=10_000).chart_fits_broadcast
+def test_accounts_are_measured_with_their_texts(spark):
+    chart = [(i, "x" * 1000, i % 5 + 1, None) for i in range(10)]
+
+    def fits(limit, condition="true", columns=("id", "name")):
+        ledger = make_ledger(spark, chart=chart, broadcast_bytes=limit)
+        return ledger.fits_broadcast(ledger.table("chart_of_accounts").where(condition).select(*columns))
+
+    assert fits(20_000)
+    assert not fits(10_000)
+    assert fits(10_000, condition="type = 1")
+    assert fits(10_000, columns=["id"])
+    assert fits(0, condition="false") and not fits(0)
 
 
 @shapes
