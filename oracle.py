@@ -213,6 +213,7 @@ def oracle_sql(ledger: str = LEDGER) -> dict[str, str]:
     matrix_columns = f"d.y as debt_year, i.y as interest_year, {money('d.amount', 'total_debt')}, " + (
         money("i.amount", "total_interest")
     )
+    text_ratio = f"({number('i.amount')}) / nullif({number('d.amount')}, 0)"
     last_revenue = "(select {} from revenue where y = (select max(y) from revenue))".format
     mean = f"(select max(y) from revenue) as year, {money(last_revenue('gross'), 'revenue')}"
 
@@ -222,6 +223,15 @@ def oracle_sql(ledger: str = LEDGER) -> dict[str, str]:
             f"then cast(greatest(least(round({rate}, 1), 99.9), -99.9) + 0.0 as double) end"
         )
 
+    def draft(cash_flow: str) -> str:
+        return (
+            f"{base} select f.y as year, {cash_flow} as free_cash_flow from fcf f "
+            f"where f.y = (select max(y) from fcf) union all "
+            f"select f.y + 1, {cash_flow} * (1 + m.g) from fcf f "
+            f"left join (select {clamp('g')} as g from mean_net) m on m.g = f.y "
+            f"where f.y < {HORIZON}"
+        )
+
     def projections(chain: str, suffix: str = "") -> dict[str, str]:
         return {
             f"{suffix}fcf_projection": f"{chain} select y as year, final as fcf_final, "
@@ -315,10 +325,8 @@ def oracle_sql(ledger: str = LEDGER) -> dict[str, str]:
         f"{text(last_revenue('net'))} as revenue, {clamp('g')} as mean_growth from mean_net",
         "annual_growth_1dp": f"{base} select y as year, {money('revenue', 'revenue')}, "
         "g as growth from growth",
-        "fcf_projection_draft": f"{base} select y as year, cast(fcf as double) as free_cash_flow "
-        "from fcf where y = (select max(y) from fcf) union all "
-        f"select f.y + 1, cast(f.fcf as double) * (1 + m.g) from fcf f "
-        f"left join (select {clamp('g')} as g from mean_net) m on m.g = f.y where f.y < {HORIZON}",
+        "fcf_projection_draft": draft("cast(f.fcf as double)"),
+        "legacy_fcf_projection_draft": draft(f"({number('f.fcf')})"),
         **projections(exact_projection),
         "valuation_report": f"{exact_projection} select y as year, {money('revenue', 'revenue')}, "
         f"{money('expense', 'total_expense')}, {money('ebt', 'ebt')}, "
@@ -326,6 +334,9 @@ def oracle_sql(ledger: str = LEDGER) -> dict[str, str]:
         "legacy_cost_of_debt": f"{legacy} select y as debt_year, y as interest_year, "
         f"debt as total_debt, interest as total_interest, {text('ratio')} as cost_of_debt "
         "from legacy_kd_ratio",
+        "legacy_cost_of_debt_cross": f"{base} select d.y as debt_year, i.y as interest_year, "
+        f"{text('d.amount')} as total_debt, {text('i.amount')} as total_interest, "
+        f"{text(text_ratio)} as cost_of_debt {matrix}",
         "legacy_wacc": f"{legacy} select y as year, r + 0.0 as wacc from legacy_wacc",
         **projections(legacy_projection, "legacy_"),
         "legacy_valuation": f"{legacy_projection} select y as year, {text('revenue')} as revenue, "

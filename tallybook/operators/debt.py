@@ -70,36 +70,39 @@ def debt_interest_matrix(source: Source) -> DataFrame:
     )
 
 
-def cost_of_debt_cross(source: Source) -> DataFrame:
-    """Interest over debt for each pair of a debt year and an interest year.
-
-    ``debt_year, interest_year, total_debt, total_interest, cost_of_debt``.
-    """
-    return debt_interest_matrix(source).selectExpr(
+def _cost_of_debt(pairs: DataFrame, mode: str) -> DataFrame:
+    carry = formulas.MODES[mode]
+    show = number_text if mode == "legacy" else str
+    ratio = divide(carry("total_interest"), carry("total_debt"))
+    return pairs.selectExpr(
         "debt_year",
         "interest_year",
-        "total_debt",
-        "total_interest",
-        f"{divide('total_interest', 'total_debt')} as cost_of_debt",
+        f"{show('total_debt')} as total_debt",
+        f"{show('total_interest')} as total_interest",
+        f"{show(ratio)} as cost_of_debt",
     )
 
 
-def cost_of_debt(source: Source, mode: str = "exact") -> DataFrame:
-    """Interest over debt of the same year, columns as ``cost_of_debt_cross``.
+def cost_of_debt_cross(source: Source, mode: str = "exact") -> DataFrame:
+    """Interest over debt for each pair of a debt year and an interest year.
 
-    In ``legacy`` mode the figures are id_ID text, and the ratio is taken from that text.
+    ``debt_year, interest_year, total_debt, total_interest, cost_of_debt``. In ``legacy`` mode the
+    figures are id_ID text, and the ratio is taken from that text.
     """
+    return _cost_of_debt(debt_interest_matrix(source), mode)
+
+
+def cost_of_debt(source: Source, mode: str = "exact") -> DataFrame:
+    """Interest over debt of the same year, columns and modes as ``cost_of_debt_cross``."""
     sections = formulas.COST_OF_DEBT_SECTIONS
-    ratio = formulas.cost_of_debt(formulas.MODES[mode])
-    show = number_text if mode == "legacy" else str
-    return (
+    pairs = (
         book_of(source, *sections)
         .where(in_sections(*sections))
         .selectExpr(
             "year as debt_year",
             "year as interest_year",
-            f"{show('debt_paid')} as total_debt",
-            f"{show('interest')} as total_interest",
-            f"{show(ratio)} as cost_of_debt",
+            "debt_paid as total_debt",
+            "interest as total_interest",
         )
     )
+    return _cost_of_debt(pairs, mode)
