@@ -122,3 +122,24 @@ def test_catalog_tables(spark, folder):
         assert len(from_catalog) == 1
     finally:
         spark.sql("drop database books cascade")
+
+
+def test_bucketed_facts_meet_without_a_shuffle(spark, folder):
+    """Items bucketed by journal and entries by id: only the sums per year are exchanged."""
+    spark.sql("create database if not exists bucketed")
+    try:
+        buckets = {"journal_items": "journal", "journal_entries": "id"}
+        for table in TABLE_COLUMNS:
+            writer = spark.read.parquet(f"{folder}/{table}.parquet").write
+            if table in buckets:
+                writer = writer.bucketBy(4, buckets[table]).sortBy(buckets[table])
+            writer.saveAsTable(f"bucketed.{table}")
+        spark.conf.set("spark.sql.autoBroadcastJoinThreshold", "-1")
+        report = ops.interest_by_entry_year(Ledger.from_catalog(spark, "bucketed"))
+        plan = plan_of(report)
+        assert "SortMergeJoin [journal" in plan
+        assert "hashpartitioning(journal" not in plan and "hashpartitioning(year" in plan
+        assert [tuple(r) for r in report.collect()] == [(2022, 3)]
+    finally:
+        spark.conf.unset("spark.sql.autoBroadcastJoinThreshold")
+        spark.sql("drop database bucketed cascade")
