@@ -203,15 +203,19 @@ def oracle_sql(ledger: str = LEDGER) -> dict[str, str]:
         f"y as year, {money('revenue', 'total_revenue')}, {money('expense', 'total_expense')}, "
         f"{money('ebt', 'ebt')}, {money('fcf', 'free_cash_flow')}"
     )
-    weights = f"y as year, ev as equity_weight, dv as debt_weight, {money('firm_value', 'firm_value')}"
+    weights = (
+        "y as year, ev as equity_weight, dv as debt_weight, "
+        f"{money('firm_value', 'firm_value')}"
+    )
     pooled = """
       select c.y, r.net as revenue, x.net as expense, r.net - x.net + c.da + c.wc - c.capex as fcf
       from component c,
            (select sum(credit) - sum(debit) as net from classed where class = 4) r,
            (select sum(debit) - sum(credit) as net from classed where class = 5) x"""
     matrix = "from debt_paid d cross join interest i"
-    matrix_columns = f"d.y as debt_year, i.y as interest_year, {money('d.amount', 'total_debt')}, " + (
-        money("i.amount", "total_interest")
+    matrix_columns = (
+        f"d.y as debt_year, i.y as interest_year, {money('d.amount', 'total_debt')}, "
+        f"{money('i.amount', 'total_interest')}"
     )
     text_ratio = f"({number('i.amount')}) / nullif({number('d.amount')}, 0)"
     last_revenue = "(select {} from revenue where y = (select max(y) from revenue))".format

@@ -21,7 +21,10 @@ def equity_from_balance(source: Source) -> DataFrame:
     """Assets less liabilities per year: ``year, total_assets, total_debt, equity``."""
     book = book_of(source, "balance").where("has_balance")
     return book.selectExpr(
-        "year", "assets as total_assets", "liabilities as total_debt", "assets - liabilities as equity"
+        "year",
+        "assets as total_assets",
+        "liabilities as total_debt",
+        "assets - liabilities as equity",
     )
 
 

@@ -12,7 +12,7 @@ from tallybook.functions import number_text, rupiah_text
 def formatted(
     report: DataFrame, currency: Collection[str] = (), plain: Collection[str] = ()
 ) -> DataFrame:
-    """``report`` with the ``currency`` columns as ``Rp. 1.234,50`` and ``plain`` as ``1.234,50``."""
+    """``report`` with the ``currency`` columns as ``Rp. 1,00`` and ``plain`` as ``1,00``."""
 
     def shown(column: str) -> str:
         if column in currency:

@@ -1,4 +1,4 @@
-"""Where ledgers come from: parquet folders, catalog tables, DataFrames, star-schema order tables."""
+"""Ledgers over parquet folders, catalog tables, DataFrames, or star-schema order tables."""
 
 from tallybook.sources.ledger import Ledger
 from tallybook.sources.orders import ledger_from_orders

@@ -54,7 +54,7 @@ class Ledger:
 
     @classmethod
     def from_catalog(cls, spark: SparkSession, database: str | None = None, **options) -> Ledger:
-        """A ledger over the tables of the session catalog, those in ``database`` if one is named."""
+        """A ledger over catalog tables, those in ``database`` if one is named."""
         prefix = f"{database}." if database else ""
         return cls(lambda table: spark.table(prefix + table), **options)
 

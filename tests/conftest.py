@@ -87,8 +87,8 @@ def make_ledger(
         "chart_of_account_sub_types": sub_types,
     }
     frames = {
-        table: spark.createDataFrame(list(rows[table]), ", ".join(f"{c} {t}" for c, t in cols.items()))
-        for table, cols in TABLE_COLUMNS.items()
+        table: spark.createDataFrame(list(rows[table]), ", ".join(map(" ".join, columns.items())))
+        for table, columns in TABLE_COLUMNS.items()
     }
     return Ledger.from_frames(frames, **options)
 

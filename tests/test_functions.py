@@ -82,5 +82,6 @@ def test_legacy_figures_give_the_recorded_wacc(spark):
     """Weights of 1.25 and -0.25 read back as 1 and 0, which leaves the cost of equity."""
     equity_weight = value(spark, fn.through_text("1.25D"))
     debt_weight = value(spark, fn.through_text("-0.25D"))
-    cost_of_debt, tax = value(spark, fn.through_text("9.4D")), value(spark, fn.through_text("44653208899.45BD"))
+    cost_of_debt = value(spark, fn.through_text("9.4D"))
+    tax = value(spark, fn.through_text("44653208899.45BD"))
     assert equity_weight * 3.938725 + debt_weight * cost_of_debt * (1 - tax) == 3.938725

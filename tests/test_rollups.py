@@ -7,7 +7,7 @@ from collections import defaultdict
 from decimal import Decimal
 
 import pytest
-from conftest import CHART, make_ledger, payment, posting
+from conftest import CHART, make_ledger, money, payment, posting
 
 from tallybook.plans import debt_payments, interest_totals, posting_totals
 
@@ -24,7 +24,8 @@ def test_accounts_are_measured_with_their_texts(spark):
 
     def fits(limit, condition="true", columns=("id", "name")):
         ledger = make_ledger(spark, chart=chart, broadcast_bytes=limit)
-        return ledger.fits_broadcast(ledger.table("chart_of_accounts").where(condition).select(*columns))
+        accounts = ledger.table("chart_of_accounts").where(condition)
+        return ledger.fits_broadcast(accounts.select(*columns))
 
     assert fits(20_000)
     assert not fits(10_000)
@@ -36,7 +37,8 @@ def test_accounts_are_measured_with_their_texts(spark):
 @shapes
 def test_posting_totals_are_exact_for_extreme_amounts(spark, options):
     largest = Decimal("9999999999999.99")
-    amounts = [largest] * 500 + [Decimal("0.01")] * 3 + [-largest, Decimal("-0.01"), Decimal("1.15")]
+    amounts = [largest] * 500 + [Decimal("0.01")] * 3
+    amounts += [-largest, Decimal("-0.01"), Decimal("1.15")]
     items = [posting(1, 2023, debit=a, credit=-a) for a in amounts]
     total = sum(amounts)
     (row,) = rows(posting_totals(make_ledger(spark, items, **options)))
@@ -60,7 +62,7 @@ def test_posting_totals_skip_nulls_as_sums_do(spark, options):
 
 def rows_of(*expected):
     def typed(row):
-        return (*row[:2], *(None if v is None else Decimal(v).quantize(Decimal("0.01")) for v in row[2:]))
+        return (*row[:2], *map(money, row[2:]))
 
     return sorted((typed(r) for r in expected), key=repr)
 
@@ -68,7 +70,8 @@ def rows_of(*expected):
 @shapes
 def test_repeated_accounts_repeat_their_postings(spark, options):
     chart = [*CHART, (1, "Kas lagi", 1, None), (1, "Kas sebagai beban", 5, None)]
-    totals = rows(posting_totals(make_ledger(spark, [posting(1, 2023, debit=10)], chart=chart, **options)))
+    ledger = make_ledger(spark, [posting(1, 2023, debit=10)], chart=chart, **options)
+    totals = rows(posting_totals(ledger))
     assert totals == rows_of((1, 2023, 20, 0, 20), (5, 2023, 10, 0, 10))
 
 
@@ -127,7 +130,8 @@ def test_interest_follows_the_entry_date_and_survives_a_hot_journal(spark, optio
         posting(5, 2020, debit=5, journal=1, description=None),
     ]
     # The year of an entry is the third column of a payment, too.
-    entries = [(j, payment(0, y, 0)[2]) for j, y in ((1, 2021), (2, 2022), (2, 2022), (3, 2024), (4, 2025))]
+    dated = ((1, 2021), (2, 2022), (2, 2022), (3, 2024), (4, 2025))
+    entries = [(journal, payment(0, year, 0)[2]) for journal, year in dated]
     ledger = make_ledger(spark, items, entries, **options)
     assert {r.year: r.interest for r in interest_totals(ledger).collect()} == {
         2021: Decimal("1000.00"),
