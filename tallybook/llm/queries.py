@@ -6,7 +6,9 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
+from tallybook.llm.decontamination import contaminations
 from tallybook.llm.minhash_forest import Forest, near_duplicates
+from tallybook.llm.passages import repeated_passages
 
 Query = Callable[[SparkSession, str], DataFrame]
 
@@ -20,8 +22,20 @@ def op2_minhash_near_dedup(spark: SparkSession, folder: str) -> DataFrame:
     return near_duplicates(_table(spark, folder, "documents"), Forest(size=4))
 
 
+def op3_benchmark_decontamination(spark: SparkSession, folder: str) -> DataFrame:
+    """Documents that contain benchmark items, with the items."""
+    return contaminations(_table(spark, folder, "documents"), _table(spark, folder, "benchmark"))
+
+
+def op10_substring_dedup(spark: SparkSession, folder: str) -> DataFrame:
+    """Occurrences of passages of 50 words or more that another document keeps."""
+    return repeated_passages(_table(spark, folder, "documents"))
+
+
 QUERIES: dict[str, Query] = {
     "op2_minhash_near_dedup": op2_minhash_near_dedup,
+    "op3_benchmark_decontamination": op3_benchmark_decontamination,
+    "op10_substring_dedup": op10_substring_dedup,
 }
 
 ORACLES: dict[str, str] = {}
