@@ -4,14 +4,19 @@ from __future__ import annotations
 
 import tempfile
 import uuid
+from collections.abc import Iterator
 from functools import reduce
 
+import numpy as np
 import pyarrow as pa
+import pyarrow.compute as pc
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 # A side is broadcast only after its rows were counted and found to fit in this.
 BROADCAST_BYTES = 32 << 20
+ROWS_PER_FILE = 100_000
+LINKS_PER_TASK = 500_000
 
 
 def scratch_folder(spark: SparkSession) -> str:
@@ -29,11 +34,14 @@ def scratch_folder(spark: SparkSession) -> str:
     return folder
 
 
-def settled(frame: DataFrame, name: str) -> DataFrame:
+def settled(frame: DataFrame, name: str, rows: int | None = None) -> DataFrame:
     """``frame`` written as a table to the scratch folder, and read from there.
 
-    Later steps neither recompute it nor depend on the executors that made it.
+    Later steps neither recompute it nor depend on the executors that made it. ``rows``, if known,
+    is about how many there are; a few rows are then written by a few tasks.
     """
+    if rows is not None:
+        frame = frame.coalesce(1 + rows // ROWS_PER_FILE)
     spark = frame.sparkSession
     path = f"{scratch_folder(spark)}/tallybook-llm/{name}-{uuid.uuid4().hex}"
     frame.write.parquet(path)
@@ -56,16 +64,51 @@ def as_bytes(column: pa.Array) -> list[bytes | None]:
     return column.cast(pa.binary()).to_pylist()
 
 
+def _stars(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    """The task's links (a, b) with the same components, each as a star around its least node."""
+    rows = [batch for batch in batches if batch.num_rows]
+    if not rows:
+        return
+    table = pa.Table.from_batches(rows)
+    both = pa.chunked_array([*table["a"].chunks, *table["b"].chunks]).combine_chunks()
+    coded = both.dictionary_encode()
+    names = coded.dictionary
+    places = pc.array_sort_indices(names).to_numpy()
+    rank = np.empty(len(names), dtype=np.int64)
+    rank[places] = np.arange(len(names))
+    ends = rank[coded.indices.to_numpy()]
+    parent = list(range(len(names)))
+    for a, b in zip(ends[: table.num_rows].tolist(), ends[table.num_rows :].tolist(), strict=True):
+        while parent[a] != a:
+            parent[a] = a = parent[parent[a]]
+        while parent[b] != b:
+            parent[b] = b = parent[parent[b]]
+        if a < b:
+            parent[b] = a
+        else:
+            parent[a] = b
+    for k, above in enumerate(parent):  # a parent is never greater
+        parent[k] = parent[above]
+    names = names.take(pa.array(places))
+    yield pa.RecordBatch.from_arrays([names, names.take(pa.array(parent))], names=["a", "b"])
+
+
 def components(links: DataFrame, kind: str) -> DataFrame:
     """Connected components of ``links`` (a, b): each node with its component's label, a node.
 
-    Each round gives every node the least node around it, in a fresh random order, and carries the
-    links over to those; a round at least halves the nodes left in expectation, so rounds grow with
-    their logarithm. Minima are combined before the shuffle, so a hub is one row per task.
+    Tasks first reduce their links, so many each, to stars. If that took several tasks, rounds join
+    the stars: each gives every node the least node around it, in a fresh random order, and carries
+    the links over to those; a round at least halves the nodes left in expectation. Minima are
+    combined before the shuffle, so a hub is one row per task.
     """
-    rest = settled(links.select("a", "b").where("a <> b").distinct(), "links")
+    tasks = 1 + links.count() // LINKS_PER_TASK
+    stars = links.select("a", "b").repartition(tasks).mapInArrow(_stars, f"a {kind}, b {kind}")
+    stars = settled(stars, "stars")
+    if tasks == 1:
+        return stars.selectExpr("a as node", "b as label")
+    rest = settled(stars.where("a <> b").distinct(), "links")
     steps, salt = [], 0
-    while not rest.isEmpty():
+    while count := rest.count():
         salt += 1
 
         def ranked(node: str, salt: int = salt) -> str:
@@ -77,7 +120,7 @@ def components(links: DataFrame, kind: str) -> DataFrame:
             .agg(F.min("near").alias("near"))
             .selectExpr("node", f"least(near, {ranked('node')}).n as label")
         )
-        step = settled(step, "labels")
+        step = settled(step, "labels", count)
         steps.append(step)
         rest = (
             rest.join(step.selectExpr("node as a", "label as la"), "a")
@@ -86,9 +129,9 @@ def components(links: DataFrame, kind: str) -> DataFrame:
             .selectExpr("least(la, lb) as a", "greatest(la, lb) as b")
             .distinct()
         )
-        rest = settled(rest, "links")
+        rest = settled(rest, "links", count)
     if not steps:
-        return links.sparkSession.createDataFrame([], f"node {kind}, label {kind}")
+        return stars.selectExpr("a as node", "b as label")
 
     def then(first: DataFrame, second: DataFrame) -> DataFrame:
         onward = second.selectExpr("node as label", "label as onward")
@@ -96,4 +139,4 @@ def components(links: DataFrame, kind: str) -> DataFrame:
             "node", "coalesce(onward, label) as label"
         )
 
-    return reduce(then, steps)
+    return settled(reduce(then, steps), "components")
