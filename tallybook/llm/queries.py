@@ -9,6 +9,7 @@ from pyspark.sql import DataFrame, SparkSession
 from tallybook.llm.decontamination import contaminations
 from tallybook.llm.minhash_forest import Forest, near_duplicates
 from tallybook.llm.passages import repeated_passages
+from tallybook.llm.quality import assessed
 
 Query = Callable[[SparkSession, str], DataFrame]
 
@@ -27,6 +28,11 @@ def op3_benchmark_decontamination(spark: SparkSession, folder: str) -> DataFrame
     return contaminations(_table(spark, folder, "documents"), _table(spark, folder, "benchmark"))
 
 
+def op4_quality_classifier(spark: SparkSession, folder: str) -> DataFrame:
+    """Evidence, site rates and verdict of every document."""
+    return assessed(_table(spark, folder, "documents"), _table(spark, folder, "labels"))
+
+
 def op10_substring_dedup(spark: SparkSession, folder: str) -> DataFrame:
     """Occurrences of passages of 50 words or more that another document keeps."""
     return repeated_passages(_table(spark, folder, "documents"))
@@ -35,6 +41,7 @@ def op10_substring_dedup(spark: SparkSession, folder: str) -> DataFrame:
 QUERIES: dict[str, Query] = {
     "op2_minhash_near_dedup": op2_minhash_near_dedup,
     "op3_benchmark_decontamination": op3_benchmark_decontamination,
+    "op4_quality_classifier": op4_quality_classifier,
     "op10_substring_dedup": op10_substring_dedup,
 }
 
