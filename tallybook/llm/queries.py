@@ -6,6 +6,7 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
+from tallybook.llm.curriculum import taken_words
 from tallybook.llm.decontamination import contaminations
 from tallybook.llm.minhash_forest import Forest, near_duplicates
 from tallybook.llm.passages import repeated_passages
@@ -33,6 +34,11 @@ def op4_quality_classifier(spark: SparkSession, folder: str) -> DataFrame:
     return assessed(_table(spark, folder, "documents"), _table(spark, folder, "labels"))
 
 
+def op8_mixing_to_weights(spark: SparkSession, folder: str) -> DataFrame:
+    """Words that the mix takes of every document."""
+    return taken_words(_table(spark, folder, "documents"))
+
+
 def op10_substring_dedup(spark: SparkSession, folder: str) -> DataFrame:
     """Occurrences of passages of 50 words or more that another document keeps."""
     return repeated_passages(_table(spark, folder, "documents"))
@@ -42,6 +48,7 @@ QUERIES: dict[str, Query] = {
     "op2_minhash_near_dedup": op2_minhash_near_dedup,
     "op3_benchmark_decontamination": op3_benchmark_decontamination,
     "op4_quality_classifier": op4_quality_classifier,
+    "op8_mixing_to_weights": op8_mixing_to_weights,
     "op10_substring_dedup": op10_substring_dedup,
 }
 
