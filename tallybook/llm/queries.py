@@ -11,6 +11,7 @@ from tallybook.llm.decontamination import contaminations
 from tallybook.llm.minhash_forest import Forest, near_duplicates
 from tallybook.llm.passages import repeated_passages
 from tallybook.llm.quality import assessed
+from tallybook.llm.simhash import fingerprint_report
 
 Query = Callable[[SparkSession, str], DataFrame]
 
@@ -34,6 +35,11 @@ def op4_quality_classifier(spark: SparkSession, folder: str) -> DataFrame:
     return assessed(_table(spark, folder, "documents"), _table(spark, folder, "labels"))
 
 
+def op5_document_fingerprints(spark: SparkSession, folder: str) -> DataFrame:
+    """Fingerprints of every document and its edited text, and the rows near those asked for."""
+    return fingerprint_report(_table(spark, folder, "documents"))
+
+
 def op8_mixing_to_weights(spark: SparkSession, folder: str) -> DataFrame:
     """Words that the mix takes of every document."""
     return taken_words(_table(spark, folder, "documents"))
@@ -48,6 +54,7 @@ QUERIES: dict[str, Query] = {
     "op2_minhash_near_dedup": op2_minhash_near_dedup,
     "op3_benchmark_decontamination": op3_benchmark_decontamination,
     "op4_quality_classifier": op4_quality_classifier,
+    "op5_document_fingerprints": op5_document_fingerprints,
     "op8_mixing_to_weights": op8_mixing_to_weights,
     "op10_substring_dedup": op10_substring_dedup,
 }
