@@ -8,6 +8,7 @@ from pyspark.sql import DataFrame, SparkSession
 
 from tallybook.llm.curriculum import taken_words
 from tallybook.llm.decontamination import contaminations
+from tallybook.llm.language_model import scored
 from tallybook.llm.minhash_forest import Forest, near_duplicates
 from tallybook.llm.passages import repeated_passages
 from tallybook.llm.quality import assessed
@@ -40,6 +41,11 @@ def op5_document_fingerprints(spark: SparkSession, folder: str) -> DataFrame:
     return fingerprint_report(_table(spark, folder, "documents"))
 
 
+def op7_lm_scoring(spark: SparkSession, folder: str) -> DataFrame:
+    """Every document's probability under the context-mixing model and the unigram base."""
+    return scored(_table(spark, folder, "documents"))
+
+
 def op8_mixing_to_weights(spark: SparkSession, folder: str) -> DataFrame:
     """Words that the mix takes of every document."""
     return taken_words(_table(spark, folder, "documents"))
@@ -55,6 +61,7 @@ QUERIES: dict[str, Query] = {
     "op3_benchmark_decontamination": op3_benchmark_decontamination,
     "op4_quality_classifier": op4_quality_classifier,
     "op5_document_fingerprints": op5_document_fingerprints,
+    "op7_lm_scoring": op7_lm_scoring,
     "op8_mixing_to_weights": op8_mixing_to_weights,
     "op10_substring_dedup": op10_substring_dedup,
 }
