@@ -13,6 +13,7 @@ from tallybook.llm.minhash_forest import Forest, near_duplicates
 from tallybook.llm.passages import repeated_passages
 from tallybook.llm.quality import assessed
 from tallybook.llm.simhash import fingerprint_report
+from tallybook.llm.warc import normalised, read_back, written
 
 Query = Callable[[SparkSession, str], DataFrame]
 
@@ -51,6 +52,12 @@ def op8_mixing_to_weights(spark: SparkSession, folder: str) -> DataFrame:
     return taken_words(_table(spark, folder, "documents"))
 
 
+def op9_warc(spark: SparkSession, folder: str) -> DataFrame:
+    """Records read back from archives of all pages."""
+    archives = normalised(written(_table(spark, folder, "pages")))
+    return read_back(archives, payloads=False).drop("payload")
+
+
 def op10_substring_dedup(spark: SparkSession, folder: str) -> DataFrame:
     """Occurrences of passages of 50 words or more that another document keeps."""
     return repeated_passages(_table(spark, folder, "documents"))
@@ -63,6 +70,7 @@ QUERIES: dict[str, Query] = {
     "op5_document_fingerprints": op5_document_fingerprints,
     "op7_lm_scoring": op7_lm_scoring,
     "op8_mixing_to_weights": op8_mixing_to_weights,
+    "op9_warc": op9_warc,
     "op10_substring_dedup": op10_substring_dedup,
 }
 
