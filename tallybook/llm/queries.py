@@ -9,11 +9,13 @@ from pyspark.sql import DataFrame, SparkSession
 from tallybook.llm.curriculum import taken_words
 from tallybook.llm.decontamination import contaminations
 from tallybook.llm.language_model import scored
+from tallybook.llm.licenses import notices_found, oracle_sql
 from tallybook.llm.minhash_forest import Forest, near_duplicates
 from tallybook.llm.passages import repeated_passages
 from tallybook.llm.quality import assessed
 from tallybook.llm.simhash import fingerprint_report
 from tallybook.llm.warc import normalised, read_back, written
+from tallybook.llm.wrappers import main_texts
 
 Query = Callable[[SparkSession, str], DataFrame]
 
@@ -22,6 +24,11 @@ def _table(spark: SparkSession, folder: str, name: str) -> DataFrame:
     return spark.read.parquet(f"{folder}/{name}.parquet")
 
 
+def op1_html_extraction(spark: SparkSession, folder: str) -> DataFrame:
+    """Main text of every page."""
+    return main_texts(_table(spark, folder, "pages"))
+
+
 def op2_minhash_near_dedup(spark: SparkSession, folder: str) -> DataFrame:
     """Near-duplicate documents on four-word shingles."""
     return near_duplicates(_table(spark, folder, "documents"), Forest(size=4))
@@ -42,6 +49,11 @@ def op5_document_fingerprints(spark: SparkSession, folder: str) -> DataFrame:
     return fingerprint_report(_table(spark, folder, "documents"))
 
 
+def op6_license_scans(spark: SparkSession, folder: str) -> DataFrame:
+    """Licence notices among the lines of every document."""
+    return notices_found(_table(spark, folder, "documents"))
+
+
 def op7_lm_scoring(spark: SparkSession, folder: str) -> DataFrame:
     """Every document's probability under the context-mixing model and the unigram base."""
     return scored(_table(spark, folder, "documents"))
@@ -64,14 +76,16 @@ def op10_substring_dedup(spark: SparkSession, folder: str) -> DataFrame:
 
 
 QUERIES: dict[str, Query] = {
+    "op1_html_extraction": op1_html_extraction,
     "op2_minhash_near_dedup": op2_minhash_near_dedup,
     "op3_benchmark_decontamination": op3_benchmark_decontamination,
     "op4_quality_classifier": op4_quality_classifier,
     "op5_document_fingerprints": op5_document_fingerprints,
+    "op6_license_scans": op6_license_scans,
     "op7_lm_scoring": op7_lm_scoring,
     "op8_mixing_to_weights": op8_mixing_to_weights,
     "op9_warc": op9_warc,
     "op10_substring_dedup": op10_substring_dedup,
 }
 
-ORACLES: dict[str, str] = {}
+ORACLES: dict[str, str] = {"op6_license_scans": oracle_sql()}
