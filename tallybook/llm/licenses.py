@@ -41,10 +41,9 @@ def _normal(text: str) -> str:
 
 
 def _bigrams(words: str) -> str:
-    return (
-        f"array_distinct(transform(sequence(0, size({words}) - 2),"
-        f" i -> concat({words}[i], ' ', {words}[i + 1])))"
-    )
+    """Distinct bigrams of an array of two words or more, which is evaluated once."""
+    pairs = "transform(sequence(0, size(w) - 2), i -> concat(w[i], ' ', w[i + 1]))"
+    return f"transform(array({words}), w -> array_distinct({pairs}))[0]"
 
 
 def _quoted(text: str) -> str:
@@ -109,7 +108,7 @@ def oracle_sql(notices: dict[str, str] | None = None, percent: int = PERCENT) ->
         return f"trim(regexp_replace({low}, '[^a-z0-9]+', ' ', 'g'))"
 
     def bigrams(words: str) -> str:
-        pairs = f"list_transform(range(1, len({words})), i -> {words}[i] || ' ' || {words}[i + 1])"
+        pairs = f"list_transform(range(1, len({words})), lambda i: {words}[i] || ' ' || {words}[i + 1])"
         return f"list_distinct({pairs})"
 
     rows = ", ".join(
