@@ -176,7 +176,9 @@ projection as (
 valued as (
   select f.*, g.g, w.r, p.final, p.projected, f.y - {BASE_YEAR} as n,
          p.projected * (1 + g.g) / nullif(w.r - g.g, 0) as terminal
-  from fcf f left join growth g on g.y = f.y left join projection p on p.y = f.y
+  from fcf f left join growth g on g.y = f.y
+       join (select distinct y from fcf) d on d.y = f.y
+       left join projection p on p.y = d.y
        left join {wacc} w on w.y = f.y),
 priced as (
   select *,
@@ -329,6 +331,8 @@ def oracle_sql(ledger: str = LEDGER) -> dict[str, str]:
         f"{text(last_revenue('net'))} as revenue, {clamp('g')} as mean_growth from mean_net",
         "annual_growth_1dp": f"{base} select y as year, {money('revenue', 'revenue')}, "
         "g as growth from growth",
+        "annual_growth_formatted": f"{base} select y as year, {text('revenue')} as revenue, "
+        "g as growth from growth",
         "fcf_projection_draft": draft("cast(f.fcf as double)"),
         "legacy_fcf_projection_draft": draft(f"({number('f.fcf')})"),
         **projections(exact_projection),

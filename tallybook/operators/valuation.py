@@ -90,8 +90,9 @@ def _valued(
     base_year: int,
     horizon: int,
 ) -> DataFrame:
-    """The FCF years, each with the projections that target it and their values.
+    """The dated FCF years, each with the projections that target it and their values.
 
+    Years meet their projections by an inner join on the year, so a row without a year is dropped.
     The last year is targeted twice, by its own projection and by that of the year before. Without
     a kind of ``wacc``, only what needs none is computed.
     """
@@ -112,7 +113,7 @@ def _valued(
               if(years_before > 0 and year - 1 < {horizon}, struct({carried}), null))))""",
     )
     periods = f"(year - {base_year})"
-    return targeted.selectExpr(
+    return targeted.where("year is not null").selectExpr(
         "*",
         f"{formulas.present_value('fcf_final', 'growth', periods)} as present_value_fcf",
         f"{formulas.gordon_terminal_value('fcf_projected', 'wacc', 'growth')} as terminal_value",

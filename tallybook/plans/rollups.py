@@ -19,7 +19,8 @@ INTEREST_POSTING_TEXT = "Pajak Bunga"
 
 # Amounts are summed as whole cents in two bigint halves, which is exact and about half the cost of
 # summing decimals: those are too wide to be added in place. A decimal(15,2) has fewer than 2**52
-# cents, so its double rounds to the right cent; the low halves overflow after 2**43 postings.
+# cents, so its double rounds to the right cent. High halves stay under 2**30, so their sums hold for
+# 2**33 postings of the largest amount (2**63 cents in all); low halves for 2**43 postings.
 LOW_BITS = 20
 LOW_MASK = 2**LOW_BITS - 1
 

@@ -6,19 +6,23 @@ from collections.abc import Callable, Mapping
 from functools import cached_property
 
 from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import types as T
+
+# Sums are exact for amounts of this type; a wider source type is refused, never rounded.
+MONEY = "decimal(15,2)"
 
 # The columns and types of the ledger tables.
 TABLE_COLUMNS = {
     "journal_items": {
         "journal": "bigint",
         "account": "bigint",
-        "debit": "decimal(15,2)",
-        "credit": "decimal(15,2)",
+        "debit": MONEY,
+        "credit": MONEY,
         "description": "string",
         "created_at": "timestamp_ntz",
     },
     "journal_entries": {"id": "bigint", "date": "date"},
-    "invoice_payments": {"account_id": "bigint", "amount": "decimal(15,2)", "date": "date"},
+    "invoice_payments": {"account_id": "bigint", "amount": MONEY, "date": "date"},
     "chart_of_accounts": {"id": "bigint", "name": "string", "type": "int", "created_at": "date"},
     "chart_of_account_types": {"id": "int"},
     "chart_of_account_sub_types": {"name": "string", "type": "int"},
@@ -62,8 +66,11 @@ class Ledger:
         """One of the six tables, with the columns and types of ``TABLE_COLUMNS``."""
         if name not in self._tables:
             columns = TABLE_COLUMNS[name].items()
-            typed = self._load(name).selectExpr(*(f"cast({c} as {t}) as {c}" for c, t in columns))
-            self._tables[name] = typed
+            loaded = self._load(name)
+            for column, kind in columns:
+                if kind == MONEY:
+                    _check_money(f"{name}.{column}", loaded.schema[column].dataType)
+            self._tables[name] = loaded.selectExpr(*(f"cast({c} as {t}) as {c}" for c, t in columns))
         return self._tables[name]
 
     def fits_broadcast(self, accounts: DataFrame) -> bool:
@@ -78,6 +85,15 @@ class Ledger:
         return _bytes_at_most(self.table("chart_of_accounts")) <= self.broadcast_bytes
 
 
+def _check_money(column: str, kind: T.DataType) -> None:
+    """Raise if amounts of type ``kind`` might lose cents or leading digits as ``MONEY``."""
+    whole = {T.ByteType: 3, T.ShortType: 5, T.IntegerType: 10}.get(type(kind))
+    if isinstance(kind, T.DecimalType) and kind.scale <= 2:
+        whole = kind.precision - kind.scale
+    if not isinstance(kind, T.NullType) and (whole is None or whole > 13):
+        raise ValueError(f"{column} is {kind.simpleString()}, which {MONEY} cannot carry exactly")
+
+
 def _bytes_at_most(accounts: DataFrame) -> int:
     """An upper bound of what accounts take in a broadcast: rows times the widest row."""
     texts = (name for name, kind in accounts.dtypes if kind == "string")

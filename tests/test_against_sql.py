@@ -41,7 +41,7 @@ def assert_same_rows(name, report, relation):
 
 
 def test_every_report_has_a_statement():
-    assert set(registry.queries()) == set(registry.oracle_sql())
+    assert set(registry.REPORTS) <= set(registry.oracle_sql())
 
 
 @pytest.mark.skipif(not TESTDATA.exists(), reason="no order tables")

@@ -9,7 +9,7 @@ import pytest
 from conftest import SUB_TYPES, by_year, make_ledger, money, payment, posting
 
 from tallybook import operators as ops
-from tallybook import settle, year_book
+from tallybook import Ledger, settle, year_book
 
 INTEREST = "Pajak Bunga"
 
@@ -324,3 +324,35 @@ def test_reports_read_from_a_settled_book_equal_those_read_from_the_ledger(spark
 def test_unknown_sections_are_refused(spark):
     with pytest.raises(ValueError, match="profit"):
         year_book(make_ledger(spark), "profit")
+
+
+def test_undated_postings_have_no_valuation(spark):
+    """Years meet their projections by an inner join, which a row without a year never passes."""
+    items = [
+        posting(4, 2021, credit=100),
+        posting(4, 2022, credit=150),
+        posting(5, 2021, debit=40),
+        posting(5, 2022, debit=50),
+        posting(1, 2021, debit=10),
+        posting(1, 2022, debit=10),
+        posting(1, None, debit=10),
+    ]
+    ledger = make_ledger(spark, items)
+    for report in (ops.valuation_report, ops.pv_fcf, ops.terminal_value, ops.pv_terminal_value):
+        assert {row.year for row in report(ledger).collect()} == {2021, 2022}
+    assert None in by_year(ops.fcf_annual_left(ledger))
+
+
+@pytest.mark.parametrize("kind", ["decimal(18,4)", "decimal(20,2)", "double", "string"])
+def test_money_that_cannot_be_carried_is_refused(spark, kind):
+    items = spark.range(3).selectExpr(
+        "id as journal",
+        "4L as account",
+        f"cast(0 as {kind}) as debit",
+        f"cast(0.004 as {kind}) as credit",
+        "'' as description",
+        "timestamp_ntz'2021-01-01' as created_at",
+    )
+    ledger = Ledger.from_frames({"journal_items": items})
+    with pytest.raises(ValueError, match="journal_items.debit"):
+        ledger.table("journal_items")
