@@ -31,6 +31,8 @@ from tallybook.llm.shared import as_bytes, settled
 from tallybook.llm.tokens import Words, blocks
 
 SHAPES = 7
+#: Least number of steps of a regression, for small samples.
+STEPS = 600
 _CLASSES = np.zeros((3, 256), dtype=np.uint8)
 _CLASSES[0, 65:91] = 1
 _CLASSES[1, 48:58] = 1
@@ -98,7 +100,7 @@ def _fitted(features, bounds, shapes, labels, size, seed) -> tuple[np.ndarray, n
     bias = float(np.log(rate / (1 - rate)))
     square, square_form, square_bias = np.full(size, 1e-6), np.full(len(form), 1e-6), 1e-6
     per = 256
-    for _ in range(12):
+    for _ in range(max(12, STEPS * per // len(labels))):
         order = rng.permutation(len(labels))
         for start in range(0, len(labels), per):
             rows = order[start : start + per]
@@ -212,9 +214,10 @@ def _scored(model: Model, names: list[str]):
 
 
 def _thin(documents: DataFrame, columns: tuple, sites: Sites) -> DataFrame:
-    """The text, the wanted ``columns``, host and path."""
+    """The text, the wanted ``columns`` as one, host and path."""
+    own = f"struct({', '.join(f'`{name}`' for name in columns)}) as own_"
     return documents.selectExpr(
-        "text as text_", *(f"`{c}`" for c in columns), f"{sites.host} as host_", f"{sites.path} as path_"
+        "text as text_", own, f"{sites.host} as host_", f"{sites.path} as path_"
     )
 
 
@@ -268,11 +271,10 @@ def site_rates(evidence: DataFrame, model: Model) -> DataFrame:
     return settled(rates, "rates")
 
 
-def assessed(
-    documents: DataFrame, labels: DataFrame, sites: Sites | None = None, columns: tuple = ("doc_id",)
+def _judged(
+    documents: DataFrame, labels: DataFrame, sites: Sites, columns: tuple[str, ...]
 ) -> DataFrame:
-    """``columns`` of ``documents``, evidence, host_rate, path_rate, score and kept."""
-    sites = sites or Sites()
+    """``columns`` of ``documents`` as own_, evidence, host_rate, path_rate, score and kept."""
     model = trained(documents, labels, sites.sample)
     thin = _thin(documents, (), sites)
     rates = site_rates(thin.mapInArrow(_scored(model, thin.columns), _schema(thin)), model)
@@ -282,7 +284,7 @@ def assessed(
     return (
         scored.join(rates, F.expr("host_ <=> of_host and path_ <=> of_path"), "left")
         .selectExpr(
-            *(f"`{name}`" for name in columns),
+            "own_",
             "evidence_ as evidence",
             "host_rate",
             "path_rate",
@@ -292,7 +294,13 @@ def assessed(
     )
 
 
+def assessed(documents: DataFrame, labels: DataFrame, sites: Sites | None = None) -> DataFrame:
+    """Per row of ``documents``: doc_id, evidence, host_rate, path_rate, score and kept."""
+    rows = _judged(documents, labels, sites or Sites(), ("doc_id",))
+    return rows.select("own_.doc_id", "evidence", "host_rate", "path_rate", "score", "kept")
+
+
 def accepted(documents: DataFrame, labels: DataFrame, sites: Sites | None = None) -> DataFrame:
     """``documents`` without those the classifier rejects."""
-    names = documents.columns
-    return assessed(documents, labels, sites, tuple(names)).where("kept").select(*names)
+    rows = _judged(documents, labels, sites or Sites(), tuple(documents.columns))
+    return rows.where("kept").select("own_.*")

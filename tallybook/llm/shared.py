@@ -102,7 +102,8 @@ def components(links: DataFrame, kind: str) -> DataFrame:
     combined before the shuffle, so a hub is one row per task.
     """
     tasks = 1 + links.count() // LINKS_PER_TASK
-    stars = links.select("a", "b").repartition(tasks).mapInArrow(_stars, f"a {kind}, b {kind}")
+    links = links.select("a", "b").where("a <> b")
+    stars = links.repartition(tasks).mapInArrow(_stars, f"a {kind}, b {kind}")
     stars = settled(stars, "stars")
     if tasks == 1:
         return stars.selectExpr("a as node", "b as label")
