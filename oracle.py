@@ -301,6 +301,10 @@ def oracle_sql(ledger: str = LEDGER) -> dict[str, str]:
         f"{text('i.amount')} as total_interest {matrix}",
         "cost_of_debt_cross": f"{base} select {matrix_columns}, cast(i.amount as double) "
         f"/ nullif(cast(d.amount as double), 0) as cost_of_debt {matrix}",
+        "cost_of_debt_by_interest_year": f"{base} select * exclude (nth) from (select "
+        f"{matrix_columns}, cast(i.amount as double) / nullif(cast(d.amount as double), 0) "
+        "as cost_of_debt, row_number() over (partition by i.y order by d.y nulls first) as nth "
+        f"{matrix}) where nth = 1",
         "cost_of_debt": f"{base} select y as debt_year, y as interest_year, "
         f"{money('debt', 'total_debt')}, {money('interest', 'total_interest')}, "
         "ratio as cost_of_debt from kd",

@@ -17,6 +17,7 @@ from tallybook.operators.cash_flow import (
 )
 from tallybook.operators.debt import (
     cost_of_debt,
+    cost_of_debt_by_interest_year,
     cost_of_debt_cross,
     debt_by_account_year,
     debt_by_payment_year,
@@ -65,6 +66,7 @@ __all__ = [
     "annual_revenue",
     "capital_structure",
     "cost_of_debt",
+    "cost_of_debt_by_interest_year",
     "cost_of_debt_cross",
     "debt_by_account_year",
     "debt_by_payment_year",

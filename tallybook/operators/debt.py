@@ -92,6 +92,14 @@ def cost_of_debt_cross(source: Source, mode: str = "exact") -> DataFrame:
     return _cost_of_debt(debt_interest_matrix(source), mode)
 
 
+def cost_of_debt_by_interest_year(source: Source, mode: str = "exact") -> DataFrame:
+    """``cost_of_debt_cross`` with one row per interest year, that of the first debt year."""
+    pairs = cost_of_debt_cross(source, mode)
+    rest = [column for column in pairs.columns if column != "interest_year"]
+    first = pairs.groupBy("interest_year").agg(F.min(F.struct(*rest)).alias("first"))
+    return first.selectExpr("interest_year", "first.*").select(*pairs.columns)
+
+
 def cost_of_debt(source: Source, mode: str = "exact") -> DataFrame:
     """Interest over debt of the same year, columns and modes as ``cost_of_debt_cross``."""
     sections = formulas.COST_OF_DEBT_SECTIONS

@@ -13,7 +13,7 @@ from pyspark.sql import functions as F
 
 from tallybook.sources.ledger import Ledger
 
-# The text that marks debt accounts and interest postings (case-sensitive).
+# The text that marks debt accounts and interest postings.
 DEBT_ACCOUNT_TEXT = "Hutang"
 INTEREST_POSTING_TEXT = "Pajak Bunga"
 
@@ -91,7 +91,7 @@ def debt_payments(
     With ``names`` there is one row per account name as well.
     """
     if account_id is None:
-        is_debt = f"contains(name, '{DEBT_ACCOUNT_TEXT}')"
+        is_debt = ledger.marked("name", DEBT_ACCOUNT_TEXT)
     else:
         is_debt = f"id = {int(account_id)}"
     chart = ledger.table("chart_of_accounts").where(is_debt)
@@ -121,7 +121,7 @@ def interest_totals(ledger: Ledger) -> DataFrame:
     already partitioned by journal, so only the entries' id and year are shuffled besides.
     """
     postings = ledger.table("journal_items").where(
-        f"contains(description, '{INTEREST_POSTING_TEXT}')"
+        ledger.marked("description", INTEREST_POSTING_TEXT)
     )
     cents = {"interest": _cents("debit")}
     by_journal = _summed(_in_halves(postings, ["journal"], cents), ["journal"], cents)

@@ -37,12 +37,17 @@ class Ledger:
 
     ``broadcast_bytes`` bounds what a roll-up may broadcast. Accounts are measured against it before
     the facts are read; if they are larger, they are joined after the facts are rolled up.
+    ``match_case`` says whether the texts that mark debt and interest must match in case.
     """
 
     def __init__(
-        self, load: Callable[[str], DataFrame], broadcast_bytes: int = 256 * 1024 * 1024
+        self,
+        load: Callable[[str], DataFrame],
+        broadcast_bytes: int = 256 * 1024 * 1024,
+        match_case: bool = True,
     ) -> None:
         self._load = load
+        self.match_case = match_case
         self._tables: dict[str, DataFrame] = {}
         self.broadcast_bytes = broadcast_bytes
 
@@ -73,6 +78,12 @@ class Ledger:
             self._tables[name] = loaded.selectExpr(*(f"cast({c} as {t}) as {c}" for c, t in columns))
         return self._tables[name]
 
+    def marked(self, column: str, text: str) -> str:
+        """Whether ``column`` contains the marking ``text``."""
+        if self.match_case:
+            return f"contains({column}, '{text}')"
+        return f"contains(lower({column}), '{text.lower()}')"
+
     def fits_broadcast(self, accounts: DataFrame) -> bool:
         """Whether accounts picked from the chart, as they are, stay under ``broadcast_bytes``.
 

@@ -356,3 +356,12 @@ def test_money_that_cannot_be_carried_is_refused(spark, kind):
     ledger = Ledger.from_frames({"journal_items": items})
     with pytest.raises(ValueError, match="journal_items.debit"):
         ledger.table("journal_items")
+
+
+def test_case_of_marking_texts(spark):
+    chart = [(2, "HUTANG BANK", 2, date(2021, 1, 1))]
+    payments = [payment(2, 2021, 70)]
+    for match_case, expected in ((True, {}), (False, {2021: 70})):
+        ledger = make_ledger(spark, payments=payments, chart=chart, match_case=match_case)
+        found = by_year(ops.debt_by_payment_year(ledger))
+        assert {year: row[-1] for year, row in found.items()} == expected
