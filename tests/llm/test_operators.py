@@ -13,7 +13,7 @@ import duckdb
 import numpy as np
 import pytest
 
-from tallybook.llm import shared
+from tallybook.llm import passages, shared
 from tallybook.llm.curriculum import curriculum, taken_words
 from tallybook.llm.decontamination import contaminations, decontaminated
 from tallybook.llm.language_model import code_of, scored
@@ -166,6 +166,31 @@ def test_repeated_passages_are_found_and_clean_texts_left(spark):
         assert kept[i].text.split() == own[: span.start_word] + own[span.end_word :]
 
 
+def test_passages_in_a_crowd_of_variants_against_all_pairs(spark, monkeypatch):
+    monkeypatch.setattr(passages, "BLOCK", 64)
+    rng = random.Random(12)
+    passage = prose(rng, 60, 100_000)
+    texts = {}
+    for i in range(200):
+        own = list(passage)
+        if i != 100:
+            own[15 + i % 30] = f"changed{i}"
+        texts[i] = " ".join(prose(rng, 40, 100_000) + own + prose(rng, 40, 100_000))
+    order = {r.doc_id: r.h for r in frame(spark, texts).selectExpr("doc_id", "xxhash64(text) as h").collect()}
+    near = {
+        (i, j)
+        for i in texts
+        for j in texts
+        if order[j] < order[i]
+        if len((a := shingles(" ".join(texts[i].split()[40:100]), 5)) & (b := shingles(" ".join(texts[j].split()[40:100]), 5)))
+        >= 0.8 * len(a | b)
+    }
+    expected = {i for i, _ in near}
+    assert len(expected) > 50
+    found = {r.doc_id for r in repeated_passages(frame(spark, texts)).collect() if r.start_word <= 44 and r.end_word >= 96}
+    assert len(expected - found) <= len(expected) // 100
+
+
 def test_passages_on_awkward_rows(spark, awkward, clashing, nothing):
     found = repeated_passages(clashing).collect()
     assert {(r.doc_id, r.source_id) for r in found} <= {(2, 1), (3, 1), (1, 3), (2, 3)}
