@@ -7,13 +7,17 @@ none within the radius is missed. A window that meets an item is compared with i
 weighted Jaccard similarity of their shingles, each shingle weighing its words' letters together as
 often as it occurs.
 
+The radius is tighter than the similarity asked for, so a window also meets every item of whose
+weight its shingles have ``percent`` / 100: no window that is similar enough has less, so no match
+is missed.
+
 Windows that share no shingle with any item have similarity 0 and are not fingerprinted.
 
 Items are indexed on the driver and broadcast, in slices of ``SLICE_BYTES`` of text at most: a larger
 benchmark takes several passes over the documents, never a larger broadcast.
 
 Defined cases: null and blank texts and items match nothing; an item of fewer words than ``size`` is
-one shingle and matches where exactly these words stand; equal items each give their rows; repeated
+one shingle and matches a text of exactly these words; equal items each give their rows; repeated
 rows of documents give the same row once.
 """
 
@@ -38,7 +42,7 @@ MATCHES = "doc_id bigint, item_id bigint, start_word bigint, end_word bigint, si
 
 @dataclass(frozen=True)
 class Windows:
-    """Windows within ``radius`` bits of an item and ``percent`` / 100 alike are matches."""
+    """Windows ``percent`` / 100 alike an item are matches; SimHash looks within ``radius`` bits."""
 
     size: int = 5
     percent: int = 80
@@ -72,6 +76,12 @@ class Index:
         self.parts = [
             (shingles[a:b], weights[a:b]) for a, b in zip(bounds, bounds[1:], strict=False)
         ]
+        # Items by shingle, each once: those of known[k] are owners[owned[k] : owned[k + 1]].
+        own = np.repeat(np.arange(len(self.ids)), np.diff(bounds))
+        pairs = np.unique(np.stack((np.searchsorted(self.known, shingles), own)), axis=1)
+        self.owners = pairs[1]
+        self.owned = np.searchsorted(pairs[0], np.arange(len(self.known) + 1))
+        self.totals = np.array([own_weights.sum() for _, own_weights in self.parts])
         # Block tables: per length and block, the items in the order of that block's value.
         self.tables = {}
         for length in np.unique(self.lengths):
@@ -104,6 +114,32 @@ class Index:
         return np.unique(np.concatenate(found), axis=0)
 
 
+    def sharing(self, shingles: np.ndarray, weights: np.ndarray, shared: np.ndarray) -> np.ndarray:
+        """(start, item) of all windows that have enough of an item's weight in its shingles."""
+        at = np.flatnonzero(shared)
+        known = np.searchsorted(self.known, shingles[at])
+        count = self.owned[known + 1] - self.owned[known]
+        ends = np.cumsum(count)
+        item = self.owners[np.repeat(self.owned[known] - ends + count, count) + np.arange(ends[-1])]
+        at = np.repeat(at, count)
+        whole = np.bincount(item, weights[at], len(self.ids))
+        found = [np.empty((0, 2), dtype=np.int64)]
+        rows = np.argsort(item, kind="stable")
+        item, at = item[rows], at[rows]
+        for k in np.flatnonzero((whole * 100 >= self.how.percent * self.totals) & (whole > 0)):
+            inside = max(int(self.lengths[k]) - self.how.size + 1, 1)
+            if inside > len(shingles):
+                continue
+            low, high = np.searchsorted(item, k), np.searchsorted(item, k, side="right")
+            sums = np.zeros(len(shingles) + 1, dtype=np.int64)
+            sums[at[low:high] + 1] = weights[at[low:high]]
+            np.cumsum(sums, out=sums)
+            has = sums[inside:] - sums[:-inside]
+            start = np.flatnonzero(has * 100 >= self.how.percent * self.totals[k])
+            found.append(np.stack((start, np.full(len(start), k)), axis=1))
+        return np.concatenate(found)
+
+
 def shingle_weights(words: Words, bounds: np.ndarray, size: int) -> np.ndarray:
     """The letters (bytes) of each shingle."""
     letters = np.concatenate(([0], np.cumsum(words.ends - words.starts)))
@@ -148,6 +184,7 @@ def _matches(index: Index):
         best: dict[int, tuple] = {}
         sums = np.concatenate(([0], np.cumsum(shared)))
         votes = None
+        sharing = index.sharing(shingles, weights, shared)
         for length in np.unique(index.lengths):
             length = int(length)
             if not length or length > len(hashes):
@@ -163,8 +200,10 @@ def _matches(index: Index):
                 votes = np.zeros((len(hashes) + 1, BITS), dtype=np.int32)
                 np.cumsum(_signs(hashes), axis=0, out=votes[1:])
             prints = _fingerprints(votes[starts + length] - votes[starts])
-            for window, item in index.near(length, prints):
-                a = starts[window]
+            near = index.near(length, prints)
+            near[:, 0] = starts[near[:, 0]]
+            also = sharing[index.lengths[sharing[:, 1]] == length]
+            for a, item in np.unique(np.concatenate((near, also)), axis=0):
                 own = shingles[a : a + inside], weights[a : a + inside]
                 alike = weighted_similarity(own, index.parts[item])
                 if alike * 100 >= how.percent and alike > best.get(item, (0,))[0]:

@@ -241,6 +241,33 @@ def test_contaminations_against_every_window(spark):
     assert kept == set(texts) - {i for i, _ in expected}
 
 
+def test_contaminations_of_edited_items_against_every_window(spark):
+    rng = random.Random(15)
+    items, texts = {}, {}
+    for k in range(400):
+        item = [f"x{rng.randrange(10 ** rng.randrange(1, 9))}" for _ in range(rng.randrange(15, 60))]
+        own = list(item)
+        for j in range(rng.randrange(1, 6)):
+            own[j if k % 2 else -1 - j] = f"other{rng.randrange(1000)}"
+        items[k] = " ".join(item)
+        texts[k] = " ".join(prose(rng, 20) + own + prose(rng, 20))
+    expected = set()
+    for k, item in items.items():
+        own, wanted = texts[k].split(), item.split()
+        n = len(wanted)
+        weigh = lambda c: sum(v * sum(map(len, s)) for s, v in c.items())
+        target = Counter(tuple(wanted[j : j + 5]) for j in range(n - 4))
+        for a in range(len(own) - n + 1):
+            window = Counter(tuple(own[a + j : a + j + 5]) for j in range(n - 4))
+            if weigh(target & window) >= 0.8 * weigh(target | window):
+                expected.add((k, k))
+    assert 100 < len(expected) < 400
+    bench = spark.createDataFrame([*items.items()], "item_id bigint, text string")
+    found = contaminations(frame(spark, texts), bench).collect()
+    assert len(expected - {(r.doc_id, r.item_id) for r in found}) == 0
+    assert {(r.doc_id, r.item_id) for r in found} == expected
+
+
 def test_contaminations_on_awkward_rows(spark, clashing, nothing):
     bench = spark.createDataFrame([(1, "one"), (2, "no id here at all for once")], "item_id bigint, text string")
     assert {(r.doc_id, r.item_id) for r in contaminations(clashing, bench).collect()} == {(7, 1), (None, 2)}
