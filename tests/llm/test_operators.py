@@ -191,6 +191,23 @@ def test_passages_in_a_crowd_of_variants_against_all_pairs(spark, monkeypatch):
     assert len(expected - found) <= len(expected) // 100
 
 
+def test_passages_around_a_line_that_only_some_portions_have_often(spark):
+    rng = random.Random(13)
+    line, size = prose(rng, 40, 100_000), 100_000
+    around = [(prose(rng, 5, size), prose(rng, 5, size)) for _ in range(12)]
+
+    def text(left, right):
+        return " ".join(prose(rng, 30, size) + left + line + right + prose(rng, 30, size))
+
+    # The first quarter of the rows, a portion, has the line often and the last one seldom.
+    texts = {i: text(*around[i]) for i in range(12)}
+    texts |= {i: text([], []) for i in range(12, 100)}
+    texts |= {i: " ".join(prose(rng, 90, size)) for i in range(100, 400)}
+    texts |= {300 + i: text(*around[i]) for i in range(12)}
+    found = {frozenset((r.doc_id, r.source_id)) for r in repeated_passages(frame(spark, texts)).collect()}
+    assert {frozenset((i, 300 + i)) for i in range(12)} <= found
+
+
 def test_passages_on_awkward_rows(spark, awkward, clashing, nothing):
     found = repeated_passages(clashing).collect()
     assert {(r.doc_id, r.source_id) for r in found} <= {(2, 1), (3, 1), (1, 3), (2, 3)}
