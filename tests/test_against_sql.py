@@ -11,7 +11,7 @@ import __spark_entry__ as registry
 import duckdb
 import oracle
 import pytest
-from conftest import CLASSES, SUB_TYPES, make_ledger, money, payment, posting
+from ledgers import CLASSES, SUB_TYPES, make_ledger, money, payment, posting
 
 from tallybook import settle, year_book
 

@@ -8,7 +8,7 @@ from collections import Counter
 from contextlib import redirect_stdout
 
 import pytest
-from conftest import CHART, CLASSES, SUB_TYPES, make_ledger, payment, posting
+from ledgers import CHART, CLASSES, SUB_TYPES, make_ledger, payment, posting
 
 from tallybook import Ledger
 from tallybook import operators as ops

@@ -6,7 +6,7 @@ from datetime import date
 from decimal import Decimal
 
 import pytest
-from conftest import SUB_TYPES, by_year, make_ledger, money, payment, posting
+from ledgers import SUB_TYPES, by_year, make_ledger, money, payment, posting
 
 from tallybook import operators as ops
 from tallybook import Ledger, settle, year_book

@@ -7,7 +7,7 @@ from collections import defaultdict
 from decimal import Decimal
 
 import pytest
-from conftest import CHART, make_ledger, money, payment, posting
+from ledgers import CHART, make_ledger, money, payment, posting
 
 from tallybook.plans import debt_payments, interest_totals, posting_totals
 
