@@ -8,6 +8,7 @@ from pyspark.sql import DataFrame, SparkSession
 
 from tallybook.llm.curriculum import taken_words
 from tallybook.llm.decontamination import contaminations
+from tallybook.llm.exact import exact_duplicates
 from tallybook.llm.language_model import scored
 from tallybook.llm.licenses import notices_found, oracle_sql
 from tallybook.llm.minhash_forest import Forest, near_duplicates
@@ -75,6 +76,11 @@ def op10_substring_dedup(spark: SparkSession, folder: str) -> DataFrame:
     return repeated_passages(_table(spark, folder, "documents"))
 
 
+def op12_exact_dedup(spark: SparkSession, folder: str) -> DataFrame:
+    """Every document with the row that stays of those with its text."""
+    return exact_duplicates(_table(spark, folder, "documents"))
+
+
 QUERIES: dict[str, Query] = {
     "op1_html_extraction": op1_html_extraction,
     "op2_minhash_near_dedup": op2_minhash_near_dedup,
@@ -86,6 +92,17 @@ QUERIES: dict[str, Query] = {
     "op8_mixing_to_weights": op8_mixing_to_weights,
     "op9_warc": op9_warc,
     "op10_substring_dedup": op10_substring_dedup,
+    "op12_exact_dedup": op12_exact_dedup,
 }
 
-ORACLES: dict[str, str] = {"op6_license_scans": oracle_sql()}
+EXACT_DEDUP_SQL = """
+select doc_id, max(doc_id) over same as keep_id, count(*) over same as group_size,
+       doc_id = max(doc_id) over same as kept, sha256(coalesce(text, '')) as text_sha256
+from documents
+window same as (partition by coalesce(text, ''))
+"""
+
+ORACLES: dict[str, str] = {
+    "op6_license_scans": oracle_sql(),
+    "op12_exact_dedup": EXACT_DEDUP_SQL,
+}
