@@ -9,6 +9,7 @@ from pyspark.sql import DataFrame, SparkSession
 from tallybook.llm.curriculum import taken_words
 from tallybook.llm.decontamination import contaminations
 from tallybook.llm.exact import exact_duplicates
+from tallybook.llm.importance import importance_ranks
 from tallybook.llm.language_model import scored
 from tallybook.llm.licenses import notices_found, oracle_sql
 from tallybook.llm.minhash_forest import Forest, near_duplicates
@@ -76,6 +77,11 @@ def op10_substring_dedup(spark: SparkSession, folder: str) -> DataFrame:
     return repeated_passages(_table(spark, folder, "documents"))
 
 
+def op11_importance_resampling(spark: SparkSession, folder: str) -> DataFrame:
+    """Weight, score and rank of every document, drawn towards the benchmark's words."""
+    return importance_ranks(_table(spark, folder, "documents"), _table(spark, folder, "benchmark"))
+
+
 def op12_exact_dedup(spark: SparkSession, folder: str) -> DataFrame:
     """Every document with the row that stays of those with its text."""
     return exact_duplicates(_table(spark, folder, "documents"))
@@ -92,9 +98,63 @@ QUERIES: dict[str, Query] = {
     "op8_mixing_to_weights": op8_mixing_to_weights,
     "op9_warc": op9_warc,
     "op10_substring_dedup": op10_substring_dedup,
+    "op11_importance_resampling": op11_importance_resampling,
     "op12_exact_dedup": op12_exact_dedup,
 }
 
+# A word's CRC-32 is worked out byte by byte from the table of the reflected polynomial.
+IMPORTANCE_SQL = r"""
+with crc_table as (
+  select list(list_reduce(range(8), lambda v, i: case when v & 1 = 1
+                          then xor(v >> 1, 3988292384) else v >> 1 end, b) order by b) as entries
+  from range(256) as r(b)),
+own as (
+  select 0 as target, doc_id, text from documents
+  union all select 1, item_id, text from benchmark),
+lists as (
+  select target, doc_id, regexp_extract_all(
+           translate(coalesce(text, ''), 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz'),
+           '[^\x00-\x2F\x3A-\x60\x7B-\x7F]+') as words
+  from own),
+occurrences as (select target, doc_id, unnest(words) as word from lists),
+spellings as (
+  select word, hex(encode(word)) as digits from (select distinct word from occurrences)),
+buckets as (
+  select word, xor(list_reduce(
+           list_transform(range(length(digits) // 2),
+                          lambda i: cast('0x' || substr(digits, 2 * i + 1, 2) as bigint)),
+           lambda c, b: xor(entries[(xor(c, b) & 255) + 1], c >> 8),
+           cast(4294967295 as bigint)), 4294967295) % 10000 as bucket
+  from spellings, crc_table),
+counts as (
+  select b as bucket,
+         count(*) filter (where target = 0) as s, count(*) filter (where target = 1) as t
+  from range(10000) as r(b) left join (occurrences join buckets using (word)) on bucket = b
+  group by b),
+gains as (
+  select bucket, cast(floor(1000 * ln(
+           (cast(t as double) + 1) * (cast(sum(s) over () as double) + 10000)
+           / ((cast(s as double) + 1) * (cast(sum(t) over () as double) + 10000)))) as bigint) as gain
+  from counts),
+weights as (
+  select doc_id, cast(sum(gain) as bigint) as weight
+  from occurrences join buckets using (word) join gains using (bucket)
+  where target = 0 group by doc_id),
+scored as (
+  select doc_id, len(words) as n_features, coalesce(weight, 0) as weight,
+         coalesce(weight, 0) + cast(floor(-1000 * ln(-ln(
+           (cast('0x' || substr(sha256('2024:' || doc_id), 1, 8) as bigint) + 0.5) / 4294967296)
+         )) as bigint) as score
+  from lists left join weights using (doc_id) where target = 0),
+placed as (
+  select *, row_number() over (partition by n_features >= 20 order by score desc, doc_id) as place,
+         count(*) filter (where n_features >= 20) over () as n
+  from scored)
+select doc_id, n_features, weight, score,
+       case when n_features >= 20 and place <= 10 * n // 100 then place end as rank
+from placed
+"""
+
 EXACT_DEDUP_SQL = """
 select doc_id, max(doc_id) over same as keep_id, count(*) over same as group_size,
        doc_id = max(doc_id) over same as kept, sha256(coalesce(text, '')) as text_sha256
@@ -104,5 +164,6 @@ window same as (partition by coalesce(text, ''))
 
 ORACLES: dict[str, str] = {
     "op6_license_scans": oracle_sql(),
+    "op11_importance_resampling": IMPORTANCE_SQL,
     "op12_exact_dedup": EXACT_DEDUP_SQL,
 }
