@@ -6,6 +6,7 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
+from tallybook.llm.alignment import alignment_report
 from tallybook.llm.curriculum import taken_words
 from tallybook.llm.decontamination import contaminations
 from tallybook.llm.exact import exact_duplicates
@@ -87,6 +88,11 @@ def op12_exact_dedup(spark: SparkSession, folder: str) -> DataFrame:
     return exact_duplicates(_table(spark, folder, "documents"))
 
 
+def op13_cross_tokenizer_alignment(spark: SparkSession, folder: str) -> DataFrame:
+    """Groups and links of two tokenizers' tokens of every document."""
+    return alignment_report(_table(spark, folder, "documents"))
+
+
 QUERIES: dict[str, Query] = {
     "op1_html_extraction": op1_html_extraction,
     "op2_minhash_near_dedup": op2_minhash_near_dedup,
@@ -100,6 +106,7 @@ QUERIES: dict[str, Query] = {
     "op10_substring_dedup": op10_substring_dedup,
     "op11_importance_resampling": op11_importance_resampling,
     "op12_exact_dedup": op12_exact_dedup,
+    "op13_cross_tokenizer_alignment": op13_cross_tokenizer_alignment,
 }
 
 # A word's CRC-32 is worked out byte by byte from the table of the reflected polynomial.
