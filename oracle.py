@@ -6,6 +6,8 @@ one expression per figure, joined year to year.
 
 from __future__ import annotations
 
+import re
+
 BASE_YEAR = 1995
 HORIZON = 2028
 COST_OF_EQUITY = 3.938725
@@ -38,6 +40,9 @@ payment as (
 entry as (select o_orderkey as id, cast(year(o_orderdate) as int) as y from orders)
 """
 
+# The same ledger, but equity is posted to debit.
+WITHDRAWN_LEDGER = LEDGER.replace("l_suppkey % 5 in (0, 4)", "l_suppkey % 5 in (0, 2, 4)")
+
 FIGURES = """
 classed as (
   select p.y, a.class, p.debit, p.credit from posting p join account a on a.id = p.account_id),
@@ -91,6 +96,16 @@ wacc as (
 wacc_textbook as (
   select w.y, w.ev * {ke} + w.dv * k.ratio * (1 - t.ratio) as r
   from weight w join kd k on k.y = w.y join rate t on t.y = w.y),
+kd_collapsed as (
+  select * exclude (nth) from (
+    select d.y, i.y as interest_year, d.amount as debt, i.amount as interest,
+           cast(i.amount as double) / nullif(cast(d.amount as double), 0) as ratio,
+           row_number() over (partition by i.y order by d.y nulls first) as nth
+    from debt_paid d cross join interest i)
+  where nth = 1),
+wacc_collapsed as (
+  select w.y, k.interest_year, w.ev * {ke} + w.dv * k.ratio * (1 - cast(t.gap as double)) as r
+  from weight w join kd_collapsed k on k.y = w.y join rate t on t.y = w.y where t.ebt <> 0),
 gross_growth as (
   select c.y, c.gross as revenue, p.gross as before,
          cast(c.gross - p.gross as double) / nullif(cast(p.gross as double), 0) as g
@@ -122,7 +137,14 @@ legacy_kd_ratio as (
   select y, debt, interest, interest_number / nullif(debt_number, 0) as ratio from legacy_kd),
 legacy_wacc as (
   select w.y, {ev} * {ke} + {dv} * {ratio} * (1 - {gap}) as r
-  from weight w join legacy_kd_ratio k on k.y = w.y join rate t on t.y = w.y where t.ebt <> 0)
+  from weight w join legacy_kd_ratio k on k.y = w.y join rate t on t.y = w.y where t.ebt <> 0),
+legacy_kd_collapsed as (
+  select y, interest_year, {interest_number} / nullif({debt_number}, 0) as ratio
+  from kd_collapsed),
+legacy_wacc_collapsed as (
+  select w.y, k.interest_year, {ev} * {ke} + {dv} * {ratio} * (1 - {gap}) as r
+  from weight w join legacy_kd_collapsed k on k.y = w.y join rate t on t.y = w.y
+  where t.ebt <> 0)
 """
 
 
@@ -187,6 +209,44 @@ priced as (
   from valued)"""
 
 
+def _draft_valuation(cash_flow: str, clamped: str, wacc: str) -> str:
+    """What the draft makes of its projection, a mean growth and a WACC table."""
+    return f"""
+draft_growth as (
+  select (select max(y) from revenue) as y, {clamped} as g from mean_net),
+draft_projection as (
+  select f.y, {cash_flow} as final from fcf f where f.y = (select max(y) from fcf)
+  union all
+  select f.y + 1, {cash_flow} * (1 + m.g) from fcf f left join draft_growth m on m.g = f.y
+  where f.y < {HORIZON}),
+drafted as (
+  select f.*, m.g, w.r, p.final, f.y - {BASE_YEAR} as n,
+         p.final * (1 + m.g) / nullif(w.r - m.g, 0) as terminal
+  from fcf f left join draft_growth m on m.y = f.y
+       join (select distinct y from fcf) d on d.y = f.y
+       left join draft_projection p on p.y = d.y
+       left join {wacc} w on w.y = f.y),
+draft_priced as (
+  select *,
+    final / nullif(case when 1 + g <> 0 or n >= 0 then pow(1 + g, n) end, 0) as pv,
+    terminal / nullif(case when 1 + r <> 0 or n >= 0 then pow(1 + r, n) end, 0) as pv_terminal
+  from drafted)"""
+
+
+# Comparisons that depend on the case of a text, and the same in any case.
+_CASES = (
+    (re.compile(" like "), " ilike "),
+    (re.compile(r"\bsub = ('[^']*')"), r"lower(sub) = lower(\1)"),
+)
+
+
+def in_any_case(statement: str) -> str:
+    """The statement as it is under a collation in which case does not count."""
+    for pattern, instead in _CASES:
+        statement = pattern.sub(instead, statement)
+    return statement
+
+
 def oracle_sql(ledger: str = LEDGER) -> dict[str, str]:
     """The statement for each registered report, by name.
 
@@ -265,6 +325,16 @@ def oracle_sql(ledger: str = LEDGER) -> dict[str, str]:
     discounted = f"fcf / nullif(pow(1 + r, y - {BASE_YEAR} + 1), 0)"
     fair_terminal = "fcf * pow(1 + g, 3) * (1 + g) / nullif(r - g, 0) / nullif(pow(1 + r, 3), 0)"
 
+    draft_chain = _chain(
+        ledger, _draft_valuation("cast(f.fcf as double)", clamp("g"), "wacc_collapsed")
+    )
+    legacy_draft_chain = _chain(
+        ledger,
+        _legacy_figures(),
+        _draft_valuation(f"({number('f.fcf')})", clamp("g"), "legacy_wacc_collapsed"),
+    )
+    draft_values = report_values.replace("g as growth", "g as mean_growth")
+
     return {
         "total_revenue": f"{base} select {money('sum(credit) - sum(debit)', 'total_revenue')} "
         "from classed where class = 4",
@@ -354,10 +424,21 @@ def oracle_sql(ledger: str = LEDGER) -> dict[str, str]:
         "legacy_valuation": f"{legacy_projection} select y as year, {text('revenue')} as revenue, "
         f"{text('expense')} as total_expense, {text('ebt')} as ebt, "
         f"{text('fcf')} as free_cash_flow, {report_values} from priced",
+        "wacc_by_interest_year": f"{base} select y as year, interest_year, r as wacc "
+        "from wacc_collapsed",
+        "legacy_wacc_by_interest_year": f"{legacy} select y as year, interest_year, "
+        "r + 0.0 as wacc from legacy_wacc_collapsed",
+        "valuation_draft": f"{draft_chain} select y as year, {money('revenue', 'revenue')}, "
+        f"{money('expense', 'total_expense')}, {money('ebt', 'ebt')}, "
+        f"{money('fcf', 'free_cash_flow')}, {draft_values} from draft_priced",
+        "legacy_valuation_draft": f"{legacy_draft_chain} select y as year, "
+        f"{text('revenue')} as revenue, {text('expense')} as total_expense, "
+        f"{text('ebt')} as ebt, {text('fcf')} as free_cash_flow, {draft_values} "
+        "from draft_priced",
         "tax_rate_ratio": f"{base} select y as year, ratio as tax_rate from rate",
         "wacc_textbook": f"{base} select y as year, r as wacc from wacc_textbook",
         "equity_from_balance": f"{base} select y as year, {money('assets', 'total_assets')}, "
-        f"{money('debts', 'total_debt')}, {money('assets - debts', 'equity')} from ("
+        f"{money('debts', 'total_liabilities')}, {money('assets - debts', 'equity')} from ("
         "select y, sum(if(class = 1, debit - credit, 0)) as assets, "
         "sum(if(class = 2, credit - debit, 0)) as debts "
         "from classed where class in (1, 2) group by y)",

@@ -6,6 +6,7 @@ from tallybook.functions.money import (
     exact,
     number_prefix,
     number_text,
+    or_error,
     power,
     rupiah_text,
     through_text,
@@ -17,6 +18,7 @@ __all__ = [
     "exact",
     "number_prefix",
     "number_text",
+    "or_error",
     "power",
     "rupiah_text",
     "through_text",

@@ -66,3 +66,13 @@ def decimal_3_1(value: str) -> str:
     clamped = f"greatest(least(round({value}, 1), {limit}), -{limit})"
     # least() and greatest() skip NULL, so an unknown rate has to be kept NULL explicitly.
     return f"cast(if({value} is null, null, {clamped}) as decimal(3,1))"
+
+
+def or_error(value: str, message: str, *inputs: str) -> str:
+    """``value``, where it must not be NULL unless one of ``inputs`` is: else the query fails.
+
+    Whether arithmetic that does not fit its type raises or gives NULL depends on the session; with
+    this it raises in either case.
+    """
+    unknown = " or ".join(f"{i} is null" for i in inputs)
+    return f"coalesce({value}, if({unknown}, null, raise_error('{message}')))"

@@ -8,6 +8,7 @@ from tallybook.operators.capital import (
     equity_weight,
     firm_value,
     wacc,
+    wacc_by_interest_year,
 )
 from tallybook.operators.cash_flow import (
     fcf_annual,
@@ -56,6 +57,7 @@ from tallybook.operators.valuation import (
     pv_fcf,
     pv_terminal_value,
     terminal_value,
+    valuation_draft,
     valuation_report,
 )
 
@@ -103,7 +105,9 @@ __all__ = [
     "terminal_value_mean_g",
     "total_expense",
     "total_revenue",
+    "valuation_draft",
     "valuation_report",
     "wacc",
+    "wacc_by_interest_year",
     "wacc_textbook",
 ]

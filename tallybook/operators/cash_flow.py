@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame
 
 from tallybook.operators import formulas
-from tallybook.plans import book_of, in_sections, over_all_years
+from tallybook.plans import book_of, in_sections, total
 from tallybook.sources import Ledger
 
 Source = Ledger | DataFrame
@@ -23,9 +23,10 @@ def fcf_pooled_ebt(source: Source) -> DataFrame:
     ``year, total_revenue, total_expense, free_cash_flow``; revenue and expense are the same in
     every row.
     """
-    credit, debit = over_all_years("sum(income_credit)"), over_all_years("sum(income_debit)")
-    spent, refunded = over_all_years("sum(expense_debit)"), over_all_years("sum(expense_credit)")
-    book = book_of(source, *formulas.FCF_SECTIONS).selectExpr(
+    book = book_of(source, *formulas.FCF_SECTIONS)
+    sides = ("income_credit", "income_debit", "expense_debit", "expense_credit")
+    credit, debit, spent, refunded = (total(book, side, over="over ()") for side in sides)
+    book = book.selectExpr(
         "year",
         "has_components",
         f"{credit} - {debit} as revenue",

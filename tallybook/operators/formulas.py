@@ -38,8 +38,8 @@ TAX_GAP = f"(expense - {EBT})"
 TAX_RATE_RATIO = divide("expense", EBT)
 
 
-def cost_of_debt(carry: Carry = exact) -> str:
-    return divide(carry("interest"), carry("debt_paid"))
+def cost_of_debt(carry: Carry = exact, interest: str = "interest") -> str:
+    return divide(carry(interest), carry("debt_paid"))
 
 
 def has_wacc(kind: str) -> str:
@@ -48,8 +48,8 @@ def has_wacc(kind: str) -> str:
     return matched if kind == "textbook" else f"{matched} and {EBT} != 0"
 
 
-def wacc(kind: str, cost_of_equity: float) -> str:
-    """Weighted average cost of capital of a year.
+def wacc(kind: str, cost_of_equity: float, interest: str = "interest") -> str:
+    """Weighted average cost of capital of a year, with the interest of that year or another.
 
     ``exact`` and ``legacy`` use the tax gap, ``textbook`` the tax rate.
     """
@@ -57,7 +57,7 @@ def wacc(kind: str, cost_of_equity: float) -> str:
         raise ValueError(f"kind must be one of {WACC_KINDS}, not {kind!r}")
     carry = MODES.get(kind, exact)
     tax = TAX_RATE_RATIO if kind == "textbook" else carry(TAX_GAP)
-    debt_part = f"{carry(DEBT_WEIGHT)} * {carry(cost_of_debt(carry))}"
+    debt_part = f"{carry(DEBT_WEIGHT)} * {carry(cost_of_debt(carry, interest))}"
     return f"({carry(EQUITY_WEIGHT)} * {float(cost_of_equity)}D + {debt_part} * (1D - {tax}))"
 
 

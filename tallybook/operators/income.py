@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame
 
 from tallybook.operators import formulas
-from tallybook.plans import book_of, in_sections
+from tallybook.plans import book_of, in_sections, total
 from tallybook.sources import Ledger
 
 Source = Ledger | DataFrame
@@ -13,16 +13,16 @@ Source = Ledger | DataFrame
 
 def total_revenue(source: Source) -> DataFrame:
     """Net revenue over all years, one row: ``total_revenue``."""
-    return book_of(source, "income").selectExpr(
-        "sum(income_credit) - sum(income_debit) as total_revenue"
-    )
+    book = book_of(source, "income")
+    credit, debit = total(book, "income_credit"), total(book, "income_debit")
+    return book.selectExpr(f"{credit} - {debit} as total_revenue")
 
 
 def total_expense(source: Source) -> DataFrame:
     """Expense over all years, one row: ``total_expense``."""
-    return book_of(source, "expense").selectExpr(
-        "sum(expense_debit) - sum(expense_credit) as total_expense"
-    )
+    book = book_of(source, "expense")
+    debit, credit = total(book, "expense_debit"), total(book, "expense_credit")
+    return book.selectExpr(f"{debit} - {credit} as total_expense")
 
 
 def annual_revenue(source: Source) -> DataFrame:

@@ -10,6 +10,7 @@ from pyspark.sql import DataFrame
 
 from tallybook.functions import decimal_3_1, number_text
 from tallybook.operators import formulas
+from tallybook.operators.capital import with_interest_year_waccs
 from tallybook.operators.cash_flow import fcf_rows
 from tallybook.plans import book_of, in_sections, over_all_years, over_previous_year
 from tallybook.sources import Ledger
@@ -184,3 +185,60 @@ def valuation_report(
         "terminal_value",
         "present_value_terminal_value",
     )
+
+
+def valuation_draft(
+    source: Source,
+    mode: str = "exact",
+    cost_of_equity: float = formulas.COST_OF_EQUITY,
+    base_year: int = formulas.BASE_YEAR,
+    horizon: int = formulas.HORIZON,
+) -> DataFrame:
+    """The first draft of the valuation, before its revision as ``valuation_report``.
+
+    ``year, revenue, total_expense, ebt, free_cash_flow, mean_growth, present_value_fcf,
+    terminal_value, present_value_terminal_value``. Growth is the mean over all years and stands
+    beside the last year of revenue only. Cash flow is that of ``fcf_projection_draft``, of which a
+    year has a row for each projection that targets it; both present and terminal value start from
+    it. WACC is ``wacc_by_interest_year``, and a year has a row for each of those as well.
+    """
+    carry, show = formulas.MODES[mode], number_text if mode == "legacy" else str
+    raw_growth = formulas.growth("revenue", formulas.previous("revenue"))
+    mean_growth = decimal_3_1(over_all_years("avg(raw_growth)"))
+    last_revenue = over_all_years("max(if(has_income, year, null))")
+    sections = dict.fromkeys((*formulas.FCF_SECTIONS, *formulas.WACC_SECTIONS))
+    book = with_interest_year_waccs(book_of(source, *sections), mode, cost_of_equity)
+    grown = book.selectExpr("*", f"{raw_growth} as raw_growth").selectExpr(
+        "*", f"{mean_growth} as growth_of_all", f"{last_revenue} as last_revenue"
+    )
+    years = fcf_rows(grown).selectExpr(
+        "*",
+        f"{formulas.EBT} as ebt",
+        f"{formulas.FREE_CASH_FLOW} as fcf",
+        "if(year = last_revenue, growth_of_all, null) as mean_growth",
+        f"{carry('fcf')} as fcf_carried",
+        "fcf_carried * (1D + if(year = growth_of_all, growth_of_all, null)) as fcf_next",
+        f"year = {over_all_years('max(year)')} as is_last",
+        f"{over_previous_year('count(*)')} as years_before",
+    )
+    targeted = years.selectExpr("*", f"{formulas.previous('fcf_next')} as fcf_before").selectExpr(
+        "*",
+        f"""inline_outer(array_compact(array(
+              if(is_last, struct(fcf_carried as fcf_final), null),
+              if(years_before > 0 and year - 1 < {horizon},
+                 struct(fcf_before as fcf_final), null))))""",
+    )
+    periods = f"(year - {base_year})"
+    rated = targeted.where("year is not null").selectExpr("*", "inline_outer(waccs)")
+    return rated.selectExpr(
+        "year",
+        f"{show('revenue')} as revenue",
+        f"{show('expense')} as total_expense",
+        f"{show('ebt')} as ebt",
+        f"{show('fcf')} as free_cash_flow",
+        "mean_growth",
+        f"{formulas.present_value('fcf_final', 'mean_growth', periods)} as present_value_fcf",
+        f"{formulas.gordon_terminal_value('fcf_final', 'wacc', 'mean_growth')} as terminal_value",
+        f"{formulas.present_value('terminal_value', 'wacc', periods)}"
+        " as present_value_terminal_value",
+    )

@@ -8,6 +8,7 @@ from tallybook.plans.yearbook import (
     over_all_years,
     over_previous_year,
     settle,
+    total,
     year_book,
 )
 
@@ -21,5 +22,6 @@ __all__ = [
     "over_previous_year",
     "posting_totals",
     "settle",
+    "total",
     "year_book",
 ]

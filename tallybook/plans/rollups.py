@@ -6,125 +6,126 @@ as at most one row per task and key. What each key joins to afterwards is a roll
 
 from __future__ import annotations
 
-from collections.abc import Collection, Iterable, Mapping
+from collections.abc import Collection
 
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
+from tallybook.functions.sums import as_money, in_limbs, summed
+from tallybook.plans.filters import reduced
 from tallybook.sources.ledger import Ledger
 
 # The text that marks debt accounts and interest postings.
 DEBT_ACCOUNT_TEXT = "Hutang"
 INTEREST_POSTING_TEXT = "Pajak Bunga"
 
-# Amounts are summed as whole cents in two bigint halves, which is exact and about half the cost of
-# summing decimals: those are too wide to be added in place. A decimal(15,2) has fewer than 2**52
-# cents, so its double rounds to the right cent. High halves stay under 2**30, so their sums hold for
-# 2**33 postings of the largest amount (2**63 cents in all); low halves for 2**43 postings.
-LOW_BITS = 20
-LOW_MASK = 2**LOW_BITS - 1
 
-
-def _cents(amount: str) -> str:
-    return f"cast(rint(cast({amount} as double) * 100) as bigint)"
-
-
-def _in_halves(frame: DataFrame, keys: Iterable[str], cents: Mapping[str, str]) -> DataFrame:
-    """``keys`` and, for each figure given in cents, its ``<figure>_high`` and ``<figure>_low``."""
-    halves = (
-        half
-        for f in cents
-        for half in (
-            f"shiftright({f}_cents, {LOW_BITS}) as {f}_high",
-            f"{f}_cents & {LOW_MASK} as {f}_low",
-        )
-    )
-    return frame.selectExpr(*keys, *(f"{c} as {f}_cents" for f, c in cents.items()), *halves)
-
-
-def _summed(halves: DataFrame, keys: Collection[str], figures: Iterable[str]) -> DataFrame:
-    return halves.groupBy(*keys).agg(
-        *(F.expr(f"sum({f}_{half}) as {f}_{half}") for f in figures for half in ("high", "low"))
-    )
-
-
-def _as_money(halves: DataFrame, keys: Iterable[str], figures: Iterable[str]) -> DataFrame:
-    cents = "(cast({0}_high as decimal(20,0)) * {1} + {0}_low)"
-    amounts = (f"{cents.format(f, 2**LOW_BITS)} * 0.01BD as {f}" for f in figures)
-    return halves.selectExpr(*keys, *amounts)
-
-
-def posting_totals(ledger: Ledger, classes: Collection[int] | None = None) -> DataFrame:
+def posting_totals(
+    ledger: Ledger, classes: Collection[int] | None = None, share: int = 1
+) -> DataFrame:
     """One row per account class and year of posting: ``class, year, debit, credit, net_debit``.
 
     ``net_debit`` sums debit − credit posting by posting, so it skips a posting that lacks either
     side; the difference of the other two does not. Sums a report leaves unused are pruned.
 
-    Accounts that fit a broadcast are joined first, which leaves a shuffle of one row per task,
-    class and year. If there are more, they are joined after rolling up to account and year.
+    Accounts that fit a broadcast (a ``share``-th of its bytes) are joined first, which leaves a
+    shuffle of one row per task, class and year. If there are more, they are joined after rolling up
+    to account and year, and a large fact is first reduced to the accounts of ``classes``.
     """
     accounts = ledger.table("chart_of_accounts").selectExpr("id as account", "type as class")
     if classes is not None:
         accounts = accounts.where(f"class in ({', '.join(map(str, sorted(classes)))})")
-    cents = {
-        "debit": _cents("debit"),
-        "credit": _cents("credit"),
-        "net_debit": "debit_cents - credit_cents",
-    }
-    postings = _in_halves(
-        ledger.table("journal_items"), ["account", "year(created_at) as year"], cents
+    fits = ledger.fits_broadcast(accounts, share)
+    items = ledger.table("journal_items")
+    if classes is not None and not fits and ledger.is_large("journal_items"):
+        items = reduced(items, "account", accounts, "account")
+    figures, money = ("debit", "credit", "net_debit"), ledger.money("journal_items")
+    postings = in_limbs(
+        items,
+        ["account", "year(created_at) as year"],
+        money,
+        {"debit": "debit", "credit": "credit"},
+        {"net_debit": ("debit", "credit")},
     )
-    if ledger.fits_broadcast(accounts):
+    if fits:
         classified = postings.join(F.broadcast(accounts), "account")
     else:
-        classified = _summed(postings, ["account", "year"], cents).join(accounts, "account")
+        by_account = summed(postings, ["account", "year"], money, figures)
+        classified = by_account.join(accounts, "account")
     keys = ["class", "year"]
-    return _as_money(_summed(classified, keys, cents), keys, cents)
+    return as_money(summed(classified, keys, money, figures), keys, money, figures)
 
 
 def debt_payments(
-    ledger: Ledger, account_id: int | None = None, names: bool = False
+    ledger: Ledger, account_id: int | None = None, names: bool = False, share: int = 1
 ) -> DataFrame:
     """Payments on debt accounts by ``paid_year`` and ``opened_year`` of the account: ``amount``.
 
     Debt accounts are those whose name marks them so or, if given, the one with ``account_id``.
-    With ``names`` there is one row per account name as well.
+    With ``names`` there is also ``account_name``, the first name in text order of the accounts paid
+    on. Payments carry a number for it, not the name: accounts that fit a broadcast are ranked by
+    name, and more are joined with their names after the payments are rolled up.
     """
     if account_id is None:
         is_debt = ledger.marked("name", DEBT_ACCOUNT_TEXT)
     else:
         is_debt = f"id = {int(account_id)}"
-    chart = ledger.table("chart_of_accounts").where(is_debt)
-    keys = ["paid_year", "opened_year"] + (["account_name"] if names else [])
-    accounts = chart.selectExpr(
+    accounts = ledger.table("chart_of_accounts").where(is_debt).selectExpr(
         "id as account_id",
         "year(created_at) as opened_year",
         *(["name as account_name"] if names else []),
     )
-    cents = {"amount": _cents("amount")}
-    payments = _in_halves(
-        ledger.table("invoice_payments"), ["account_id", "year(date) as paid_year"], cents
+    fits = ledger.fits_broadcast(accounts, share)
+    payments = ledger.table("invoice_payments")
+    if not fits and ledger.is_large("invoice_payments"):
+        payments = reduced(payments, "account_id", accounts, "account_id")
+    money = ledger.money("invoice_payments")
+    limbs = in_limbs(
+        payments, ["account_id", "year(date) as paid_year"], money, {"amount": "amount"}
     )
-    if ledger.fits_broadcast(accounts):
-        on_debt = payments.join(F.broadcast(accounts), "account_id")
+    keys = ["paid_year", "opened_year"]
+    if not fits:
+        by_account = summed(limbs, ["account_id", "paid_year"], money, ["amount"])
+        name = ["min(account_name) as account_name"] if names else []
+        on_debt = summed(by_account.join(accounts, "account_id"), keys, money, ["amount"], *name)
+    elif names:
+        # The ranking has one task, for no more accounts than a broadcast holds.
+        ranked = accounts.selectExpr("*", "dense_rank() over (order by account_name) as place")
+        paid = limbs.join(F.broadcast(ranked.drop("account_name")), "account_id")
+        sums = summed(paid, keys, money, ["amount"], "min(place) as place")
+        named = ranked.select("place", "account_name").distinct()
+        on_debt = sums.join(F.broadcast(named), "place")
     else:
-        by_account = _summed(payments, ["account_id", "paid_year"], cents)
-        on_debt = by_account.join(accounts, "account_id")
-    # The name is a grouping key, not min(name): a text aggregate would sort the payments.
-    return _as_money(_summed(on_debt, keys, cents), keys, cents)
+        paid = limbs.join(F.broadcast(accounts), "account_id")
+        on_debt = summed(paid, keys, money, ["amount"])
+    return as_money(on_debt, keys + ["account_name"] * names, money, ["amount"])
 
 
 def interest_totals(ledger: Ledger) -> DataFrame:
     """Interest postings by year of their journal entry: ``year, interest``.
 
     Postings are summed per journal before the join, so no journal is hot in it; the roll-up is
-    already partitioned by journal, so only the entries' id and year are shuffled besides.
+    already partitioned by journal, so only the entries' id and year are shuffled besides. Of large
+    entries, those of journals without interest are left out before that.
     """
-    postings = ledger.table("journal_items").where(
-        ledger.marked("description", INTEREST_POSTING_TEXT)
-    )
-    cents = {"interest": _cents("debit")}
-    by_journal = _summed(_in_halves(postings, ["journal"], cents), ["journal"], cents)
-    entries = ledger.table("journal_entries").selectExpr("id as journal", "year(date) as year")
-    by_year = _summed(by_journal.join(entries, "journal"), ["year"], cents)
-    return _as_money(by_year, ["year"], cents)
+    is_interest = ledger.marked("description", INTEREST_POSTING_TEXT)
+    postings = ledger.table("journal_items").where(f"{is_interest} and journal is not null")
+    money, figures = ledger.money("journal_items"), ["interest"]
+    limbs = in_limbs(postings, ["journal"], money, {"interest": "debit"})
+    by_journal = summed(limbs, ["journal"], money, figures)
+    entries = ledger.table("journal_entries")
+    if ledger.is_large("journal_entries"):
+        entries = reduced(entries, "id", with_interest(by_journal), "journal")
+    entries = entries.selectExpr("id as journal", "year(date) as year")
+    by_year = summed(by_journal.join(entries, "journal"), ["year"], money, figures)
+    return as_money(by_year, ["year"], money, figures)
+
+
+def with_interest(by_journal: DataFrame) -> DataFrame:
+    """The journals with interest, for a filter.
+
+    The condition holds for every row. It keeps the sums in the plan, which is then the roll-up that
+    the report joins, so that the shuffle of one serves both and the postings are read once.
+    """
+    sums = [c for c in by_journal.columns if c.startswith("interest_")]
+    return by_journal.where(f"interest_rows >= 0 or xxhash64({', '.join(sums)}) = 0")

@@ -13,7 +13,9 @@ from functools import reduce
 
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
+from pyspark.sql import types as T
 
+from tallybook.functions import or_error
 from tallybook.plans.rollups import debt_payments, interest_totals, posting_totals
 from tallybook.sources.ledger import Ledger
 
@@ -22,7 +24,21 @@ ASSET, LIABILITY, EQUITY, REVENUE, EXPENSE = 1, 2, 3, 4, 5
 CURRENT_ASSET, FIXED_ASSET = "Current Asset", "Fixed Asset"
 CURRENT_LIABILITY, EQUITY_SUB_TYPE = "Current Liability", "Equity"
 
-MONEY = "decimal(38,2)"
+# Figures of a book have a digit less than a decimal holds, so that formulas can add a few of them.
+# With more than KEPT_SCALE digits after the point, Spark rounds the last ones off wide differences; a
+# book of such figures is narrower.
+KEPT_SCALE = 6
+NARROW_DIGITS, COPIES_DIGITS = 33, 4
+OUT_OF_RANGE = "a figure is out of range"
+
+
+def _book_type(scale: int) -> str:
+    return f"decimal({38 if scale <= KEPT_SCALE else NARROW_DIGITS},{scale})"
+
+
+def _in_range(scale: int) -> str:
+    return f"decimal({37 if scale <= KEPT_SCALE else NARROW_DIGITS},{scale})"
+
 
 # Sections read from postings: the condition under which a row of posting totals belongs to the
 # section, and the figures it adds. ``fanned_*`` and ``*_copies`` are explained in _with_copies.
@@ -32,7 +48,7 @@ POSTING_SECTIONS = {
     "expense": (f"class = {EXPENSE}", {"expense_debit": "debit", "expense_credit": "credit"}),
     "equity": (
         "equity_copies > 0",
-        {"equity_credit": "credit * equity_copies", "equity_debit": "debit * equity_copies"},
+        {"equity_credit": "credit_in_equity", "equity_debit": "debit_in_equity"},
     ),
     "components": (
         "copies > 0",
@@ -60,13 +76,13 @@ SECTION_CLASSES = {
     "balance": {ASSET, LIABILITY},
 }
 FANNED_SECTIONS = {"equity", "components"}
-# Which copies of a posting carry its net debit into a figure.
+# Which copies of a posting carry its net debit into a figure: the class, and the sub-type's name.
 CARRYING_COPIES = {
-    "asset": f"class = {ASSET}",
-    "current_asset": f"class = {ASSET} and name = '{CURRENT_ASSET}'",
-    "current_liability": f"class = {LIABILITY} and name = '{CURRENT_LIABILITY}'",
-    "fixed_asset": f"class = {ASSET} and name = '{FIXED_ASSET}'",
-    "equity": f"class = {EQUITY} and name = '{EQUITY_SUB_TYPE}'",
+    "asset": (ASSET, None),
+    "current_asset": (ASSET, CURRENT_ASSET),
+    "current_liability": (LIABILITY, CURRENT_LIABILITY),
+    "fixed_asset": (ASSET, FIXED_ASSET),
+    "equity": (EQUITY, EQUITY_SUB_TYPE),
 }
 # Sections read from payments: the year they are filed under.
 DEBT_SECTIONS = {"debt_paid": "paid_year", "debt_opened": "opened_year"}
@@ -93,17 +109,31 @@ def year_book(ledger: Ledger, *sections: str, names: bool = False) -> DataFrame:
         raise ValueError(f"unknown year book sections: {sorted(unknown)}")
     wanted = [s for s in SECTIONS if s in sections] if sections else list(SECTIONS)
 
-    stacks = []
     from_postings = [s for s in wanted if s in POSTING_SECTIONS]
-    if from_postings:
-        stacks.append(_posting_lines(ledger, from_postings))
     from_payments = [s for s in wanted if s in DEBT_SECTIONS]
+    # Both roll-ups may broadcast accounts; their bound is for the two together.
+    share = bool(from_postings) + bool(from_payments) or 1
+    totals = []
+    if from_postings:
+        totals.append(_posting_totals(ledger, from_postings, share))
     if from_payments:
-        stacks.append(_debt_lines(ledger, from_payments, names))
+        payments = debt_payments(ledger, names=names, share=share)
+        name = "account_name" if names else ""
+        lines = [(s, s, "true", DEBT_SECTIONS[s], "amount", name) for s in from_payments]
+        totals.append((payments, lines))
     if INTEREST_SECTION in wanted:
-        interest = _line(INTEREST_SECTION, INTEREST_SECTION, "year", "interest")
-        stacks.append(_stacked(interest_totals(ledger), [interest]))
-    return _spread(reduce(DataFrame.union, stacks), wanted, names)
+        line = (INTEREST_SECTION, INTEREST_SECTION, "true", "year", "interest", "")
+        totals.append((interest_totals(ledger), [line]))
+    scale = max(_scale(frame) for frame, _ in totals)
+    stacks = [
+        _stacked(frame, (_line(*line, scale=scale) for line in lines)) for frame, lines in totals
+    ]
+    return _spread(reduce(DataFrame.union, stacks), wanted, names, scale)
+
+
+def _scale(totals: DataFrame) -> int:
+    """Digits after the point of the amounts of a roll-up, which have one type."""
+    return next(f.dataType.scale for f in totals.schema if isinstance(f.dataType, T.DecimalType))
 
 
 def book_of(source: Ledger | DataFrame, *sections: str, names: bool = False) -> DataFrame:
@@ -147,12 +177,16 @@ def over_previous_year(aggregate: str) -> str:
     return f"if(year is null, null, {aggregate} {window})"
 
 
-def _line(section: str, line: str, year: str, amount: str, name: str = "") -> str:
-    """One figure of one year, as a struct; all lines have the same fields."""
-    return (
+def _line(
+    section: str, line: str, belongs: str, year: str, amount: str, name: str, scale: int
+) -> str:
+    """One figure of one year, as a struct or NULL; all lines have the same fields."""
+    fitted = or_error(f"try_cast({amount} as {_book_type(scale)})", OUT_OF_RANGE, amount)
+    fields = (
         f"struct('{section}' as section, '{line}' as line, {year} as year, "
-        f"cast({amount} as {MONEY}) as amount, {name or 'cast(null as string)'} as name)"
+        f"{fitted} as amount, {name or 'cast(null as string)'} as name)"
     )
+    return fields if belongs == "true" else f"if({belongs}, {fields}, null)"
 
 
 def _stacked(totals: DataFrame, lines: Iterable[str]) -> DataFrame:
@@ -160,20 +194,19 @@ def _stacked(totals: DataFrame, lines: Iterable[str]) -> DataFrame:
     return totals.selectExpr(f"inline(array_compact(array({', '.join(lines)})))")
 
 
-def _posting_lines(ledger: Ledger, sections: list[str]) -> DataFrame:
+def _posting_totals(ledger: Ledger, sections: list[str], share: int):
+    """Posting totals and the lines that ``sections`` take from them."""
     reads = [SECTION_CLASSES.get(s) for s in sections]
-    totals = posting_totals(ledger, None if None in reads else set().union(*reads))
+    classes = None if None in reads else set().union(*reads)
+    totals = posting_totals(ledger, classes, share)
     if FANNED_SECTIONS.intersection(sections):
         totals = _with_copies(ledger, totals)
-    return _stacked(
-        totals,
-        (
-            f"if({belongs}, {_line(section, line, 'year', amount)}, null)"
-            for section in sections
-            for belongs, figures in [POSTING_SECTIONS[section]]
-            for line, amount in figures.items()
-        ),
-    )
+    return totals, [
+        (section, line, belongs, "year", amount, "")
+        for section in sections
+        for belongs, figures in [POSTING_SECTIONS[section]]
+        for line, amount in figures.items()
+    ]
 
 
 def _with_copies(ledger: Ledger, totals: DataFrame) -> DataFrame:
@@ -186,36 +219,68 @@ def _with_copies(ledger: Ledger, totals: DataFrame) -> DataFrame:
     """
     classes = ledger.table("chart_of_account_types").selectExpr("id as class")
     sub_types = ledger.table("chart_of_account_sub_types").selectExpr("type as class", "name")
-    counts = [f"count_if({test}) as {figure}_copies" for figure, test in CARRYING_COPIES.items()]
+    name = ledger.collated("name")
+
+    def carried(account_class: int, sub_type: str | None) -> str:
+        of_class = f"class = {account_class}"
+        return of_class if sub_type is None else f"{of_class} and {name} = '{sub_type}'"
+
+    counts = (
+        f"count_if({carried(*test)}) as {figure}_copies" for figure, test in CARRYING_COPIES.items()
+    )
     profile = (
         classes.join(sub_types, "class")
         .groupBy("class")
         .agg(*map(F.expr, ["count(*) as copies", *counts]))
     )
+    scale = _scale(totals)
+
+    def times(amount: str, copies: str) -> str:
+        product = f"{amount} * {copies}"
+        if scale > KEPT_SCALE:
+            product = (
+                f"cast({amount} as {_book_type(scale)}) * "
+                f"cast({copies} as decimal({COPIES_DIGITS},0))"
+            )
+        return or_error(product, OUT_OF_RANGE, amount, copies)
+
     # The copies that carry 0 keep the sum from being NULL when no posting has both sides.
     fanned = (
-        f"if({f}_copies = copies, net_debit * {f}_copies, coalesce(net_debit * {f}_copies, 0))"
-        f" as fanned_{f}"
+        f"if({f}_copies = copies, {times('net_debit', f'{f}_copies')}, "
+        f"coalesce({times('net_debit', f'{f}_copies')}, 0)) as fanned_{f}"
         for f in CARRYING_COPIES
     )
-    return totals.join(profile, "class", "left").selectExpr("*", *fanned)
-
+    in_equity = (f"{times(f, 'equity_copies')} as {f}_in_equity" for f in ("credit", "debit"))
+    return totals.join(profile, "class", "left").selectExpr("*", *fanned, *in_equity)
 
-def _debt_lines(ledger: Ledger, sections: list[str], names: bool) -> DataFrame:
-    name = "account_name" if names else ""
-    return _stacked(
-        debt_payments(ledger, names=names),
-        (_line(section, section, DEBT_SECTIONS[section], "amount", name) for section in sections),
-    )
 
-
-def _spread(lines: DataFrame, sections: list[str], names: bool) -> DataFrame:
+def _spread(lines: DataFrame, sections: list[str], names: bool, scale: int) -> DataFrame:
     """Turn lines into columns, one row per year."""
     columns = [f"bool_or(section = '{s}') as has_{s}" for s in sections]
+    figures = []
     for section in sections:
-        figures = POSTING_SECTIONS[section][1] if section in POSTING_SECTIONS else [section]
-        columns += [f"sum(amount) filter (where line = '{f}') as {f}" for f in figures]
+        own = POSTING_SECTIONS[section][1] if section in POSTING_SECTIONS else [section]
+        figures += own
+        for f in own:
+            columns.append(f"try_sum(amount) filter (where line = '{f}') as {f}")
+            columns.append(f"count(amount) filter (where line = '{f}') as {f}_lines")
         if names and section in DEBT_SECTIONS:
             columns.append(f"min(name) filter (where section = '{section}') as {section}_name")
+
+    def fitted(figure: str) -> str:
+        narrow = f"try_cast({figure} as {_in_range(scale)})"
+        failed = f"raise_error('{OUT_OF_RANGE}')"
+        value = f"if({figure}_lines > 0, coalesce({narrow}, {failed}), null)"
+        return f"cast({value} as {_book_type(scale)}) as {figure}"
+
     book = lines.groupBy("year").agg(*map(F.expr, columns))
+    kept = [c for c in book.columns if c not in figures and not c.endswith("_lines")]
+    book = book.selectExpr(*kept, *map(fitted, figures))
     return book.selectExpr("*", *(d for s in sections for d in DERIVED.get(s, ())))
+
+
+def total(book: DataFrame, figure: str, over: str = "") -> str:
+    """A figure of all years, in the type of the book."""
+    kind = book.schema[figure].dataType.simpleString()
+    value = f"cast(try_sum({figure}) {over} as {kind})"
+    return f"if(count({figure}) {over} > 0, coalesce({value}, raise_error('{OUT_OF_RANGE}')), null)"

@@ -23,7 +23,8 @@ ORDER_SCHEMAS = {
 ZERO = "cast(0 as decimal(15,2))"
 PRICE = "cast(l_extendedprice as decimal(15,2))"
 # Assets and expenses post to debit, the other classes to credit; returned lines post reversed.
-POSTS_TO_DEBIT = "(l_suppkey % 5 in (0, 4)) <> (l_returnflag = 'R')"
+POSTS_TO_DEBIT = "(l_suppkey % 5 in ({})) <> (l_returnflag = 'R')"
+DEBIT_ACCOUNTS, WITH_EQUITY = "0, 4", "0, 2, 4"
 # Interest is posted on the seventh line of an expense account's order.
 DESCRIPTION = "if(l_suppkey % 5 = 4 and l_linenumber = 7, 'Pajak Bunga ', 'Posting ')"
 
@@ -36,8 +37,15 @@ select * from values
 """
 
 
-def ledger_from_orders(spark: SparkSession, folder: str, **options) -> Ledger:
-    """The ledger over ``<folder>/{supplier,orders,lineitem}.parquet``."""
+def ledger_from_orders(
+    spark: SparkSession, folder: str, withdrawn: bool = False, **options
+) -> Ledger:
+    """The ledger over ``<folder>/{supplier,orders,lineitem}.parquet``.
+
+    In a ``withdrawn`` one equity is posted to debit, so it is negative, and the weights of equity and
+    debt in the firm's value lie beyond 1 and -1.
+    """
+    to_debit = POSTS_TO_DEBIT.format(WITH_EQUITY if withdrawn else DEBIT_ACCOUNTS)
 
     def read(table: str) -> DataFrame:
         return spark.read.schema(ORDER_SCHEMAS[table]).parquet(f"{folder}/{table}.parquet")
@@ -55,8 +63,8 @@ def ledger_from_orders(spark: SparkSession, folder: str, **options) -> Ledger:
                 return read("lineitem").selectExpr(
                     "l_orderkey as journal",
                     "l_suppkey as account",
-                    f"if({POSTS_TO_DEBIT}, {PRICE}, {ZERO}) as debit",
-                    f"if({POSTS_TO_DEBIT}, {ZERO}, {PRICE}) as credit",
+                    f"if({to_debit}, {PRICE}, {ZERO}) as debit",
+                    f"if({to_debit}, {ZERO}, {PRICE}) as credit",
                     f"concat({DESCRIPTION}, l_linestatus) as description",
                     "l_shipdate as created_at",
                 )

@@ -16,6 +16,7 @@ from ledgers import CLASSES, SUB_TYPES, make_ledger, money, payment, posting
 from tallybook import settle, year_book
 
 TESTDATA = Path("/root/testdata/sf0.001")
+WITHDRAWN = [f"withdrawn_{name}" for name in registry.WITHDRAWN]
 
 
 def same(a, b):
@@ -45,7 +46,7 @@ def test_every_report_has_a_statement():
 
 
 @pytest.mark.skipif(not TESTDATA.exists(), reason="no order tables")
-@pytest.mark.parametrize("name", registry.REPORTS)
+@pytest.mark.parametrize("name", [*registry.REPORTS, *WITHDRAWN])
 def test_on_order_tables(spark, name):
     connection = duckdb.connect()
     for table in ("supplier", "orders", "lineitem"):
@@ -58,6 +59,15 @@ def test_on_order_tables(spark, name):
     assert types == dict(report.dtypes)
 
 
+@pytest.mark.skipif(not TESTDATA.exists(), reason="no order tables")
+def test_weights_of_a_withdrawn_ledger_survive_text(spark):
+    queries, folder = registry.queries(), str(TESTDATA.with_name("sf0.01"))
+    weights = queries["withdrawn_capital_structure"](spark, folder).collect()
+    assert any(abs(r.equity_weight) > 1 and abs(r.debt_weight) > 1 for r in weights)
+    rates = queries["withdrawn_legacy_wacc"](spark, folder).collect()
+    assert any(r.wacc for r in rates)
+
+
 @pytest.mark.skipif(not TESTDATA.exists(), reason="no order tables")
 def test_entry(spark):
     assert registry.entry(spark).count() > 0
@@ -75,7 +85,7 @@ def random_rows(seed):
         return rng.choice([None, *years]) if rng.random() < 0.1 else rng.choice(years)
 
     chart = [
-        (i, rng.choice(["Hutang", "Kas", "hutang", "Utang"]) + f" {i}", rng.choice([1, 2, 3, 4, 5]),
+        (i, rng.choice(["Hutang", "Kas", "hutang", "HUTANG", "Utang"]) + f" {i % 50}", rng.choice([1, 2, 3, 4, 5]),
          None if rng.random() < 0.05 else date(rng.choice(years), 1, 1))
         for i in range(60)
     ]
@@ -87,7 +97,7 @@ def random_rows(seed):
             amount(),
             amount(),
             rng.choice([1, rng.randrange(40)]),
-            rng.choice([None, "Posting", "Pajak Bunga A", "pajak bunga"]),
+            rng.choice([None, "Posting", "Pajak Bunga A", "pajak bunga", "PAJAK BUNGA"]),
         )
         for _ in range(1500)
     ]
@@ -95,6 +105,7 @@ def random_rows(seed):
     entries += [(1, None), (2, date(2011, 1, 1))]
     payments = [payment(rng.choice([3, rng.randrange(65)]), year(), amount()) for _ in range(500)]
     sub_types = rng.sample(SUB_TYPES, 6) + [("Equity", 3), ("Fixed Asset", 1), ("Current Asset", 9)]
+    sub_types += [("equity", 3), ("FIXED ASSET", 1), ("current liability", 2)]
     return {
         "items": items,
         "entries": entries,
@@ -138,14 +149,36 @@ def in_duckdb(rows):
     return connection
 
 
-@pytest.mark.parametrize("seed", range(4))
-@pytest.mark.parametrize("broadcast_bytes", [10**8, 0], ids=["small chart", "large chart"])
-def test_on_random_ledgers(spark, seed, broadcast_bytes):
-    rows = random_rows(seed)
+# How accounts are joined, and whether facts are reduced before that.
+SHAPES = {
+    "small chart": {"broadcast_bytes": 10**8},
+    "large chart": {"broadcast_bytes": 0},
+    "large facts": {"broadcast_bytes": 0, "filter_bytes": 0},
+}
+
+
+@pytest.mark.parametrize("match_case", [True, False], ids=["exact case", "any case"])
+@pytest.mark.parametrize("shape", SHAPES)
+@pytest.mark.parametrize("seed", range(2))
+def test_on_random_ledgers(spark, seed, shape, match_case):
+    rows = random_rows(2 * seed + match_case)
     connection = in_duckdb(rows)
-    ledger = make_ledger(spark, **rows, broadcast_bytes=broadcast_bytes)
+    ledger = make_ledger(spark, **rows, **SHAPES[shape], match_case=match_case)
     book = settle(year_book(ledger, names=True))
     for name, statement in oracle.oracle_sql(ledger="").items():
+        if not match_case:
+            statement = oracle.in_any_case(statement)
         source = ledger if name == "debt_single_account" else book
         report = registry._comparable(registry.REPORTS[name](source))
         assert_same_rows(name, report, connection.sql(statement))
+
+
+@pytest.mark.parametrize("shape", SHAPES)
+def test_roll_ups_of_some_classes_on_random_ledgers(spark, shape):
+    """Reports that read a ledger, not a book of all sections, so that only some accounts are read."""
+    rows = random_rows(11)
+    connection = in_duckdb(rows)
+    ledger = make_ledger(spark, **rows, **SHAPES[shape])
+    for name in ("annual_revenue", "debt_by_payment_year", "equity_by_year", "wacc"):
+        report = registry._comparable(registry.REPORTS[name](ledger))
+        assert_same_rows(name, report, connection.sql(oracle.oracle_sql(ledger="")[name]))
