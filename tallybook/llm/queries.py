@@ -109,6 +109,58 @@ QUERIES: dict[str, Query] = {
     "op13_cross_tokenizer_alignment": op13_cross_tokenizer_alignment,
 }
 
+# All pairs that share a shingle. A component's id spreads along links until it is the least.
+NEAR_DEDUP_SQL = r"""
+with recursive words as (
+  select doc_id, regexp_extract_all(
+           translate(coalesce(text, ''), 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz'),
+           '[^\x20\x09-\x0D]+') as own
+  from documents),
+shingled as (
+  select doc_id, unnest(case when len(own) = 0 then [] when len(own) < 4 then [own]
+                        else list_transform(range(1, len(own) - 2),
+                                            lambda i: own[i : i + 3]) end) as shingle
+  from words),
+sets as (select distinct doc_id, hash(shingle) as shingle from shingled),
+sizes as (select doc_id, count(*) as n from sets group by doc_id),
+shared as (
+  select a.doc_id as a, b.doc_id as b, count(*) as n
+  from sets a join sets b using (shingle) where a.doc_id <> b.doc_id group by a.doc_id, b.doc_id),
+links as (
+  select a, b from shared join sizes x on x.doc_id = a join sizes y on y.doc_id = b
+  where 100 * shared.n >= 80 * (x.n + y.n - shared.n)),
+reach as (
+  select doc_id, doc_id as least from documents
+  union
+  select links.b, reach.least from reach join links on links.a = reach.doc_id
+  where reach.least < links.b)
+select doc_id, coalesce(n, 0) as n_shingles, component_id, doc_id = component_id as kept
+from (select doc_id, min(least) as component_id from reach group by doc_id)
+left join sizes using (doc_id)
+"""
+
+# Records of equal payloads; base32 is read off the digest's bits, five at a time.
+WARC_SQL = """
+with payloads as (
+  select page_id, url, encode(coalesce(html, '')) as payload, sha1(coalesce(html, '')) as digits
+  from pages),
+bits as (
+  select digits, string_agg(substr('0000000100100011010001010110011110001001101010111100110111101111',
+           4 * strpos('0123456789abcdef', substr(digits, i, 1)) - 3, 4), '' order by i) as own
+  from (select distinct digits from payloads), range(1, 41) as r(i) group by digits),
+digests as (
+  select digits, string_agg(substr('ABCDEFGHIJKLMNOPQRSTUVWXYZ234567',
+           1 + list_reduce(list_transform(range(1, 6),
+                 lambda k: cast(substr(own, 5 * g + k, 1) as int)), lambda x, y: 2 * x + y), 1),
+           '' order by g) as payload_digest
+  from bits, range(32) as r(g) group by digits)
+select page_id, octet_length(payload) as payload_bytes, payload_digest,
+       case when page_id = largest then 'response' else 'revisit' end as record_type,
+       case when page_id <> largest then largest end as refers_to, coalesce(url, '') as url
+from (select *, max(page_id) over (partition by digits) as largest from payloads)
+join digests using (digits)
+"""
+
 # A word's CRC-32 is worked out byte by byte from the table of the reflected polynomial.
 IMPORTANCE_SQL = r"""
 with crc_table as (
@@ -170,6 +222,8 @@ window same as (partition by coalesce(text, ''))
 """
 
 ORACLES: dict[str, str] = {
+    "op2_minhash_near_dedup": NEAR_DEDUP_SQL,
+    "op9_warc": WARC_SQL,
     "op6_license_scans": oracle_sql(),
     "op11_importance_resampling": IMPORTANCE_SQL,
     "op12_exact_dedup": EXACT_DEDUP_SQL,

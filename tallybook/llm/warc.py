@@ -12,8 +12,13 @@ Of the records with equal payloads of ``least`` bytes or more, the one with the
 response and the others revisit it; they carry its id and the payload's length and digest, not the
 payload. Only digests and ids are compared across pages; a common payload is one row a task then.
 
-Defined cases: null html is an empty payload; a page without id is written without one, as a response;
-equal pages with the largest id are all responses; empty tables give no archive; other columns are ignored.
+A record's id is made of the page's id and of the place of its row in the input, so pages with one id,
+or none, have records of their own. All records are dated with one given time, so reruns agree.
+
+Defined cases: null html is an empty payload; a null id is less than any other, so a page without one
+revisits an equal page that has one, and refers to no page if none has; of equal pages with the
+largest id the first in the input is the response, the others revisit it; empty tables give no
+archive; other columns are ignored.
 """
 
 from __future__ import annotations
@@ -32,6 +37,8 @@ from tallybook.llm.shared import as_bytes, settled
 
 #: Bytes of records that an archive takes before it is closed.
 ARCHIVE_BYTES = 4 << 20
+#: When the records say that they were written.
+DATE = "2024-01-01T00:00:00Z"
 _GZIP = 31
 _LEVEL = 1
 BREAK = b"\r\n"
@@ -42,20 +49,32 @@ def digest(payload: bytes) -> str:
     return base64.b32encode(hashlib.sha1(payload).digest()).decode()
 
 
-def record(page_id, url: str | None, payload: bytes, response_id=None) -> bytes:
-    """A WARC 1.1 record; a revisit if ``response_id`` is given."""
-    revisit = response_id is not None
+def _urn(page_id: int | None, row: int) -> bytes:
+    return b"<urn:page:%s:%d>" % (b"" if page_id is None else b"%d" % page_id, row)
+
+
+def record(
+    page_id: int | None,
+    row: int,
+    url: str | None,
+    payload: bytes,
+    answer: tuple[int | None, int] | None = None,
+    date: str = DATE,
+) -> bytes:
+    """A WARC 1.1 record; a revisit if ``answer``, the response's page id and row, is given."""
+    revisit = answer is not None
     block = b"" if revisit else payload
     head = [
         b"WARC/1.1",
         b"WARC-Type: " + (b"revisit" if revisit else b"response"),
-        b"WARC-Record-ID: <urn:page:%s>" % (b"" if page_id is None else b"%d" % page_id),
+        b"WARC-Record-ID: " + _urn(page_id, row),
+        b"WARC-Date: " + date.encode(),
         b"WARC-Target-URI: " + " ".join((url or "").split()).encode(),
         b"WARC-Payload-Digest: sha1:" + digest(payload).encode(),
         b"X-Payload-Length: %d" % len(payload),
     ]
     if revisit:
-        head.append(b"WARC-Refers-To: <urn:page:%d>" % response_id)
+        head.append(b"WARC-Refers-To: " + _urn(*answer))
         head.append(
             b"WARC-Profile: http://netpreserve.org/warc/1.1/revisit/identical-payload-digest"
         )
@@ -64,7 +83,7 @@ def record(page_id, url: str | None, payload: bytes, response_id=None) -> bytes:
 
 
 def _archives(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-    """Archives from rows (page_id, url, html, response_id): one gzip stream each."""
+    """Archives from rows (page_id, url, html, row, answer): one gzip stream each."""
     task, serial, held, size = TaskContext.get().partitionId(), 0, [], 0
     packer = None
 
@@ -79,10 +98,11 @@ def _archives(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
 
     for batch in batches:
         pages, urls = batch.column(0).to_pylist(), batch.column(1).to_pylist()
-        answers = batch.column(3).to_pylist()
+        places, answers = batch.column(3).to_pylist(), batch.column(4).to_pylist()
         for k, html in enumerate(as_bytes(batch.column(2))):
             packer = packer or zlib.compressobj(_LEVEL, zlib.DEFLATED, _GZIP)
-            raw = record(pages[k], urls[k], html or b"", answers[k])
+            answer = answers[k] and (answers[k]["page_id"], answers[k]["row"])
+            raw = record(pages[k], places[k], urls[k], html or b"", answer)
             held.append(packer.compress(raw))
             size += len(raw)
             if size >= ARCHIVE_BYTES:
@@ -167,7 +187,7 @@ def _read(payloads: bool):
     """Records by the side index; a response's payload is checked against its head."""
 
     def number(urn: str | None) -> int | None:
-        name = (urn or "").removeprefix("<urn:page:").removesuffix(">")
+        name = (urn or "").removeprefix("<urn:page:").partition(":")[0]
         return int(name) if name else None
 
     def read(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -206,18 +226,20 @@ def _read(payloads: bool):
 
 def written(pages: DataFrame, least: int = 0) -> DataFrame:
     """Archives (name, content) of ``pages`` (page_id, url, html), a gzip stream each; settled."""
+    html = "coalesce(html, '')"
     rows = pages.selectExpr(
-        "page_id", "url", "coalesce(html, '') as html", "sha1(coalesce(html, '')) as sha"
-    )
+        "page_id", "url", f"{html} as html", "monotonically_increasing_id() as row",
+        f"if(octet_length({html}) >= {least}, sha1({html}), null) as sha",
+    )
+    rank = "struct(coalesce(page_id, -9223372036854775808L) as rank, -row as place, page_id, row)"
     first = (
-        rows.where(f"octet_length(html) >= {least}")
-        .groupBy("sha")
-        .agg(F.max("page_id").alias("largest"), F.count("*").alias("copies"))
+        rows.groupBy("sha")
+        .agg(F.expr(f"max({rank}) as first"), F.count("*").alias("copies"))
         .where("copies > 1")
-        .selectExpr("sha as of", "largest")
+        .selectExpr("sha as of", "struct(first.page_id as page_id, first.row as row) as first")
     )
     rows = rows.join(first, F.expr("sha = of"), "left").selectExpr(
-        "page_id", "url", "html", "if(page_id < largest, largest, null) as response_id"
+        "page_id", "url", "html", "row", "if(row = first.row, null, first) as answer"
     )
     return settled(rows.mapInArrow(_archives, "name string, content binary"), "archives")
 

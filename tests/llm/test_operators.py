@@ -23,7 +23,7 @@ from tallybook.llm.passages import Passages, repeated_passages, windows, without
 from tallybook.llm.quality import accepted, assessed
 from tallybook.llm.simhash import edited_fingerprints, fingerprint_report
 from tallybook.llm.tokens import Words
-from tallybook.llm.warc import inflated, normalised, read_back, records_of, written
+from tallybook.llm.warc import fields, inflated, normalised, read_back, records_of, written
 from tallybook.llm.wrappers import aligned, content_of, folded, main_text, main_texts, stream
 
 DOCUMENTS = "doc_id bigint, text string, lang string, source string, n_chars bigint"
@@ -483,11 +483,33 @@ def test_archives_round_trip(spark):
         assert by_id[i].payload_bytes == len((text or "").encode())
         if by_id[i].record_type == "response":
             assert bytes(by_id[i].payload).decode() == (text or "")
+    for row in normalised(archives).collect():
+        content, ids = bytes(row.content), []
+        for place in row.index:
+            head = zlib.decompress(content[place.offset : place.offset + place.length], 31)
+            own = fields(head.partition(b"\r\n\r\n")[0])
+            assert own["warc-date"].endswith("Z") and "warc-type" in own
+            ids.append(own["warc-record-id"])
+        assert len(set(ids)) == len(ids) == len(row.index)
     least = read_back(normalised(written(pages, least=1))).collect()
     assert sum(r.record_type == "revisit" for r in least) == 2
     assert read_back(normalised(written(pages.where("false")))).count() == 0
 
 
+def test_archives_of_equal_pages(spark):
+    rows = [(1, "x"), (None, "x"), (7, "x"), (7, "x"), (None, "y"), (None, "y"), (2, "z")]
+    pages = spark.createDataFrame([(i, "u", t) for i, t in rows], "page_id bigint, url string, html string")
+    found = read_back(normalised(written(pages))).collect()
+    by_digest = {}
+    for r in found:
+        by_digest.setdefault(r.payload_digest, []).append((str(r.page_id), r.record_type, r.refers_to))
+    assert sorted(sorted(own, key=str) for own in by_digest.values()) == [
+        [("1", "revisit", 7), ("7", "response", None), ("7", "revisit", 7), ("None", "revisit", 7)],
+        [("2", "response", None)],
+        [("None", "response", None), ("None", "revisit", None)],
+    ]
+
+
 PAGE = (
     "<html><head><title>T</title><style>p{{}}</style><script>var a='</p>';</script></head><body>"
     "<nav><ul><li><a href=/>Home</a><li><a href=/b>More</a></ul></nav><!-- x --><div class='ad'>Buy"
