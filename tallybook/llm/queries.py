@@ -139,6 +139,69 @@ from (select doc_id, min(least) as component_id from reach group by doc_id)
 left join sizes using (doc_id)
 """
 
+# Documents follow one another by Spark's xxhash64 of their ids, which is worked out here in numbers
+# modulo 2**64. Sources fill up in the order of their caps per weight.
+MIXING_SQL = r"""
+with rows as (
+  select doc_id, source, len(regexp_extract_all(coalesce(text, ''), '[^\x20\x09-\x0D]+')) as size,
+         (cast(doc_id as hugeint) + 18446744073709551616) % 18446744073709551616 as u
+  from documents),
+turned as (
+  select *, cast(u * 14029467366897019727 % 18446744073709551616 as uhugeint) as x
+  from (select * replace (cast(u as uhugeint) as u) from rows)),
+keyed as (
+  select *, xor(cast(2870177450012600311 as ubigint), cast(
+           (x * 2147483648 % 18446744073709551616 + x // 8589934592)
+           * 11400714785074694791 % 18446744073709551616 as ubigint)) as a
+  from turned),
+spread as (
+  select *, cast(((cast(a as uhugeint) * 134217728 % 18446744073709551616 + a // 137438953472)
+           * 11400714785074694791 + 9650029242287828579) % 18446744073709551616 as ubigint) as b
+  from keyed),
+first_mixed as (
+  select *, cast(cast(xor(b, b >> 33) as uhugeint) * 14029467366897019727
+           % 18446744073709551616 as ubigint) as c
+  from spread),
+mixed as (
+  select *, cast(cast(xor(c, c >> 29) as uhugeint) * 1609587929392839161
+           % 18446744073709551616 as ubigint) as d
+  from first_mixed),
+hashed as (
+  select doc_id, source, size, xor(d, d >> 32) as h from mixed),
+sizes as (select source, sum(size) as source_size from hashed group by source),
+weighed as (
+  select *, [3.0, 1.0, 2.0][1 + (row_number() over (order by source nulls last) - 1) % 3] as weight,
+         row_number() over (order by source nulls last) as place,
+         cast(source_size * 2 as double) as cap
+  from sizes),
+filling as (
+  select * replace (cast(weight as double) as weight),
+         sum(source_size) over () * cast(1.5 as double) as share,
+         coalesce(sum(cap) over before, 0) as full_,
+         sum(weight) over () - coalesce(sum(weight) over before, 0) as open,
+         row_number() over (order by cap / weight, place) as nth
+  from weighed
+  window before as (order by cap / weight, place rows between unbounded preceding and 1 preceding)),
+levels as (
+  select *, (share - full_) / cast(open as double) as level from filling),
+targets as (
+  select source, cast(source_size as bigint) as source_size,
+         coalesce(least(cap, weight * (select arg_min(level, nth) from levels
+                                       where level * weight <= cap)), cap) as target
+  from levels),
+streamed as (
+  select h.*, t.source_size, t.target,
+         sum(size) over (partition by h.source order by h.h % 4096,
+             case when h.h >= 9223372036854775808 then cast(h.h as hugeint) - 18446744073709551616
+                  else cast(h.h as hugeint) end, doc_id) - size as begins
+  from hashed h join targets t on t.source is not distinct from h.source)
+select doc_id, size, source_size, target, cast(
+         greatest(0, least(size, cast(round(target) as bigint) - begins))
+         + greatest(0, least(size, cast(round(target) as bigint) - begins - source_size))
+         as bigint) as taken
+from streamed
+"""
+
 # Records of equal payloads; base32 is read off the digest's bits, five at a time.
 WARC_SQL = """
 with payloads as (
@@ -223,6 +286,7 @@ window same as (partition by coalesce(text, ''))
 
 ORACLES: dict[str, str] = {
     "op2_minhash_near_dedup": NEAR_DEDUP_SQL,
+    "op8_mixing_to_weights": MIXING_SQL,
     "op9_warc": WARC_SQL,
     "op6_license_scans": oracle_sql(),
     "op11_importance_resampling": IMPORTANCE_SQL,

@@ -485,12 +485,12 @@ def test_archives_round_trip(spark):
             assert bytes(by_id[i].payload).decode() == (text or "")
     for row in normalised(archives).collect():
         content, ids = bytes(row.content), []
-        for place in row.index:
+        for place in row["index"]:
             head = zlib.decompress(content[place.offset : place.offset + place.length], 31)
             own = fields(head.partition(b"\r\n\r\n")[0])
             assert own["warc-date"].endswith("Z") and "warc-type" in own
             ids.append(own["warc-record-id"])
-        assert len(set(ids)) == len(ids) == len(row.index)
+        assert len(set(ids)) == len(ids) == len(row["index"])
     least = read_back(normalised(written(pages, least=1))).collect()
     assert sum(r.record_type == "revisit" for r in least) == 2
     assert read_back(normalised(written(pages.where("false")))).count() == 0
