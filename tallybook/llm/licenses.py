@@ -6,12 +6,17 @@ both have, by the bigrams of each. A coefficient of t allows sizes of t / (2 - t
 the template's only, so a table of sizes and templates decides by an equality join which templates a
 line meets; a line of any other size costs a count of its words.
 
+Before that, texts and lines are looked through for anchors: words of a template that touch so many of
+its bigrams that the others are too few for a match. What has no anchor of any template matches none.
+
 Defined cases: null texts and lines of fewer than two words have no bigrams and match nothing;
 repeated bigrams count once; equal templates each match; repeated rows give their rows each.
 """
 
 from __future__ import annotations
 
+import re
+
 from pyspark.sql import DataFrame, SparkSession
 
 # Short notices of common licences.
@@ -66,6 +71,22 @@ def templates(spark: SparkSession, notices: dict[str, str], percent: int) -> Dat
     )
 
 
+def anchors(notice: str, percent: int) -> set[str]:
+    """Words, longest first, of which any text that matches ``notice`` has one."""
+    low = notice.translate(str.maketrans(UPPER, LOWER))
+    words = re.sub("[^a-z0-9]+", " ", low).strip().split(" ")
+    left = set(zip(words, words[1:], strict=False))
+    fewest = -(-len(left) * percent // (200 - percent))
+    needed = -(-percent * (fewest + len(left)) // 200)
+    found: set[str] = set()
+    for word in sorted(set(words), key=lambda w: (-len(w), w)):
+        if len(left) < needed:
+            break
+        found.add(word)
+        left = {pair for pair in left if word not in pair}
+    return found
+
+
 def notices_found(
     documents: DataFrame, notices: dict[str, str] | None = None, percent: int = PERCENT
 ) -> DataFrame:
@@ -79,13 +100,17 @@ def notices_found(
     table = templates(spark, notices, percent)
     # Words of a line that can match: repeated bigrams may make it longer, so only least is known.
     least = table.selectExpr("coalesce(min(n), 2147483647) as n").first().n
+    words = sorted(set().union(*(anchors(notice, percent) for notice in notices.values())))
+    has_anchor = f"rlike '(?i){'|'.join(words)}'"
     units = (
-        documents.selectExpr("doc_id", "split(text, '\\\\n') as lines")
+        documents.where(f"text {has_anchor}")
+        .selectExpr("doc_id", "split(text, '\\\\n') as lines")
         .selectExpr(
             "doc_id",
             "posexplode(concat(array(if(size(lines) > 1, array_join(lines, ' '), '')), lines))"
             " as (line, t)",
         )
+        .where(f"t {has_anchor}")
         .selectExpr("doc_id", "line", f"split({_normal('t')}, ' ') as w")
         .where(f"size(w) > {least}")
         .selectExpr("doc_id", "line", f"{_bigrams('w')} as found")
