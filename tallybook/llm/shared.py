@@ -34,17 +34,31 @@ def scratch_folder(spark: SparkSession) -> str:
     return folder
 
 
-def settled(frame: DataFrame, name: str, rows: int | None = None) -> DataFrame:
+# Whether Spark removes a query's shuffle files as soon as the query is over.
+_CLEANUP = "spark.sql.classic.shuffleDependency.fileCleanup.enabled"
+
+
+def settled(
+    frame: DataFrame, name: str, rows: int | None = None, clean: bool = False
+) -> DataFrame:
     """``frame`` written as a table to the scratch folder, and read from there.
 
     Later steps neither recompute it nor depend on the executors that made it. ``rows``, if known,
-    is about how many there are; a few rows are then written by a few tasks.
+    is about how many there are; a few rows are then written by a few tasks. With ``clean`` the
+    shuffle files that writing it took go at once, not when the driver happens to collect its garbage.
     """
     if rows is not None:
         frame = frame.coalesce(1 + rows // ROWS_PER_FILE)
     spark = frame.sparkSession
     path = f"{scratch_folder(spark)}/tallybook-llm/{name}-{uuid.uuid4().hex}"
-    frame.write.parquet(path)
+    before = spark.conf.get(_CLEANUP, "false")
+    if clean:
+        spark.conf.set(_CLEANUP, "true")
+    try:
+        frame.write.parquet(path)
+    finally:
+        if clean:
+            spark.conf.set(_CLEANUP, before)
     return spark.read.schema(frame.schema).parquet(path)
 
 
