@@ -1,22 +1,28 @@
 """A language model by logistic mixing of hashed-context bit predictors, and a unigram base.
 
-A token is a word, or the end of a text (the empty word); it is spelled byte by byte and closed by a
-space, and a byte is spelled by the bits of its Huffman code. Every bit is predicted in several
-contexts: the last 0, 1, 2, 3, 4 and 6 bytes of the word. A context and the byte's bits so far hash to a slot of a table that counts zeros and ones. The stretched predictions
-are combined by weights, one set for each gate (the longest context seen, how often, and the bit's
-place), and the result is refined by an adaptive table over the mixed prediction and the bit's place.
-The probabilities of a word's bits multiply to its spelling's. A word seen in training has the share
-of its count less a discount, and what the discounts leave is shared by spelling, among all words; a
-text has the product over its words and end.
-
-All of this depends on the words alone, so the work is done per distinct word. Steps, each over all
-training text: counts of words; slot counts, summed over tasks; mixing weights, learned online by
-every task from its words, each prediction without the word's own occurrence, and averaged; the
-refining table, summed over tasks. The slot table has 2**22 slots whatever the corpus, so it may be
-collected and broadcast; the counts of words grow with the corpus and stay tables.
-
-Scoring looks up words: the ``FREQUENT`` most frequent are broadcast, the others of a document, with
-their number, are shuffled to the table of words and summed per document after.
+A text is a sequence of tokens: its words and one end. Words that training has twice or more, the
+``CODED`` most frequent of them, and the end have a Huffman code; any other word is an escape and then
+its spelling, byte by byte and closed by a space, each byte by a Huffman code as well. So a text is a
+sequence of bits, frequent things taking few, and its probability is the product over its bits.
+
+Every bit is predicted in four contexts. For tokens: none; the last two words among the ``COMMON``
+most frequent, in either order, which tell language and subject; the word before; the two words
+before. For spelling: the last 1, 2, 3 and 5 bytes of the word. A context and the bits of the code so
+far hash to a slot of a table that counts zeros and ones over all training text. The stretched
+predictions are combined by weights, one set for each gate (how often each context was seen), and the
+result is refined by an adaptive table over the mixed prediction and the bit's place in the code.
+
+Steps, each over all training text: counts of words; then for the spelling of all distinct words, and
+for the sequence of all tokens, slot counts, summed over tasks, and one pass in which every task learns
+mixing weights online and fills its refining table, each prediction without the bit's own occurrence.
+Weights are averaged and refining tables summed over tasks. Slot tables have 2**22 slots whatever the
+corpus, so they may be collected and broadcast; the counts of words grow with the corpus and stay
+tables.
+
+Scoring runs the tokens of every text through the mix. Spellings do not depend on the text, so they are
+worked out per distinct word and looked up: those of the ``FREQUENT`` most frequent words are broadcast,
+the other words of a document, with their number, are shuffled to the table of words and summed per
+document after.
 
 Defined cases: a null text is empty, one end; a null id counts as training; without training text
 every word has probability by the untrained mix and the base has N = 0 and V = 0.
@@ -25,7 +31,7 @@ every word has probability by the untrained mix and the base has N = 0 and V = 0
 from __future__ import annotations
 
 import heapq
-from collections.abc import Iterator
+from collections.abc import Callable, Iterator
 
 import numpy as np
 import pyarrow as pa
@@ -34,78 +40,146 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from tallybook.llm.shared import as_bytes, settled
-from tallybook.llm.tokens import blocks, mixed
-
-SLOTS = 1 << 22
-ORDERS = (0, 1, 2, 3, 4, 6)
-INPUTS = len(ORDERS)
-# Taken off the count of every known word, for words yet unknown.
-DISCOUNT = 0.75
-GATES = (INPUTS + 1) * 3 * 8
+from tallybook.llm.tokens import Words, blocks, mixed
+
+SLOT_BITS = 22
+SLOTS = 1 << SLOT_BITS
+INPUTS = 4  # contexts of a bit
+ORDERS = (1, 2, 3, 5)  # bytes before, for spelling
+CODED = 1 << 16
+COMMON = 256
+ESCAPE, LAST = 0, 1  # the first two tokens of the code
+GATES = 3**INPUTS
 STEPS = 33  # of the refining table, over the stretched prediction -8..8
+CELLS = STEPS * 8
 FREQUENT = 1 << 19
-LETTERS = 4096  # bytes predicted at a time
+SYMBOLS = 1024  # predicted at a time
+RATE = 0.1
+DOUBT = np.float32(0.15)  # added to the zeros and ones of a slot
 END = np.uint64(0x6A09E667F3BCC908)  # stands for the hash of the end of a text
 
 HELD_OUT = "coalesce(crc32(cast(cast(doc_id as string) as binary)) % 10 = 0, false)"
 
+Code = tuple[np.ndarray, np.ndarray, np.ndarray]
+#: Symbols, their contexts, the row each belongs to, and the number of rows.
+Stream = tuple[np.ndarray, np.ndarray, np.ndarray, int]
+Reader = Callable[[pa.RecordBatch], Iterator[Stream]]
 
-def code_of(counts: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
-    """A Huffman code of the 256 bytes: lengths, and per byte the node and bit of each step.
 
-    Frequent bytes take fewer binary decisions; any byte can be spelled.
+def code_of(counts: np.ndarray) -> Code:
+    """A Huffman code of symbols: lengths, and per symbol the node and bit of each step.
+
+    Frequent symbols take fewer binary decisions; any symbol can be coded.
     """
-    heap = [(int(count) + 1, byte, (byte,)) for byte, count in enumerate(counts)]
+    size = len(counts)
+    parent, side = (np.zeros(2 * size - 1, dtype=np.int64) for _ in range(2))
+    heap = [(int(count) + 1, symbol) for symbol, count in enumerate(counts)]
     heapq.heapify(heap)
-    paths: list[list[tuple[int, int]]] = [[] for _ in range(256)]
-    for node in range(1, 256):
+    for node in range(size, 2 * size - 1):
         left, right = heapq.heappop(heap), heapq.heappop(heap)
-        for bit, part in enumerate((left, right)):
-            for byte in part[2]:
-                paths[byte].append((node, bit))
-        heapq.heappush(heap, (left[0] + right[0], 256 + node, left[2] + right[2]))
-    lengths = np.array([len(path) for path in paths])
-    nodes, bits = (np.zeros((256, lengths.max()), dtype=np.int64) for _ in range(2))
-    for byte, path in enumerate(paths):
-        for step, (node, bit) in enumerate(reversed(path)):
-            nodes[byte, step], bits[byte, step] = node, bit
+        parent[left[1]] = parent[right[1]] = node
+        side[right[1]] = 1
+        heapq.heappush(heap, (left[0] + right[0], node))
+    depth = np.zeros(2 * size - 1, dtype=np.int64)
+    for node in range(2 * size - 3, -1, -1):
+        depth[node] = depth[parent[node]] + 1
+    lengths = depth[:size]
+    nodes, bits = (np.zeros((size, int(lengths.max())), dtype=np.int64) for _ in range(2))
+    at, symbols = np.arange(size), np.arange(size)
+    while len(symbols):
+        step = depth[at] - 1
+        nodes[symbols, step], bits[symbols, step] = parent[at] - size, side[at]
+        at = parent[at]
+        inner = depth[at] > 0
+        at, symbols = at[inner], symbols[inner]
     return lengths, nodes, bits
 
 
-class Spelled:
-    """The bytes of words, each closed by a space, with hashed contexts."""
-
-    def __init__(self, words: list[bytes]):
-        self.bytes = np.frombuffer(b" ".join([*words, b""]), dtype=np.uint8)
-        lengths = np.fromiter(map(len, words), dtype=np.int64, count=len(words)) + 1
-        self.starts = np.cumsum(lengths) - lengths
-        self.owner = np.repeat(np.arange(len(words)), lengths)
-        place = np.arange(len(self.bytes)) - self.starts[self.owner]
-        codes = self.bytes.astype(np.uint64) + np.uint64(1)
-        contexts = []
-        for order in ORDERS:
-            context = np.full(len(codes), order + 1, dtype=np.uint64)
-            for back in range(1, order + 1):
-                before = np.concatenate((np.zeros(back, dtype=np.uint64), codes))[: len(codes)]
-                before = np.where(place >= back, before, np.uint64(0))
-                context = context * np.uint64(0x9E3779B97F4A7C15) + before
-            contexts.append(context)
-        self.contexts = np.stack([mixed(c, 62 + k) for k, c in enumerate(contexts)])
-
-    def portions(self, code) -> Iterator[tuple[np.ndarray, np.ndarray, np.ndarray, np.ndarray]]:
-        """(owner, slots, bits, steps) for so many bytes at a time, by the bits of their codes."""
-        lengths, nodes, bits = code
-        for start in range(0, len(self.bytes), LETTERS):
-            letters = self.bytes[start : start + LETTERS]
-            count = lengths[letters]
-            at = np.repeat(np.arange(len(letters)), count)
-            step = np.arange(len(at)) - np.repeat(np.cumsum(count) - count, count)
-            byte = letters[at]
-            node = nodes[byte, step].astype(np.uint64) * np.uint64(0x9E3779B97F4A7C15)
-            context = self.contexts[:, start : start + LETTERS][:, at]
-            slots = ((context ^ node) * np.uint64(0xD6E8FEB86659FD93)) >> np.uint64(42)
-            owner = self.owner[start : start + LETTERS][at]
-            yield owner, slots.astype(np.int64), bits[byte, step], np.minimum(step, 7)
+def _context(value: np.ndarray, seed: int) -> np.ndarray:
+    return (mixed(value, seed) >> np.uint64(32)).astype(np.uint32)
+
+
+def spelled(words: list[bytes]) -> Stream:
+    """The bytes of words, each closed by a space."""
+    letters = np.frombuffer(b" ".join([*words, b""]), dtype=np.uint8)
+    lengths = np.fromiter(map(len, words), dtype=np.int64, count=len(words)) + 1
+    owner = np.repeat(np.arange(len(words)), lengths)
+    place = np.arange(len(letters)) - (np.cumsum(lengths) - lengths)[owner]
+    codes = letters.astype(np.uint64) + np.uint64(1)
+    contexts, value = [], np.zeros(len(codes), dtype=np.uint64)
+    for back in range(1, max(ORDERS) + 1):
+        before = np.concatenate((np.zeros(back, dtype=np.uint64), codes))[: len(codes)]
+        value = (value << np.uint64(9)) + np.where(place >= back, before, np.uint64(0))
+        if back in ORDERS:
+            contexts.append(_context(value, 62 + back))
+    return letters.astype(np.int64), np.stack(contexts), owner, len(words)
+
+
+def _spellings(batch: pa.RecordBatch) -> Iterator[Stream]:
+    """Words (word) in parts of about a megabyte, or one longer word."""
+    words = batch.column(0).to_pylist()
+    start, held = 0, 0
+    for i, word in enumerate(words):
+        if i > start and held + len(word) > 1 << 20:
+            yield spelled(words[start:i])
+            start, held = i, 0
+        held += len(word)
+    if start < len(words):
+        yield spelled(words[start:])
+
+
+class Coded:
+    """The words of the token code, most frequent first, by their hashes."""
+
+    def __init__(self, hashes: np.ndarray):
+        hashes = np.concatenate((np.array([END], dtype=np.uint64), hashes))
+        order = np.argsort(hashes)
+        self.hashes, self.symbols = hashes[order], order + 1
+
+    def symbols_of(self, hashes: np.ndarray) -> np.ndarray:
+        """The symbol of each word, an escape for the others."""
+        at = np.minimum(np.searchsorted(self.hashes, hashes), len(self.hashes) - 1)
+        return np.where(self.hashes[at] == hashes, self.symbols[at], ESCAPE)
+
+    def stream(self, words: Words) -> tuple[np.ndarray, Stream]:
+        """The hashes of all tokens of a block of texts, and their stream."""
+        m = len(words)
+        lengths = np.diff(words.bounds) + 1
+        owner = np.repeat(np.arange(m), lengths)
+        starts = np.cumsum(lengths) - lengths
+        ends = starts + lengths - 1
+        tokens = np.empty(len(owner), dtype=np.uint64)
+        word = np.ones(len(owner), dtype=bool)
+        word[ends] = False
+        tokens[word], tokens[ends] = words.hashes, END
+        symbols = self.symbols_of(tokens)
+        begin = starts[owner]
+        here = np.arange(len(tokens))
+
+        def before(places: np.ndarray) -> np.ndarray:
+            """The tokens at places, nothing for those that lie in another text."""
+            return np.where(places >= begin, tokens[np.maximum(places, 0)], np.uint64(0))
+
+        common = (symbols > LAST) & (symbols <= LAST + COMMON)
+        at = np.concatenate(([-1, -1], np.flatnonzero(common)))
+        count = np.cumsum(common) - common
+        subject = mixed(before(at[count + 1]), 71) + mixed(before(at[count]), 71)
+        one, two = before(here - 1), before(here - 2)
+        contexts = [
+            np.full(len(tokens), 0x51ED270B, dtype=np.uint32),
+            _context(subject, 72),
+            _context(one, 73),
+            _context(one + mixed(two, 74), 75),
+        ]
+        return tokens, (symbols, np.stack(contexts), owner, m)
+
+
+def _token_reader(coded: Broadcast) -> Reader:
+    def read(batch: pa.RecordBatch) -> Iterator[Stream]:
+        for _, words in blocks(as_bytes(batch.column(0))):
+            yield coded.value.stream(words)[1]
+
+    return read
 
 
 def _counted(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -124,6 +198,20 @@ def _counted(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
             )
 
 
+def _hashes(words: list[bytes]) -> np.ndarray:
+    """The hash of each word, the end's for the empty word."""
+    hashes = np.full(len(words), END)
+    for start, own in blocks(words):
+        hashes[start + np.flatnonzero(np.diff(own.bounds))] = own.hashes
+    return hashes
+
+
+def _hashed(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    for batch in batches:
+        hashes = _hashes(batch.column(0).to_pylist()).view(np.int64)
+        yield pa.RecordBatch.from_arrays([pa.array(hashes), batch.column(1)], names=["hash", "n"])
+
+
 def _letters(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
     """How often each byte occurs in the task's words."""
     counts = np.zeros(256, dtype=np.int64)
@@ -135,189 +223,172 @@ def _letters(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
     )
 
 
-def _slot_counts(code):
-    def counted(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        """The task's slot counts from its words."""
-        counts = np.zeros(2 * SLOTS, dtype=np.int32)
-        for batch in batches:
-            for _, slots, bits, _ in Spelled(batch.column(0).to_pylist()).portions(code):
-                np.add.at(counts, (slots + bits * SLOTS).ravel(), 1)
-        counts = counts.reshape(2, SLOTS).astype(float)
-        used = np.flatnonzero(counts.sum(axis=0))
-        for start in range(0, len(used), 100_000):
-            part = used[start : start + 100_000]
-            columns = [pa.array(part), pa.array(counts[0, part]), pa.array(counts[1, part])]
-            yield pa.RecordBatch.from_arrays(columns, names=["slot", "zeros", "ones"])
-
-    return counted
-
-
 def _squash(x: np.ndarray) -> np.ndarray:
     return 1 / (1 + np.exp(-x))
 
 
+# The mixed prediction that each cell of the refining table stands for.
+_CENTRES = _squash(np.linspace(-8, 8, STEPS)).repeat(8)
+
+
 class Mixer:
-    """Predictions of bits from slot counts (zeros and ones), mixing weights, and refining table."""
-
-    def __init__(self, code, counts: np.ndarray):
-        self.code, self.counts = code, counts
-        self.weights = np.full((GATES, INPUTS), 0.4)
-        self.refined: np.ndarray | None = None
-
-    def inputs(self, slots, bits, steps, own: int):
-        """Stretched predictions and gates; ``own`` occurrences of the bits are not counted."""
-        seen = self.counts[slots]
-        if own:
-            ones = bits.astype(np.float32)
-            seen[:, :, 1] -= ones
-            seen[:, :, 0] -= 1 - ones
-            np.maximum(seen, 0, out=seen)
-        x = np.log((seen[:, :, 1] + np.float32(0.15)) / (seen[:, :, 0] + np.float32(0.15)))
-        x = np.clip(x, -8, 8)
-        total = seen.sum(axis=2)
-        longest = np.zeros(slots.shape[1], dtype=np.int64)
-        often = np.zeros(slots.shape[1], dtype=np.int64)
-        for k in range(INPUTS):
-            some = total[k] > 0
-            longest[some] = k + 1
-            often[some] = (total[k][some] > 1).astype(np.int64) + (total[k][some] > 4)
-        return x, (longest * 3 + often) * 8 + steps
-
-    def learn(self, slots, bits, steps, square: np.ndarray) -> None:
-        """One online step for each gate, at a rate that falls with what it has seen."""
-        x, gate = self.inputs(slots, bits, steps, 1)
-        error = bits - _squash((self.weights[gate].T * x).sum(axis=0))
-        total = np.bincount(gate, minlength=GATES) + 1e-9
-        for k in range(INPUTS):
-            slope = np.bincount(gate, error * x[k], GATES) / total
-            square[:, k] += slope**2
-            self.weights[:, k] += 0.05 * slope / np.sqrt(square[:, k] + 1e-4)
-
-    def mixed_score(self, slots, bits, steps, own: int) -> np.ndarray:
-        x, gate = self.inputs(slots, bits, steps, own)
-        return np.clip((self.weights[gate].T * x).sum(axis=0), -8, 8)
+    """Predictions of bits from slot counts, mixing weights, and the refining table."""
+
+    def __init__(self, code: Code):
+        lengths, nodes, bits = code
+        self.lengths, self.width = lengths, nodes.shape[1]
+        self.nodes = (nodes.ravel().astype(np.uint32) + np.uint32(1)) * np.uint32(0x9E3779B1)
+        self.bits = bits.ravel().astype(np.int64)
+        self.zeros = self.ones = np.zeros(SLOTS, dtype=np.float32)
+        self.weights = np.full((INPUTS, GATES), 0.3)
+        self.refined = _CENTRES
+        self.stretched: np.ndarray | None = None
+
+    def portions(self, symbols: np.ndarray, contexts: np.ndarray):
+        """(first symbol, symbol of each bit, slots, bits, places) for so many symbols at a time."""
+        for start in range(0, len(symbols), SYMBOLS):
+            own = symbols[start : start + SYMBOLS]
+            count = self.lengths[own]
+            at = np.repeat(np.arange(len(own)), count)
+            place = np.arange(len(at)) - np.repeat(np.cumsum(count) - count, count)
+            step = own[at] * self.width + place
+            slots = contexts[:, start : start + SYMBOLS][:, at] + self.nodes[step]
+            slots = (slots * np.uint32(0x85EBCA6B)) >> np.uint32(32 - SLOT_BITS)
+            yield start, at, slots.astype(np.int64), self.bits[step], np.minimum(place, 7)
 
     @staticmethod
-    def cells(score: np.ndarray, steps: np.ndarray) -> np.ndarray:
-        return np.rint((score + 8) / 16 * (STEPS - 1)).astype(np.int64) * 8 + steps
-
-    def log10(self, words: list[bytes]) -> np.ndarray:
-        """log10 of each word's probability."""
-        out = np.zeros(len(words))
-        for owner, slots, bits, steps in Spelled(words).portions(self.code):
-            score = self.mixed_score(slots, bits, steps, 0)
-            one = _squash(score)
-            if self.refined is not None:
-                one = (one + self.refined[self.cells(score, steps)]) / 2
-            one = np.clip(one, 1e-7, 1 - 1e-7)
-            out += np.bincount(owner, np.log10(np.where(bits == 1, one, 1 - one)), len(words))
-        return out
+    def predictions(zeros: np.ndarray, ones: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+        """Stretched predictions, and how often they were seen: never, up to three times, more."""
+        seen = zeros + ones
+        kinds = (seen > 0).astype(np.uint8) + (seen > 3)
+        return np.clip(np.log((ones + DOUBT) / (zeros + DOUBT)), -8, 8), kinds
+
+    def mix(self, x: np.ndarray, kinds: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+        gate = kinds[0].astype(np.int64)
+        for k in range(1, INPUTS):
+            gate += kinds[k] * np.int64(3**k)
+        score = sum(self.weights[k][gate] * x[k] for k in range(INPUTS))
+        return gate, np.clip(score, -8, 8)
 
+    @staticmethod
+    def cells(score: np.ndarray, places: np.ndarray) -> np.ndarray:
+        return np.rint((score + 8) * ((STEPS - 1) / 16)).astype(np.int64) * 8 + places
+
+    def log10(self, symbols: np.ndarray, contexts: np.ndarray) -> np.ndarray:
+        """log10 of each symbol's probability."""
+        if self.stretched is None:
+            self.stretched, self.kinds = self.predictions(self.zeros, self.ones)
+        out = np.zeros(len(symbols))
+        for start, at, slots, bits, places in self.portions(symbols, contexts):
+            _, score = self.mix(self.stretched[slots], self.kinds[slots])
+            one = (_squash(score) + self.refined[self.cells(score, places)]) / 2
+            likely = np.log10(np.clip(np.where(bits == 1, one, 1 - one), 1e-7, 1 - 1e-7))
+            own = out[start : start + SYMBOLS]
+            own += np.bincount(at, likely, len(own))
+        return out
 
-def _learned(mixer: Mixer):
-    """The task's mixing weights, with the number of steps they were learned in."""
 
-    def learned(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        own = Mixer(mixer.code, mixer.counts)
-        square, done = np.zeros((GATES, INPUTS)), 0
+def _counting(mixer: Mixer, read: Reader):
+    def counting(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        """The task's slot counts."""
+        counts = np.zeros(2 * SLOTS, dtype=np.int32)
         for batch in batches:
-            spelled = Spelled(batch.column(0).to_pylist())
-            for _, slots, bits, steps in spelled.portions(own.code):
-                own.learn(slots, bits, steps, square)
-                done += 1
-        if done:
-            columns = [np.arange(GATES * INPUTS), own.weights.ravel(), np.full(GATES * INPUTS, done)]
-            columns = [pa.array(columns[0]), pa.array(columns[1]), pa.array(columns[2] * 1.0)]
-            yield pa.RecordBatch.from_arrays(columns, names=["at", "weight", "bits"])
+            for symbols, contexts, _, _ in read(batch):
+                for _, _, slots, bits, _ in mixer.portions(symbols, contexts):
+                    np.add.at(counts, (slots + bits * SLOTS).ravel(), 1)
+        zeros, ones = counts.reshape(2, SLOTS)
+        used = np.flatnonzero(zeros + ones)
+        for start in range(0, len(used), 100_000):
+            part = used[start : start + 100_000]
+            columns = [pa.array(part.astype(np.int32)), pa.array(zeros[part]), pa.array(ones[part])]
+            yield pa.RecordBatch.from_arrays(columns, names=["slot", "zeros", "ones"])
 
-    return learned
+    return counting
 
 
-def _refining(mixer: Mixer):
-    """The task's counts for the refining table."""
+def _learning(shared: Broadcast, read: Reader):
+    def learning(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        """The task's weights, each with its number of steps, and its refining table.
 
-    def refining(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        ones, every = np.zeros(STEPS * 8), np.zeros(STEPS * 8)
+        Weights take a step for each gate and portion, at a rate that falls with what it has seen.
+        """
+        mixer: Mixer = shared.value
+        weights = mixer.weights = np.full((INPUTS, GATES), 0.3)
+        square, done = np.zeros((INPUTS, GATES)), np.zeros(GATES)
+        ones, every = np.zeros(CELLS), np.zeros(CELLS)
         for batch in batches:
-            spelled = Spelled(batch.column(0).to_pylist())
-            for _, slots, bits, steps in spelled.portions(mixer.code):
-                cells = mixer.cells(mixer.mixed_score(slots, bits, steps, 1), steps)
-                ones += np.bincount(cells, bits, STEPS * 8)
-                every += np.bincount(cells, minlength=STEPS * 8)
-        columns = [pa.array(np.arange(STEPS * 8)), pa.array(ones), pa.array(every)]
-        yield pa.RecordBatch.from_arrays(columns, names=["at", "weight", "bits"])
-
-    return refining
-
-
-def _summed(words: DataFrame, step, schema: str, value: str) -> np.ndarray:
-    """A small table over tasks, by place."""
-    rows = words.mapInArrow(step, schema).groupBy("at").agg(F.expr(value).alias("value")).toArrow()
-    at = rows["at"].to_numpy()
-    out = np.full(int(at.max()) + 1 if len(at) else 0, np.nan)
-    out[at] = rows["value"].to_numpy()
-    return out
-
-
-def trained(words: DataFrame) -> tuple[Mixer, Broadcast]:
-    """A mixer from training words (word, n), of fixed size; its counts also as a broadcast."""
-    letters = _summed(words, _letters, "at bigint, n bigint", "sum(n)")
-    code = code_of(letters if len(letters) else np.zeros(256))
-    rows = (
-        words.mapInArrow(_slot_counts(code), "slot bigint, zeros double, ones double")
+            for symbols, contexts, _, _ in read(batch):
+                for _, _, slots, bits, places in mixer.portions(symbols, contexts):
+                    own = bits.astype(np.float32)
+                    zero = np.maximum(mixer.zeros[slots] - (1 - own), 0)
+                    x, kinds = mixer.predictions(zero, np.maximum(mixer.ones[slots] - own, 0))
+                    gate, score = mixer.mix(x, kinds)
+                    cells = mixer.cells(score, places)
+                    ones += np.bincount(cells, own, CELLS)
+                    every += np.bincount(cells, minlength=CELLS)
+                    error = own - _squash(score)
+                    total = np.bincount(gate, minlength=GATES)
+                    done += total > 0
+                    for k in range(INPUTS):
+                        slope = np.bincount(gate, error * x[k], GATES) / (total + 8)
+                        square[k] += slope**2
+                        weights[k] += RATE * slope / np.sqrt(square[k] + 1e-6)
+        at = np.arange(INPUTS * GATES + CELLS)
+        value = np.concatenate(((weights * done).ravel(), ones))
+        weight = np.concatenate((np.tile(done, INPUTS), every))
+        columns = [pa.array(at), pa.array(value), pa.array(weight)]
+        yield pa.RecordBatch.from_arrays(columns, names=["at", "value", "weight"])
+
+    return learning
+
+
+def trained(rows: DataFrame, code: Code, read: Reader) -> Broadcast:
+    """A mixer of fixed size from the streams that ``read`` makes of ``rows``; as a broadcast."""
+    spark = rows.sparkSession
+    mixer = Mixer(code)
+    sums = (
+        rows.mapInArrow(_counting(mixer, read), "slot int, zeros int, ones int")
         .groupBy("slot")
         .agg(F.sum("zeros").cast("float").alias("zeros"), F.sum("ones").cast("float").alias("ones"))
         .toArrow()
     )
-    counts = np.zeros((SLOTS, 2), dtype=np.float32)
-    slots = rows["slot"].to_numpy()
-    counts[slots, 0], counts[slots, 1] = rows["zeros"].to_numpy(), rows["ones"].to_numpy()
-    shared = words.sparkSession.sparkContext.broadcast(counts)
-    mixer = Mixer(code, counts)
-    schema = "at bigint, weight double, bits double"
-    learned = _summed(
-        words, _shipped(mixer, shared, _learned), schema, "sum(weight * bits) / sum(bits)"
+    slots = sums["slot"].to_numpy()
+    mixer.zeros, mixer.ones = (np.zeros(SLOTS, dtype=np.float32) for _ in range(2))
+    mixer.zeros[slots], mixer.ones[slots] = sums["zeros"].to_numpy(), sums["ones"].to_numpy()
+    shared = spark.sparkContext.broadcast(mixer)
+    sums = (
+        rows.mapInArrow(_learning(shared, read), "at bigint, value double, weight double")
+        .groupBy("at")
+        .agg(F.sum("value").alias("value"), F.sum("weight").alias("weight"))
+        .toArrow()
     )
-    if len(learned):
-        mixer.weights = learned.reshape(GATES, INPUTS)
-    step = _shipped(mixer, shared, _refining)
-    table = _summed(words, step, schema, "(sum(weight) + 0.4) / (sum(bits) + 0.8)")
-    if len(table):
-        mixer.refined = table
-    return mixer, shared
-
-
-def _shipped(mixer: Mixer, shared: Broadcast, step):
-    """``step`` with a mixer whose counts executors take from the broadcast."""
-    code, weights, refined = mixer.code, mixer.weights, mixer.refined
-
-    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        own = Mixer(code, shared.value)
-        own.weights, own.refined = weights, refined
-        yield from step(own)(batches)
+    value, weight = np.zeros((2, INPUTS * GATES + CELLS))
+    at = sums["at"].to_numpy()
+    value[at], weight[at] = sums["value"].to_numpy(), sums["weight"].to_numpy()
+    done = weight[:-CELLS]
+    learned = np.where(done > 0, value[:-CELLS] / np.maximum(done, 1), 0.3)
+    mixer.weights = learned.reshape(INPUTS, GATES)
+    mixer.refined = (value[-CELLS:] + 4 * _CENTRES) / (weight[-CELLS:] + 4)
+    shared.unpersist()
+    return spark.sparkContext.broadcast(mixer)
 
-    return run
 
-
-def _valued(mixer: Mixer, total: int, distinct: int):
-    """Each word's hash, training count, and log10 of its probability.
-
-    A known word has its discounted share of the tokens; what the discounts leave goes to all words
-    by their spelling.
-    """
-    left = DISCOUNT * distinct / total if total else 1.0
+def _valued(spelling: Broadcast, coded: Broadcast):
+    """Each word's hash, training count, and log10 of its spelling's probability, 0 if it is coded."""
 
     def valued(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
             words = batch.column(0).to_pylist()
-            hashes = np.empty(len(words), dtype=np.uint64)
-            for start, own in blocks(words):
-                hashes[start : start + len(own)] = END
-                some = np.flatnonzero(np.diff(own.bounds))
-                hashes[start + some] = own.hashes
-            spelled = mixer.log10(words) + np.log10(left)
-            share = np.maximum(batch.column(1).to_numpy() - DISCOUNT, 0) / max(total, 1)
-            likely = np.where(share > 0, np.log10(share + 10**spelled + 1e-300), spelled)
+            hashes = _hashes(words)
+            likely = np.zeros(len(words))
+            rare = np.flatnonzero(coded.value.symbols_of(hashes) == ESCAPE)
+            start = 0
+            for symbols, contexts, owner, count in _spellings(
+                pa.RecordBatch.from_arrays([batch.column(0).take(pa.array(rare))], names=["word"])
+            ):
+                own = np.bincount(owner, spelling.value.log10(symbols, contexts), count)
+                likely[rare[start : start + count]] = own
+                start += count
             yield pa.RecordBatch.from_arrays(
                 [pa.array(hashes.view(np.int64)), batch.column(1), pa.array(likely)],
                 names=["hash", "n", "log10"],
@@ -328,24 +399,21 @@ def _valued(mixer: Mixer, total: int, distinct: int):
 
 LOOKED_UP = (
     "row bigint, hash bigint, times bigint, doc_id bigint, held_out boolean, n_tokens bigint,"
-    " known bigint, base double, model double"
+    " n_bytes bigint, known bigint, base double, model double"
 )
 
 
-def _looked_up(frequent):
-    """Documents with the sums over their frequent words, and their other words as rows."""
+def _looked_up(frequent: Broadcast, coded: Broadcast, mixing: Broadcast):
+    """Documents with the sums over their tokens, and their words to look up as rows."""
 
     def looked_up(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        hashes, counts, base, model = frequent.value
+        hashes, counts, base, spelling = frequent.value
         serial = TaskContext.get().partitionId() << 40
         names = [column.split()[0] for column in LOOKED_UP.split(", ")]
         for batch in batches:
             for start, words in blocks(as_bytes(batch.column(2))):
-                m = len(words)
-                tokens = np.concatenate((words.hashes, np.full(m, END)))
-                owner = np.concatenate(
-                    (np.repeat(np.arange(m), np.diff(words.bounds)), np.arange(m))
-                )
+                tokens, (symbols, contexts, owner, m) = coded.value.stream(words)
+                model = np.bincount(owner, mixing.value.log10(symbols, contexts), m)
                 place = np.minimum(np.searchsorted(hashes, tokens), max(len(hashes) - 1, 0))
                 hit = hashes[place] == tokens if len(hashes) else np.zeros(len(tokens), bool)
                 own, at = owner[hit], place[hit]
@@ -360,9 +428,10 @@ def _looked_up(frequent):
                         batch.column(0).slice(start, m),
                         batch.column(1).slice(start, m),
                         pa.array(np.diff(words.bounds) + 1),
+                        pa.array(np.diff(words.offsets) - 1),
                         pa.array(np.bincount(own, counts[at] > 0, m).astype(np.int64)),
                         pa.array(np.bincount(own, base[at], m)),
-                        pa.array(np.bincount(own, model[at], m)),
+                        pa.array(model + np.bincount(own, spelling[at], m)),
                     ],
                     names=names,
                 )
@@ -381,7 +450,7 @@ def _looked_up(frequent):
                         pa.array(times),
                         pa.nulls(n, pa.int64()),
                         pa.nulls(n, pa.bool_()),
-                        *(pa.nulls(n, pa.int64()) for _ in range(2)),
+                        *(pa.nulls(n, pa.int64()) for _ in range(3)),
                         *(pa.nulls(n, pa.float64()) for _ in range(2)),
                     ],
                     names=names,
@@ -391,8 +460,10 @@ def _looked_up(frequent):
 
 
 def scored(documents: DataFrame) -> DataFrame:
-    """Per row of ``documents`` (doc_id, text): tokens, base score, model score."""
+    """Per row of ``documents`` (doc_id, text): tokens, base score, model score, and the model's bits
+    a byte of the text and its end."""
     spark = documents.sparkSession
+    context = spark.sparkContext
     rows = documents.selectExpr(
         "doc_id", f"{HELD_OUT} as held_out", "coalesce(text, '') as text"
     )
@@ -404,20 +475,38 @@ def scored(documents: DataFrame) -> DataFrame:
         "vocabulary",
     )
     known = vocabulary.where("n > 0")
-    total, distinct = known.agg(F.coalesce(F.sum("n"), F.lit(0)), F.count("*")).first()
-    mixer, shared = trained(known)
+    total, distinct, ends = known.agg(
+        F.coalesce(F.sum("n"), F.lit(0)),
+        F.count("*"),
+        F.expr("coalesce(sum(n) filter (where word = cast('' as binary)), 0)"),
+    ).first()
+    letters = known.mapInArrow(_letters, "at bigint, n bigint").groupBy("at").agg(F.sum("n")).toArrow()
+    counts = np.zeros(256, dtype=np.int64)
+    counts[letters.column(0).to_numpy()] = letters.column(1).to_numpy()
+    spelling = trained(known.select("word"), code_of(counts), _spellings)
+
+    top = (
+        known.where("n > 1 and word <> cast('' as binary)")
+        .orderBy(F.desc("n"), "word")
+        .limit(CODED)
+        .mapInArrow(_hashed, "hash bigint, n bigint")
+        .toArrow()
+    )
+    times = top["n"].to_numpy()
+    order = np.argsort(-times, kind="stable")
+    coded = context.broadcast(Coded(top["hash"].to_numpy().view(np.uint64)[order]))
+    code = code_of(np.concatenate(([total - ends - times.sum(), ends], times[order])))
+    mixing = trained(rows.where("not held_out").select("text"), code, _token_reader(coded))
+
     values = settled(
-        vocabulary.mapInArrow(
-            _shipped(mixer, shared, lambda own: _valued(own, total, distinct)),
-            "hash bigint, n bigint, log10 double",
-        ),
+        vocabulary.mapInArrow(_valued(spelling, coded), "hash bigint, n bigint, log10 double"),
         "values",
     )
     ground = 0.1 * (distinct + 1) + total
     top = values.orderBy(F.desc("n"), "hash").limit(FREQUENT).toArrow()
     order = np.argsort(top["hash"].to_numpy().view(np.uint64))
     counts = top["n"].to_numpy()[order]
-    frequent = spark.sparkContext.broadcast(
+    frequent = context.broadcast(
         (
             top["hash"].to_numpy().view(np.uint64)[order],
             counts,
@@ -425,7 +514,9 @@ def scored(documents: DataFrame) -> DataFrame:
             top["log10"].to_numpy()[order],
         )
     )
-    found = rows.select("doc_id", "held_out", "text").mapInArrow(_looked_up(frequent), LOOKED_UP)
+    found = rows.select("doc_id", "held_out", "text").mapInArrow(
+        _looked_up(frequent, coded, mixing), LOOKED_UP
+    )
     return (
         found.join(values.withColumnRenamed("hash", "of"), F.expr("hash = of"), "left")
         .groupBy("row")
@@ -439,6 +530,7 @@ def scored(documents: DataFrame) -> DataFrame:
                 f"sum(coalesce(base, 0D) + coalesce(times * log10((n + 0.1D) / {ground!r}D), 0D))"
             ).alias("base_score"),
             F.expr("sum(coalesce(model, 0D) + coalesce(times * log10, 0D))").alias("score"),
+            F.max("n_bytes").alias("n_bytes"),
         )
-        .drop("row")
+        .selectExpr("* except (row)", "-score * log2(10) / (n_bytes + 1) as bits_per_byte")
     )

@@ -409,11 +409,59 @@ def test_language_model_base_and_gain(spark, awkward, nothing):
         assert row.n_known == sum(counts[w] > 0 for w in own) and row.score < 0
     assert sum(rows[i].score for i in held) > 1.05 * sum(rows[i].base_score for i in held)
     assert scored(awkward).count() == 12 and scored(nothing).count() == 0
+    assert scored(awkward.selectExpr("*", "1 as hash", "2 as n", "3 as row", "4 as `odd name`")).count() == 12
     lengths, nodes, bits = code_of(np.arange(256))
     paths = {tuple(bits[b, : lengths[b]]) for b in range(256)}
     assert len(paths) == 256 and sum(2.0 ** -len(p) for p in paths) == 1
 
 
+def test_language_model_learns_sequences(spark):
+    rng = random.Random(10)
+    follows = {i: [rng.randrange(300) for _ in range(4)] for i in range(300)}
+
+    def walk(count):
+        out = [rng.randrange(300)]
+        while len(out) < count:
+            out.append(rng.choice(follows[out[-1]]))
+        return [f"w{i}" for i in out]
+
+    texts = {i: " ".join(walk(120)) for i in range(300)}
+    held = [i for i in texts if zlib.crc32(str(i).encode()) % 10 == 0]
+    # Each held-out text again as another held-out row, its words in another order.
+    more = (i for i in range(1000, 9000) if zlib.crc32(str(i).encode()) % 10 == 0)
+    shuffled = dict(zip(held, more, strict=False))
+    for i, j in shuffled.items():
+        texts[j] = " ".join(rng.sample(texts[i].split(), 120))
+    rows = {r.doc_id: r for r in scored(frame(spark, texts)).collect()}
+    for i, j in shuffled.items():
+        assert rows[i].base_score == pytest.approx(rows[j].base_score)
+        assert rows[i].score > rows[j].score
+    assert sum(rows[i].score for i in held) > 0.7 * sum(rows[i].base_score for i in held)
+    for i in held:
+        bits = -rows[i].score * math.log2(10) / (len(texts[i]) + 1)
+        assert rows[i].bits_per_byte == pytest.approx(bits)
+
+
+def test_language_model_spells_a_distribution(spark):
+    from tallybook.llm import language_model as lm
+
+    words = [b"anna", b"banana", b"nab", b"ban"] * 3
+    code = lm.code_of(np.bincount(np.frombuffer(b" ".join(words), dtype=np.uint8), minlength=256))
+    mixer = lm.Mixer(code)
+    rng = np.random.default_rng(0)
+    mixer.zeros, mixer.ones = (rng.integers(0, 5, lm.SLOTS).astype(np.float32) for _ in range(2))
+    # The first bytes of words have probabilities that add up to one.
+    symbols, contexts, _, _ = lm.spelled([bytes([b]) for b in range(256)])
+    first = mixer.log10(symbols, contexts)[::2]
+    assert (10**first).sum() == pytest.approx(1, abs=1e-4)
+
+
+def test_language_model_gains_on_held_out_documents(spark):
+    rows = scored(spark.read.parquet("/root/testdata/sf0.01/documents.parquet")).where("held_out")
+    model, base = rows.selectExpr("sum(score)", "sum(base_score)").first()
+    assert model > base
+
+
 def test_mix_reaches_its_targets(spark, awkward, clashing, nothing):
     rng = random.Random(10)
     rows = [
