@@ -31,7 +31,10 @@ every word has probability by the untrained mix and the base has N = 0 and V = 0
 from __future__ import annotations
 
 import heapq
+import pickle
+import zlib
 from collections.abc import Callable, Iterator
+from dataclasses import dataclass
 
 import numpy as np
 import pyarrow as pa
@@ -234,16 +237,24 @@ _CENTRES = _squash(np.linspace(-8, 8, STEPS)).repeat(8)
 class Mixer:
     """Predictions of bits from slot counts, mixing weights, and the refining table."""
 
-    def __init__(self, code: Code):
+    def __init__(self, code: Code, zeros: np.ndarray | None = None, ones: np.ndarray | None = None):
+        none = np.zeros(SLOTS, dtype=np.float32)
+        self.code = code
+        self.zeros, self.ones = none if zeros is None else zeros, none if ones is None else ones
         lengths, nodes, bits = code
         self.lengths, self.width = lengths, nodes.shape[1]
         self.nodes = (nodes.ravel().astype(np.uint32) + np.uint32(1)) * np.uint32(0x9E3779B1)
-        self.bits = bits.ravel().astype(np.int64)
-        self.zeros = self.ones = np.zeros(SLOTS, dtype=np.float32)
+        self.bits = bits.ravel().astype(np.uint8)
         self.weights = np.full((INPUTS, GATES), 0.3)
         self.refined = _CENTRES
         self.stretched: np.ndarray | None = None
 
+    def __reduce__(self):
+        """Code and counts, compressed; weights and the refining table travel by themselves."""
+        code = tuple(part.astype(np.int32) for part in self.code)
+        counts = (self.zeros.astype(np.int32), self.ones.astype(np.int32))
+        return _unpacked, (zlib.compress(pickle.dumps((code, *counts), 5), 1),)
+
     def portions(self, symbols: np.ndarray, contexts: np.ndarray):
         """(first symbol, symbol of each bit, slots, bits, places) for so many symbols at a time."""
         for start in range(0, len(symbols), SYMBOLS):
@@ -288,14 +299,34 @@ class Mixer:
         return out
 
 
-def _counting(mixer: Mixer, read: Reader):
+def _unpacked(packed: bytes) -> Mixer:
+    code, zeros, ones = pickle.loads(zlib.decompress(packed))
+    return Mixer(code, zeros.astype(np.float32), ones.astype(np.float32))
+
+
+@dataclass(frozen=True)
+class Trained:
+    """A mixer whose counts executors take from the broadcast."""
+
+    shared: Broadcast
+    weights: np.ndarray
+    refined: np.ndarray
+
+    def mixer(self) -> Mixer:
+        mixer: Mixer = self.shared.value
+        mixer.weights, mixer.refined = self.weights, self.refined
+        return mixer
+
+
+def _counting(shared: Broadcast, read: Reader):
     def counting(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         """The task's slot counts."""
+        mixer: Mixer = shared.value
         counts = np.zeros(2 * SLOTS, dtype=np.int32)
         for batch in batches:
             for symbols, contexts, _, _ in read(batch):
                 for _, _, slots, bits, _ in mixer.portions(symbols, contexts):
-                    np.add.at(counts, (slots + bits * SLOTS).ravel(), 1)
+                    np.add.at(counts, (slots + bits * np.int64(SLOTS)).ravel(), 1)
         zeros, ones = counts.reshape(2, SLOTS)
         used = np.flatnonzero(zeros + ones)
         for start in range(0, len(used), 100_000):
@@ -342,20 +373,20 @@ def _learning(shared: Broadcast, read: Reader):
     return learning
 
 
-def trained(rows: DataFrame, code: Code, read: Reader) -> Broadcast:
-    """A mixer of fixed size from the streams that ``read`` makes of ``rows``; as a broadcast."""
-    spark = rows.sparkSession
-    mixer = Mixer(code)
+def trained(rows: DataFrame, code: Code, read: Reader) -> Trained:
+    """A mixer of fixed size from the streams that ``read`` makes of ``rows``."""
+    context = rows.sparkSession.sparkContext
+    empty = context.broadcast(Mixer(code))
     sums = (
-        rows.mapInArrow(_counting(mixer, read), "slot int, zeros int, ones int")
+        rows.mapInArrow(_counting(empty, read), "slot int, zeros int, ones int")
         .groupBy("slot")
         .agg(F.sum("zeros").cast("float").alias("zeros"), F.sum("ones").cast("float").alias("ones"))
         .toArrow()
     )
     slots = sums["slot"].to_numpy()
-    mixer.zeros, mixer.ones = (np.zeros(SLOTS, dtype=np.float32) for _ in range(2))
-    mixer.zeros[slots], mixer.ones[slots] = sums["zeros"].to_numpy(), sums["ones"].to_numpy()
-    shared = spark.sparkContext.broadcast(mixer)
+    zeros, ones = np.zeros((2, SLOTS), dtype=np.float32)
+    zeros[slots], ones[slots] = sums["zeros"].to_numpy(), sums["ones"].to_numpy()
+    shared = context.broadcast(Mixer(code, zeros, ones))
     sums = (
         rows.mapInArrow(_learning(shared, read), "at bigint, value double, weight double")
         .groupBy("at")
@@ -367,16 +398,15 @@ def trained(rows: DataFrame, code: Code, read: Reader) -> Broadcast:
     value[at], weight[at] = sums["value"].to_numpy(), sums["weight"].to_numpy()
     done = weight[:-CELLS]
     learned = np.where(done > 0, value[:-CELLS] / np.maximum(done, 1), 0.3)
-    mixer.weights = learned.reshape(INPUTS, GATES)
-    mixer.refined = (value[-CELLS:] + 4 * _CENTRES) / (weight[-CELLS:] + 4)
-    shared.unpersist()
-    return spark.sparkContext.broadcast(mixer)
+    refined = (value[-CELLS:] + 4 * _CENTRES) / (weight[-CELLS:] + 4)
+    return Trained(shared, learned.reshape(INPUTS, GATES), refined)
 
 
-def _valued(spelling: Broadcast, coded: Broadcast):
+def _valued(spelling: Trained, coded: Broadcast):
     """Each word's hash, training count, and log10 of its spelling's probability, 0 if it is coded."""
 
     def valued(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        mixer = spelling.mixer()
         for batch in batches:
             words = batch.column(0).to_pylist()
             hashes = _hashes(words)
@@ -386,7 +416,7 @@ def _valued(spelling: Broadcast, coded: Broadcast):
             for symbols, contexts, owner, count in _spellings(
                 pa.RecordBatch.from_arrays([batch.column(0).take(pa.array(rare))], names=["word"])
             ):
-                own = np.bincount(owner, spelling.value.log10(symbols, contexts), count)
+                own = np.bincount(owner, mixer.log10(symbols, contexts), count)
                 likely[rare[start : start + count]] = own
                 start += count
             yield pa.RecordBatch.from_arrays(
@@ -403,17 +433,18 @@ LOOKED_UP = (
 )
 
 
-def _looked_up(frequent: Broadcast, coded: Broadcast, mixing: Broadcast):
+def _looked_up(frequent: Broadcast, coded: Broadcast, mixing: Trained):
     """Documents with the sums over their tokens, and their words to look up as rows."""
 
     def looked_up(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         hashes, counts, base, spelling = frequent.value
+        mixer = mixing.mixer()
         serial = TaskContext.get().partitionId() << 40
         names = [column.split()[0] for column in LOOKED_UP.split(", ")]
         for batch in batches:
             for start, words in blocks(as_bytes(batch.column(2))):
                 tokens, (symbols, contexts, owner, m) = coded.value.stream(words)
-                model = np.bincount(owner, mixing.value.log10(symbols, contexts), m)
+                model = np.bincount(owner, mixer.log10(symbols, contexts), m)
                 place = np.minimum(np.searchsorted(hashes, tokens), max(len(hashes) - 1, 0))
                 hit = hashes[place] == tokens if len(hashes) else np.zeros(len(tokens), bool)
                 own, at = owner[hit], place[hit]
