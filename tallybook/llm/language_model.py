@@ -56,7 +56,9 @@ GATES = 3**INPUTS
 STEPS = 33  # of the refining table, over the stretched prediction -8..8
 CELLS = STEPS * 8
 FREQUENT = 1 << 19
-SYMBOLS = 1024  # predicted at a time
+SYMBOLS = 4096  # predicted at a time
+FIRST = 1024  # symbols of a task's first learning steps
+CHUNKS = 64  # of the slot table, on its way between tasks
 RATE = 0.1
 DOUBT = np.float32(0.15)  # added to the zeros and ones of a slot
 END = np.uint64(0x6A09E667F3BCC908)  # stands for the hash of the end of a text
@@ -252,18 +254,17 @@ class Mixer:
     def __reduce__(self):
         """Code and counts, compressed; weights and the refining table travel by themselves."""
         code = tuple(part.astype(np.int32) for part in self.code)
-        counts = (self.zeros.astype(np.int32), self.ones.astype(np.int32))
-        return _unpacked, (zlib.compress(pickle.dumps((code, *counts), 5), 1),)
+        return _unpacked, (zlib.compress(pickle.dumps((code, self.zeros, self.ones), 5), 1),)
 
-    def portions(self, symbols: np.ndarray, contexts: np.ndarray):
+    def portions(self, symbols: np.ndarray, contexts: np.ndarray, size: int = SYMBOLS):
         """(first symbol, symbol of each bit, slots, bits, places) for so many symbols at a time."""
-        for start in range(0, len(symbols), SYMBOLS):
-            own = symbols[start : start + SYMBOLS]
+        for start in range(0, len(symbols), size):
+            own = symbols[start : start + size]
             count = self.lengths[own]
             at = np.repeat(np.arange(len(own)), count)
             place = np.arange(len(at)) - np.repeat(np.cumsum(count) - count, count)
             step = own[at] * self.width + place
-            slots = contexts[:, start : start + SYMBOLS][:, at] + self.nodes[step]
+            slots = contexts[:, start : start + size][:, at] + self.nodes[step]
             slots = (slots * np.uint32(0x85EBCA6B)) >> np.uint32(32 - SLOT_BITS)
             yield start, at, slots.astype(np.int64), self.bits[step], np.minimum(place, 7)
 
@@ -301,7 +302,7 @@ class Mixer:
 
 def _unpacked(packed: bytes) -> Mixer:
     code, zeros, ones = pickle.loads(zlib.decompress(packed))
-    return Mixer(code, zeros.astype(np.float32), ones.astype(np.float32))
+    return Mixer(code, zeros, ones)
 
 
 @dataclass(frozen=True)
@@ -320,23 +321,42 @@ class Trained:
 
 def _counting(shared: Broadcast, read: Reader):
     def counting(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        """The task's slot counts."""
+        """The task's slot counts, zeros before ones, in ``CHUNKS`` compressed parts."""
         mixer: Mixer = shared.value
         counts = np.zeros(2 * SLOTS, dtype=np.int32)
+        held: list[np.ndarray] = []
+        size = 0
         for batch in batches:
             for symbols, contexts, _, _ in read(batch):
                 for _, _, slots, bits, _ in mixer.portions(symbols, contexts):
-                    np.add.at(counts, (slots + bits * np.int64(SLOTS)).ravel(), 1)
-        zeros, ones = counts.reshape(2, SLOTS)
-        used = np.flatnonzero(zeros + ones)
-        for start in range(0, len(used), 100_000):
-            part = used[start : start + 100_000]
-            columns = [pa.array(part.astype(np.int32)), pa.array(zeros[part]), pa.array(ones[part])]
-            yield pa.RecordBatch.from_arrays(columns, names=["slot", "zeros", "ones"])
+                    held.append((slots + bits * np.int64(SLOTS)).ravel())
+                    size += held[-1].size
+                    if size > SLOTS:
+                        counts += np.bincount(np.concatenate(held), minlength=2 * SLOTS)
+                        held, size = [], 0
+        if held:
+            counts += np.bincount(np.concatenate(held), minlength=2 * SLOTS)
+        for chunk, part in enumerate(np.split(counts, CHUNKS)):
+            packed = zlib.compress(part.astype(np.int64).tobytes(), 1)
+            columns = [pa.array([chunk], pa.int32()), pa.array([packed], pa.binary())]
+            yield pa.RecordBatch.from_arrays(columns, names=["chunk", "counts"])
 
     return counting
 
 
+def _chunks(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    """Each of the task's chunks summed over the tasks that counted."""
+    sums: dict[int, np.ndarray] = {}
+    for batch in batches:
+        for chunk, packed in zip(*(column.to_pylist() for column in batch.columns), strict=True):
+            part = np.frombuffer(zlib.decompress(packed), dtype=np.int64)
+            sums[chunk] = sums[chunk] + part if chunk in sums else part
+    for chunk, part in sums.items():
+        packed = zlib.compress(part.tobytes(), 1)
+        columns = [pa.array([chunk], pa.int32()), pa.array([packed], pa.binary())]
+        yield pa.RecordBatch.from_arrays(columns, names=["chunk", "counts"])
+
+
 def _learning(shared: Broadcast, read: Reader):
     def learning(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         """The task's weights, each with its number of steps, and its refining table.
@@ -349,7 +369,8 @@ def _learning(shared: Broadcast, read: Reader):
         ones, every = np.zeros(CELLS), np.zeros(CELLS)
         for batch in batches:
             for symbols, contexts, _, _ in read(batch):
-                for _, _, slots, bits, places in mixer.portions(symbols, contexts):
+                size = SYMBOLS if done.max() > 200 else FIRST
+                for _, _, slots, bits, places in mixer.portions(symbols, contexts, size):
                     own = bits.astype(np.float32)
                     zero = np.maximum(mixer.zeros[slots] - (1 - own), 0)
                     x, kinds = mixer.predictions(zero, np.maximum(mixer.ones[slots] - own, 0))
@@ -377,15 +398,17 @@ def trained(rows: DataFrame, code: Code, read: Reader) -> Trained:
     """A mixer of fixed size from the streams that ``read`` makes of ``rows``."""
     context = rows.sparkSession.sparkContext
     empty = context.broadcast(Mixer(code))
-    sums = (
-        rows.mapInArrow(_counting(empty, read), "slot int, zeros int, ones int")
-        .groupBy("slot")
-        .agg(F.sum("zeros").cast("float").alias("zeros"), F.sum("ones").cast("float").alias("ones"))
+    schema = "chunk int, counts binary"
+    counted = (
+        rows.mapInArrow(_counting(empty, read), schema)
+        .repartition(CHUNKS, "chunk")
+        .mapInArrow(_chunks, schema)
         .toArrow()
     )
-    slots = sums["slot"].to_numpy()
-    zeros, ones = np.zeros((2, SLOTS), dtype=np.float32)
-    zeros[slots], ones[slots] = sums["zeros"].to_numpy(), sums["ones"].to_numpy()
+    counts = np.zeros((CHUNKS, 2 * SLOTS // CHUNKS), dtype=np.float32)
+    for chunk, packed in zip(*(column.to_pylist() for column in counted.columns), strict=True):
+        counts[chunk] = np.frombuffer(zlib.decompress(packed), dtype=np.int64)
+    zeros, ones = counts.reshape(2, SLOTS)
     shared = context.broadcast(Mixer(code, zeros, ones))
     sums = (
         rows.mapInArrow(_learning(shared, read), "at bigint, value double, weight double")
