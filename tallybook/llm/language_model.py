@@ -279,7 +279,8 @@ class Mixer:
         gate = kinds[0].astype(np.int64)
         for k in range(1, INPUTS):
             gate += kinds[k] * np.int64(3**k)
-        score = sum(self.weights[k][gate] * x[k] for k in range(INPUTS))
+        weights = self.weights.astype(np.float32)
+        score = sum(weights[k][gate] * x[k] for k in range(INPUTS))
         return gate, np.clip(score, -8, 8)
 
     @staticmethod
@@ -290,11 +291,11 @@ class Mixer:
         """log10 of each symbol's probability."""
         if self.stretched is None:
             self.stretched, self.kinds = self.predictions(self.zeros, self.ones)
-        out = np.zeros(len(symbols))
+        out, refined = np.zeros(len(symbols)), self.refined.astype(np.float32)
         for start, at, slots, bits, places in self.portions(symbols, contexts):
             _, score = self.mix(self.stretched[slots], self.kinds[slots])
-            one = (_squash(score) + self.refined[self.cells(score, places)]) / 2
-            likely = np.log10(np.clip(np.where(bits == 1, one, 1 - one), 1e-7, 1 - 1e-7))
+            one = (_squash(score) + refined[self.cells(score, places)]) / 2
+            likely = np.log10(np.clip(np.where(bits, one, 1 - one), 1e-6, 1))
             own = out[start : start + SYMBOLS]
             own += np.bincount(at, likely, len(own))
         return out
