@@ -3,9 +3,12 @@
 Documents with equal shingle sets are one node. A node's signature is ``trees`` orders of ``depth``
 MinHash values. For each tree, the nodes are sorted by their values (a range sort, so no prefix,
 however common, stays in one task), and neighbours with a long enough common prefix are candidates.
-How deep a region of the order goes follows from its crowding: where few nodes share ``shortest``
-values all of them meet; in a crowd, a node meets a few nodes on either side, and farther ones only
-if they share all its values.
+How far a node looks follows from the crowding of its region, the nodes that share ``shortest`` values in
+a tree: up to ``reach`` + 1 of them all meet; in a crowd, a node meets the next ones on either side, and
+farther ones only if they share all its values.
+
+A pair whose sketches, half a byte of each MinHash value, differ by five standard deviations more than
+those of a link is none; that is looked at first, and no order brings such a pair to the texts.
 
 Candidates come in three rounds. The first takes direct neighbours in a few trees; its confirmed links
 already join most copies. The second takes all trees, and only neighbours of different components:
@@ -13,19 +16,20 @@ a group of many near copies costs a few candidates for each member, never all pa
 candidates that are still apart meet the most copied and best linked nodes of each other's component:
 in a crowd of variants of one text, a far variant may be a near copy of that text alone.
 
-No order of signatures tells near copies apart from a crowd that is itself nearly as similar, such as
-texts on one template. So the third round takes the nodes that stay in crowds in ``crowded_trees``
-trees or more, and lets those meet that share a rare shingle, one that at most ``rare`` of them have.
-What is not rare is shared by many; two texts that have nothing else in common are links only if that
-alone makes up 8/9 of them, and then so are most of the crowd, which the sorted orders join.
+The third round is exact for all that crowds have left out. Every node that is in a crowd in any tree
+takes part, with its shingles ordered from the rarest among those nodes to the most frequent. Let two
+texts of sizes m and n be a link; they share at least percent / (100 + percent) of m + n shingles. Where
+their first common shingle is the i-th of one and the j-th of the other, counting from 0, they share
+min(m - i, n - j) at most. So all pairs of different components meet that have a shingle at places which
+allow that many, which the last fifth of a text's shingles never does, nor, for the smaller text, any
+but its first ninth. Texts on one template differ in their rarest shingles, so just below a link even
+a shingle that all of them have brings no two together.
 
-A candidate is confirmed on full shingle sets, after a cheap look at the signatures that loses nothing
-likely (five standard deviations).
+Every candidate is confirmed on full shingle sets.
 
-Chance of missing a link of similarity 0.8 outside crowds, whose ends meet wherever they share three
-values: (1 - 0.8**3)**20, under 1e-6, and under 1e-4 with ``crowded_trees`` - 1 trees less. A sort
-partition's end hides a neighbour with a chance of about ``reach`` to ``NODES_PER_TASK`` in each tree on
-its own.
+Chance of missing a link of similarity 0.8: (1 - 0.8**3)**20, under 1e-6, that its ends share three
+values in no tree. A sort partition's end hides a neighbour outside crowds with a chance of about
+``reach`` to ``NODES_PER_TASK`` in each tree on its own.
 
 Defined cases: a null or blank text has an empty set and no links; fewer words than ``size``: one
 shingle; repeated rows: one node; a null id never names a component with other ids in it, and a
@@ -48,10 +52,11 @@ from tallybook.llm.shared import BROADCAST_BYTES, as_bytes, components, narrow,
 from tallybook.llm.tokens import blocks, mixed
 
 NODES_PER_TASK = 50_000
-SKETCH = 128
 ROW = "xxhash64(doc_id, text)"
-# Nodes of one component that a node meets on a side of it, if others of both lie between.
+# Nodes of one component that a node of a crowd meets on a side of it, if others of both lie between.
 CROWD = 3
+# Nodes with one shingle in an early place that one task compares with all that have it.
+NODES_PER_BLOCK = 4_096
 
 
 @dataclass(frozen=True)
@@ -65,13 +70,16 @@ class Forest:
     first_trees: int = 4
     shortest: int = 3
     reach: int = 12
-    crowded_trees: int = 6
-    rare: int = 12
 
     @property
     def crowd(self) -> int:
-        """Nodes in a region from which on it is a crowd: not all of them can meet."""
-        return 2 * self.reach + 2
+        """Nodes in a region from which on it is a crowd: not all of them meet by the order alone."""
+        return self.reach + 2
+
+    @property
+    def sketch(self) -> int:
+        """Bytes of a sketch, each of two MinHash values."""
+        return self.trees * self.depth // 2
 
 
 def distinct(shingles: np.ndarray) -> np.ndarray:
@@ -81,7 +89,8 @@ def distinct(shingles: np.ndarray) -> np.ndarray:
 
 
 def _signatures(forest: Forest):
-    """Per document: number of shingles, name of its set, MinHash values of all trees."""
+    """Per document: number of shingles, name of its set, MinHash values of all trees, and a sketch
+    of half a byte of each value."""
     functions = forest.trees * forest.depth
     odd = mixed(np.arange(functions, dtype=np.uint64), seed=1).astype(np.uint32) | np.uint32(1)
     other = mixed(np.arange(functions, dtype=np.uint64), seed=2).astype(np.uint32) | np.uint32(1)
@@ -92,7 +101,7 @@ def _signatures(forest: Forest):
             for start, words in blocks(texts):
                 shingles, bounds = words.shingles(forest.size)
                 counts, names = np.zeros(len(words), dtype=np.int64), [None] * len(words)
-                signed = [None] * len(words)
+                signed, looks = [None] * len(words), [None] * len(words)
                 full = np.flatnonzero(np.diff(bounds))
                 if len(full):
                     short = (shingles >> np.uint64(32)).astype(np.uint32)
@@ -100,11 +109,13 @@ def _signatures(forest: Forest):
                     for k in range(functions):
                         least = np.minimum.reduceat(short * odd[k], bounds[:-1][full])
                         values[:, k] = least * other[k]  # spread evenly, for the range sort
+                    halves = values.view(np.uint8)[:, : 8 * forest.sketch : 4] & 15
+                    halves = halves[:, ::2] | halves[:, 1::2] << 4
                     for row, i in enumerate(full):
                         own = distinct(shingles[bounds[i] : bounds[i + 1]])
                         counts[i] = len(own)
                         names[i] = blake2b(own.tobytes(), digest_size=16).digest()
-                        signed[i] = values[row].tobytes()
+                        signed[i], looks[i] = values[row].tobytes(), halves[row].tobytes()
                 yield pa.RecordBatch.from_arrays(
                     [
                         ids.slice(start, len(words)),
@@ -112,13 +123,26 @@ def _signatures(forest: Forest):
                         pa.array(counts),
                         pa.array(names, type=pa.binary()),
                         pa.array(signed, type=pa.binary()),
+                        pa.array(looks, type=pa.binary()),
                     ],
-                    names=["doc_id", "row", "n_shingles", "node", "signature"],
+                    names=["doc_id", "row", "n_shingles", "node", "signature", "sketch"],
                 )
 
     return described
 
 
+def _alike(left: pa.Array, right: pa.Array, forest: Forest) -> np.ndarray:
+    """Which pairs of sketches do not rule the similarity out by five standard deviations."""
+    a, b = (
+        np.frombuffer(b"".join(side.to_pylist()), dtype=np.uint8).reshape(-1, forest.sketch)
+        for side in (left, right)
+    )
+    differ = a ^ b
+    same = (((differ & 15) == 0).mean(axis=1) + ((differ & 240) == 0).mean(axis=1)) / 2
+    wanted = (1 + 15 * forest.percent / 100) / 16  # half bytes may agree by chance
+    return same >= wanted - 5 * (wanted * (1 - wanted) / (2 * forest.sketch)) ** 0.5
+
+
 def _neighbours(forest: Forest, reach: int):
     """Candidates from rows sorted by tree and values: (a, b), nodes of different components."""
 
@@ -134,6 +158,7 @@ def _neighbours(forest: Forest, reach: int):
             joined = b"".join(rows["key"].to_pylist())
             keys = np.frombuffer(joined, dtype=np.uint8).reshape(-1, size)
             tree, values = keys[:, 0], np.ascontiguousarray(keys[:, 1:]).view(np.uint32)
+            sketches = rows["sketch"].combine_chunks()
             labels = pc.coalesce(rows["label"], rows["node"])
             names = b"".join(labels.to_pylist())
             codes = np.frombuffer(names, dtype=np.uint64)[::2]  # half a label tells them apart
@@ -147,7 +172,7 @@ def _neighbours(forest: Forest, reach: int):
                     values[:-offset, : forest.shortest] == values[offset:, : forest.shortest]
                 ).all(axis=1)
                 near &= codes[:-offset] != codes[offset:]
-                if offset > reach // 3:  # in a crowd only those with all values
+                if offset > 1:  # in a crowd only those with all values
                     whole = (values[:-offset] == values[offset:]).all(axis=1)
                     near &= ~crowded[:-offset] | whole
                 # Of a component that crowds between, the nearest are enough; its hubs come later.
@@ -157,13 +182,15 @@ def _neighbours(forest: Forest, reach: int):
                     middle = codes[between : len(codes) - offset + between]
                     crowd[0] += middle == right
                     crowd[1] += middle == left
-                near &= (crowd < CROWD).any(axis=0)
+                near &= ~crowded[:-offset] | (crowd < CROWD).any(axis=0)
                 near[: max(0, known - offset)] = False  # seen with the batch before
                 first = np.flatnonzero(near)
                 ahead.append(np.stack((first, first + offset)))
             if not ahead:
                 continue
             a, b = np.concatenate(ahead, axis=1)
+            alike = _alike(sketches.take(pa.array(a)), sketches.take(pa.array(b)), forest)
+            a, b = a[alike], b[alike]
             nodes = rows["node"].combine_chunks()
             yield pa.RecordBatch.from_arrays(
                 [nodes.take(pa.array(a)), nodes.take(pa.array(b))], names=["a", "b"]
@@ -173,13 +200,14 @@ def _neighbours(forest: Forest, reach: int):
 
 
 def _candidates(nodes: DataFrame, forest: Forest, trees: int, reach: int, count: int) -> DataFrame:
-    """Distinct candidate pairs from the first ``trees`` trees; ``nodes``: node, label, signature."""
+    """Distinct candidate pairs from the first ``trees`` trees; ``nodes``: node, label, sketch, signature."""
     width = forest.depth * 4
     rows = nodes.selectExpr(
-        "node", "label", "signature", f"explode(sequence(0, {trees - 1})) as tree"
+        "node", "label", "sketch", "signature", f"explode(sequence(0, {trees - 1})) as tree"
     ).selectExpr(
         "node",
         "label",
+        "sketch",
         f"concat(unhex(lpad(hex(tree), 2, '0')),"
         f" substring(signature, tree * {width} + 1, {width})) as key",
     )
@@ -187,14 +215,14 @@ def _candidates(nodes: DataFrame, forest: Forest, trees: int, reach: int, count:
     pairs = (
         rows.repartitionByRange(tasks, "key", "node")
         .sortWithinPartitions("key", "node")
-        .select("node", "label", "key")
+        .select("node", "label", "sketch", "key")
         .mapInArrow(_neighbours(forest, reach), "a binary, b binary")
     )
     return pairs.selectExpr("least(a, b) as a", "greatest(a, b) as b").distinct()
 
 
 def _in_crowds(labelled: DataFrame, forest: Forest) -> DataFrame:
-    """(row, node, label) of the nodes that share ``shortest`` values with a crowd in many trees."""
+    """(row, node, label) of the nodes that share ``shortest`` values with a crowd in any tree."""
     width = forest.depth * 4
     prefix = f"substring(signature, tree * {width} + 1, {4 * forest.shortest})"
     rows = labelled.selectExpr(
@@ -202,8 +230,7 @@ def _in_crowds(labelled: DataFrame, forest: Forest) -> DataFrame:
     ).selectExpr("node", f"concat(unhex(lpad(hex(tree), 2, '0')), {prefix}) as region")
     crowds = rows.groupBy("region").count().where(f"count >= {forest.crowd}").select("region")
     crowds = settled(crowds, "crowds")
-    found = narrow(rows, "region", crowds, 80).groupBy("node").count()
-    found = found.where(f"count >= {forest.crowded_trees}").select("node")
+    found = narrow(rows, "region", crowds, 80).select("node").distinct()
     return settled(
         labelled.join(found, "node").selectExpr("row", "node", "coalesce(label, node) as label"),
         "crowded",
@@ -211,59 +238,78 @@ def _in_crowds(labelled: DataFrame, forest: Forest) -> DataFrame:
 
 
 def _shingles_of(size: int):
-    """The distinct shingles of each node's text, as rows."""
+    """The distinct shingles of each node's text, as rows, with their number."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
             for start, words in blocks(as_bytes(batch["text"])):
                 shingles, bounds = words.shingles(size)
                 own = [distinct(shingles[a:b]) for a, b in zip(bounds, bounds[1:], strict=False)]
-                at = pa.array(np.repeat(np.arange(len(own)) + start, [len(s) for s in own]))
+                counts = np.array([len(s) for s in own])
+                at = pa.array(np.repeat(np.arange(len(own)) + start, counts))
                 hashes = pa.array(np.concatenate(own).view(np.int64))
                 yield pa.RecordBatch.from_arrays(
-                    [batch["node"].take(at), batch["label"].take(at), hashes],
-                    names=["node", "label", "shingle"],
+                    [batch["code"].take(at), pa.array(np.repeat(counts, counts)), hashes],
+                    names=["code", "n", "shingle"],
                 )
 
     return run
 
 
-def _rare_candidates(crowded: DataFrame, documents: DataFrame, forest: Forest) -> DataFrame:
-    """Pairs of crowded nodes of different components that share a rare shingle."""
+def _crowd_candidates(crowded: DataFrame, documents: DataFrame, forest: Forest) -> DataFrame:
+    """All pairs of crowded nodes of different components that the places of a shingle allow."""
+    wanted = forest.percent
+    code = "cast(conv(hex(substring({}, 1, 8)), 16, -10) as bigint)"
+    codes = crowded.selectExpr(
+        "node", f"{code.format('node')} as code", f"{code.format('label')} as label"
+    )
     texts = texts_of(documents, crowded.select("row", "node"))
-    texts = texts.join(crowded.select("node", "label"), "node").select("node", "label", "text")
     shingles = settled(
-        texts.mapInArrow(_shingles_of(forest.size), "node binary, label binary, shingle bigint"),
+        texts.selectExpr(f"{code.format('node')} as code", "text").mapInArrow(
+            _shingles_of(forest.size), "code bigint, n bigint, shingle bigint"
+        ),
         "shingles",
     )
-    shared = shingles.groupBy("shingle").count().where(f"count between 2 and {forest.rare}")
-    met = (
-        shingles.join(shared.select("shingle"), "shingle")
-        .groupBy("shingle")
-        .agg(F.expr("collect_list(struct(node, label)) as nodes"))
+    # A shingle that one node has brings no two together: only the number of those is needed.
+    shared = shingles.groupBy("shingle").count().where("count > 1")
+    placed = (
+        shingles.join(shared, "shingle")
+        .groupBy("code", "n")
+        .agg(F.expr("array_sort(collect_list(struct(count, shingle))) as own"))
+        .selectExpr("code", "n", "posexplode(own) as (place, one)", "n - size(own) as alone")
+        .selectExpr("code", "n", "n - alone - place as rest", "one.shingle")
+        .where(f"100 * rest >= {wanted} * n")
+        .join(codes.select("code", "label"), "code")
+    )
+    placed = settled(placed, "places")
+    # The smaller text of a pair has the shingle early.
+    early = f"rest * {100 + wanted} >= {2 * wanted} * n"
+    met = placed.groupBy("shingle").agg(
+        F.expr(f"1 + count(*) div {NODES_PER_BLOCK} as blocks"),
+        F.expr(f"count_if({early}) as early"),
+        F.expr("min(label) <> max(label) as apart"),
+    )
+    met = settled(met.where("early > 0 and apart").select("shingle", "blocks"), "meetings")
+    placed = placed.join(met, "shingle")
+    smaller = placed.where(early).selectExpr(
+        "shingle", "pmod(code, blocks) as block", "code as a", "n as na", "rest as ra", "label as la"
+    )
+    larger = placed.selectExpr(
+        "shingle", "explode(sequence(0L, blocks - 1)) as block",
+        "code as b", "n as nb", "rest as rb", "label as lb",
+    )
+    allowed = f"least(ra, rb) * {100 + wanted} >= {wanted} * (na + nb)"
+    pairs = (
+        smaller.join(larger, ["shingle", "block"])
+        .where(f"la <> lb and (na < nb or na = nb and a < b) and {allowed}")
+        .select("a", "b")
+        .distinct()
+    )
+    return (
+        pairs.join(codes.selectExpr("code as a", "node as x"), "a")
+        .join(codes.selectExpr("code as b", "node as y"), "b")
+        .selectExpr("least(x, y) as a", "greatest(x, y) as b")
     )
-    others = "filter(nodes, y -> y.node > x.node and y.label <> x.label)"
-    pairs = f"transform({others}, y -> struct(x.node as a, y.node as b))"
-    return met.selectExpr(f"inline(flatten(transform(nodes, x -> {pairs})))").distinct()
-
-
-def _alike(percent: int):
-    """Pairs whose sketches do not rule the similarity out by five standard deviations."""
-    wanted = percent / 100
-    floor = wanted - 5 * (wanted * (1 - wanted) / SKETCH) ** 0.5
-
-    def looked(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for batch in batches:
-            if not batch.num_rows:
-                continue
-            a, b = (
-                np.frombuffer(b"".join(batch.column(k).to_pylist()), dtype=np.uint8)
-                for k in (2, 3)
-            )
-            same = (a == b).reshape(batch.num_rows, -1).mean(axis=1)
-            yield batch.select([0, 1]).filter(pa.array((same - 1 / 256) / (1 - 1 / 256) >= floor))
-
-    return looked
 
 
 def _confirmed(size: int, percent: int):
@@ -296,20 +342,25 @@ def texts_of(documents: DataFrame, wanted: DataFrame) -> DataFrame:
     return documents.join(wanted, "row").select("node", "text")
 
 
-def _links(pairs: DataFrame, nodes: DataFrame, documents: DataFrame, forest: Forest) -> DataFrame:
-    """Those of the candidate ``pairs`` that are links, settled."""
-    functions = forest.trees * forest.depth
-    sketch = ", ".join(
-        f"substring(signature, {4 * (k * functions // SKETCH) + 1}, 1)" for k in range(SKETCH)
-    )
-    sketches = nodes.selectExpr("node", f"concat({sketch}) as sketch")
+def _likely(pairs: DataFrame, nodes: DataFrame, forest: Forest) -> DataFrame:
+    """Those of ``pairs`` whose sketches are alike, settled."""
+
+    def looked(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            alike = _alike(batch.column(2), batch.column(3), forest)
+            yield batch.select([0, 1]).filter(pa.array(alike))
+
     pairs = (
-        pairs.join(sketches.selectExpr("node as a", "sketch as sa"), "a")
-        .join(sketches.selectExpr("node as b", "sketch as sb"), "b")
+        pairs.join(nodes.selectExpr("node as a", "sketch as sa"), "a")
+        .join(nodes.selectExpr("node as b", "sketch as sb"), "b")
         .select("a", "b", "sa", "sb")
-        .mapInArrow(_alike(forest.percent), "a binary, b binary")
+        .mapInArrow(looked, "a binary, b binary")
     )
-    pairs = settled(pairs, "candidates")
+    return settled(pairs, "candidates")
+
+
+def _links(pairs: DataFrame, nodes: DataFrame, documents: DataFrame, forest: Forest) -> DataFrame:
+    """Those of the candidate ``pairs`` that are links, settled."""
     count = pairs.count()
     used = pairs.selectExpr("a as node").union(pairs.selectExpr("b as node")).distinct()
     wanted = settled(nodes.join(used, "node").select("row", "node"), "wanted", count)
@@ -330,7 +381,8 @@ def _members(documents: DataFrame, forest: Forest) -> DataFrame:
     described = settled(
         documents.mapInArrow(
             _signatures(forest),
-            "doc_id bigint, row bigint, n_shingles bigint, node binary, signature binary",
+            "doc_id bigint, row bigint, n_shingles bigint, node binary, signature binary,"
+            " sketch binary",
         ),
         "signatures",
     )
@@ -339,6 +391,7 @@ def _members(documents: DataFrame, forest: Forest) -> DataFrame:
         .groupBy("node")
         .agg(
             F.min("row").alias("row"),
+            F.first("sketch").alias("sketch"),
             F.first("signature").alias("signature"),
             F.count("*").alias("copies"),
         ),
@@ -357,12 +410,12 @@ def _members(documents: DataFrame, forest: Forest) -> DataFrame:
         links = found if links is None else links.union(found)
         labels = components(links, "binary")
         pairs = _hub_candidates(pairs, links, labels, nodes)
-        links = links.union(_links(pairs, nodes, documents, forest))
+        links = links.union(_links(_likely(pairs, nodes, forest), nodes, documents, forest))
         labels = components(links, "binary")
 
     crowded = _in_crowds(nodes.join(labels, "node", "left"), forest)
     if crowded.count():
-        pairs = settled(_rare_candidates(crowded, documents, forest), "rare")
+        pairs = _likely(_crowd_candidates(crowded, documents, forest), nodes, forest)
         links = links.union(_links(pairs, nodes, documents, forest))
         labels = components(links, "binary")
     members = described.join(labels, "node", "left")

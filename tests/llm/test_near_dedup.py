@@ -4,6 +4,7 @@ from __future__ import annotations
 
 import random
 
+import numpy as np
 import pytest
 
 from tallybook.llm.minhash_forest import Forest, deduplicated, near_duplicates
@@ -53,6 +54,40 @@ def test_no_link_is_lost_in_a_crowd_on_one_template(spark, own_words):
     assert sum(found[i] == i for i in range(1_200)) == 1_200
 
 
+def linked(texts, size=4, percent=80):
+    """The least place reachable from each text, by all pairs."""
+    sets = [shingles(words, size) for words in texts]
+    places = {shingle: k for k, shingle in enumerate(sorted(set().union(*sets)))}
+    has = np.zeros((len(sets), len(places)), dtype=np.float32)
+    for i, own in enumerate(sets):
+        has[i, [places[shingle] for shingle in own]] = 1
+    both, sizes = has @ has.T, has.sum(axis=1)
+    links = 100 * both >= percent * (sizes[:, None] + sizes[None, :] - both)
+    least = np.arange(len(sets))
+    while (new := np.where(links, least[None, :], len(sets)).min(axis=1)).tolist() != least.tolist():
+        least = new
+    return least.tolist(), links
+
+
+def test_no_link_is_lost_among_texts_of_common_passages(spark):
+    """Texts on one template, of passages that many have: no shingle is rare, and few pairs are links."""
+    rng = random.Random(8)
+    template = [f"t{i}" for i in range(450)]
+    passages = [[f"p{k}-{i}" for i in range(12)] for k in range(90)]
+    chosen = [rng.sample(range(90), 10) for _ in range(1_200)]
+    for i in range(0, 60, 2):
+        kept = rng.sample(chosen[i], 6)
+        chosen[i + 1] = kept + rng.sample([k for k in range(90) if k not in chosen[i]], 4)
+    texts = [template + [w for k in sorted(own) for w in passages[k]] for own in chosen]
+    least, links = linked(texts)
+    assert 30 <= (links.sum() - len(texts)) / 2 <= 600  # few of 719,400 pairs
+    documents = spark.createDataFrame(
+        [(i, " ".join(words), "en", "s", 0) for i, words in enumerate(texts)], DOCUMENTS
+    )
+    found = {r.doc_id: r.component_id for r in near_duplicates(documents, Forest(size=4)).collect()}
+    assert [found[i] for i in range(len(texts))] == least
+
+
 def test_one_row_of_each_group_stays(spark):
     base = " ".join(f"w{i}" for i in range(60))
     other = " ".join(f"v{i}" for i in range(60))
