@@ -113,6 +113,19 @@ def _taken(turn: str) -> str:
     return f"greatest(0L, least(size_, {left}))"
 
 
+def _due(streamed: DataFrame, mix: Mix) -> DataFrame:
+    """A row for each document and pass that takes words of it: pass_, taken_ and due_ are added."""
+    part = "least(1D, (begin_ + pass_ * source_size + taken_ / 2D) / target)"
+    # s + a (s**2 - s) = part; for a = 0 that is s = part.
+    root = f"(slope - 1 + sqrt(power(1 - slope, 2) + 4 * slope * {part})) / (2 * slope)"
+    return (
+        streamed.selectExpr("*", f"explode(sequence(0, {mix.repeats - 1})) as pass_")
+        .withColumn("taken_", F.expr(_taken("pass_")))
+        .where("taken_ > 0")
+        .withColumn("due_", F.expr(f"if(slope = 0, {part}, {root})"))
+    )
+
+
 def curriculum(documents: DataFrame, mix: Mix | None = None) -> DataFrame:
     """A row for each document and pass over its source, with words taken, and when they are due.
 
@@ -123,14 +136,8 @@ def curriculum(documents: DataFrame, mix: Mix | None = None) -> DataFrame:
     mix = mix or Mix()
     added = ("size", "source_size", "target", "pass", "taken", "due")
     kept = [name for name in documents.columns if name not in added]
-    part = "least(1D, (begin_ + pass_ * source_size + taken_ / 2D) / target)"
-    # s + a (s**2 - s) = part; for a = 0 that is s = part.
-    root = f"(slope - 1 + sqrt(power(1 - slope, 2) + 4 * slope * {part})) / (2 * slope)"
     return (
-        _streamed(documents.selectExpr(*(f"`{name}`" for name in kept)), mix)
-        .selectExpr("*", f"explode(sequence(0, {mix.repeats - 1})) as pass_")
-        .withColumn("taken_", F.expr(_taken("pass_")))
-        .where("taken_ > 0")
+        _due(_streamed(documents.selectExpr(*(f"`{name}`" for name in kept)), mix), mix)
         .selectExpr(
             "own_.*",
             "size_ as size",
@@ -138,16 +145,37 @@ def curriculum(documents: DataFrame, mix: Mix | None = None) -> DataFrame:
             "target",
             "pass_ as pass",
             "taken_ as taken",
-            f"if(slope = 0, {part}, {root}) as due",
+            "due_ as due",
         )
         .orderBy("due", "doc_id", "pass")
     )
 
 
 def taken_words(documents: DataFrame, mix: Mix | None = None) -> DataFrame:
-    """Per document: doc_id, size, source_size, target, and words taken in all passes."""
+    """Per document: doc_id, size, source_size, target, and words taken in all passes.
+
+    The training order is written first, without texts: documents and passes with words taken, sorted
+    by when they are due. What it takes of a document is read back by its place in its source's stream.
+    """
     mix = mix or Mix()
-    every = " + ".join(_taken(f"{turn}L") for turn in range(mix.repeats))
-    return _streamed(documents.select("doc_id", "text", "source"), mix).selectExpr(
-        "id_ as doc_id", "size_ as size", "source_size", "target", f"{every} as taken"
+    streamed = _streamed(documents.select("doc_id", "text", "source"), mix).select(
+        "id_", "source_", "size_", "source_size", "target", "slope", "begin_"
+    )
+    streamed = settled(streamed, "streams")
+    order = _due(streamed, mix).orderBy("due_", "id_", "pass_")
+    order = settled(
+        order.select("id_", "source_", "begin_", "pass_", "taken_", "due_"), "training-order"
+    )
+    taken = order.groupBy(F.col("source_").alias("of_"), F.col("begin_").alias("place_")).agg(
+        F.sum("taken_").alias("taken_")
+    )
+    # A document without words shares its place with the next one.
+    return streamed.join(
+        taken, F.expr("source_ <=> of_ and begin_ = place_ and size_ > 0"), "left"
+    ).selectExpr(
+        "id_ as doc_id",
+        "size_ as size",
+        "source_size",
+        "target",
+        "coalesce(taken_, 0L) as taken",
     )

@@ -14,6 +14,7 @@ import numpy as np
 import pytest
 
 from tallybook.llm import passages, shared
+from tallybook.llm import curriculum as curriculum_module
 from tallybook.llm.curriculum import curriculum, taken_words
 from tallybook.llm.decontamination import contaminations, decontaminated
 from tallybook.llm.language_model import code_of, scored
@@ -504,6 +505,26 @@ def test_mix_reaches_its_targets(spark, awkward, clashing, nothing):
     assert curriculum(nothing).count() == 0 and taken_words(nothing).count() == 0
 
 
+def test_taken_words_are_read_back_from_the_training_order(spark, awkward, monkeypatch):
+    tables = {}
+
+    def noted(frame, name, *args, **kwargs):
+        tables[name] = settled(frame, name, *args, **kwargs)
+        return tables[name]
+
+    settled = curriculum_module.settled
+    monkeypatch.setattr(curriculum_module, "settled", noted)
+    repeated = awkward.union(awkward.where("doc_id is null or doc_id in (4, 7)"))
+    found = taken_words(repeated).collect()
+    order = tables["training-order"].collect()
+    assert [r.due_ for r in order] == sorted(r.due_ for r in order)
+    key = lambda r: (str(r["doc_id"]), r["pass"], r.taken, r.due)
+    expected = sorted(map(key, curriculum(repeated).collect()))
+    assert sorted((str(r.id_), r.pass_, r.taken_, r.due_) for r in order) == expected
+    assert len(found) == repeated.count()
+    assert sum(r.taken for r in found) == sum(r.taken_ for r in order) > 0
+
+
 def test_archives_round_trip(spark):
     schema = "page_id bigint, url string, html string, page string"
     rows = [
