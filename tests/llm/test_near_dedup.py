@@ -69,7 +69,8 @@ def linked(texts, size=4, percent=80):
     return least.tolist(), links
 
 
-def test_no_link_is_lost_among_texts_of_common_passages(spark):
+@pytest.fixture(scope="module")
+def of_common_passages(spark):
     """Texts on one template, of passages that many have: no shingle is rare, and few pairs are links."""
     rng = random.Random(8)
     template = [f"t{i}" for i in range(450)]
@@ -79,15 +80,25 @@ def test_no_link_is_lost_among_texts_of_common_passages(spark):
         kept = rng.sample(chosen[i], 6)
         chosen[i + 1] = kept + rng.sample([k for k in range(90) if k not in chosen[i]], 4)
     texts = [template + [w for k in sorted(own) for w in passages[k]] for own in chosen]
+    rows = [(i, " ".join(words), "en", "s", 0) for i, words in enumerate(texts)]
+    return texts, spark.createDataFrame(rows, DOCUMENTS)
+
+
+def test_no_link_is_lost_among_texts_of_common_passages(of_common_passages):
+    texts, documents = of_common_passages
     least, links = linked(texts)
     assert 30 <= (links.sum() - len(texts)) / 2 <= 600  # few of 719,400 pairs
-    documents = spark.createDataFrame(
-        [(i, " ".join(words), "en", "s", 0) for i, words in enumerate(texts)], DOCUMENTS
-    )
     found = {r.doc_id: r.component_id for r in near_duplicates(documents, Forest(size=4)).collect()}
     assert [found[i] for i in range(len(texts))] == least
 
 
+def test_one_text_of_common_passages_stays_of_each_component(of_common_passages):
+    texts, documents = of_common_passages
+    least, _ = linked(texts)
+    kept = deduplicated(documents, Forest(size=4)).collect()
+    assert sorted(r.doc_id for r in kept) == sorted(set(least))
+
+
 def test_one_row_of_each_group_stays(spark):
     base = " ".join(f"w{i}" for i in range(60))
     other = " ".join(f"v{i}" for i in range(60))
