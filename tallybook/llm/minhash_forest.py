@@ -269,6 +269,7 @@ def _crowd_candidates(crowded: DataFrame, documents: DataFrame, forest: Forest)
             _shingles_of(forest.size), "code bigint, n bigint, shingle bigint"
         ),
         "shingles",
+        portions=True,
     )
     # A shingle that one node has brings no two together: only the number of those is needed.
     shared = shingles.groupBy("shingle").count().where("count > 1")
@@ -371,6 +372,7 @@ def _links(pairs: DataFrame, nodes: DataFrame, documents: DataFrame, forest: For
         .select("a", "b", "text_a", "text_b")
         .mapInArrow(_confirmed(forest.size, forest.percent), "a binary, b binary"),
         "confirmed",
+        portions=True,
     )
 
 
@@ -385,6 +387,7 @@ def _members(documents: DataFrame, forest: Forest) -> DataFrame:
             " sketch binary",
         ),
         "signatures",
+        portions=True,
     )
     nodes = settled(
         described.where("node is not null")
