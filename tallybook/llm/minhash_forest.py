@@ -27,9 +27,11 @@ a shingle that all of them have brings no two together.
 
 Every candidate is confirmed on full shingle sets.
 
+A region that is no crowd is in one task of the sort as a whole, so all its nodes meet wherever the
+tasks' bounds are; only crowds are dealt to several tasks.
+
 Chance of missing a link of similarity 0.8: (1 - 0.8**3)**20, under 1e-6, that its ends share three
-values in no tree. A sort partition's end hides a neighbour outside crowds with a chance of about
-``reach`` to ``NODES_PER_TASK`` in each tree on its own.
+values in no tree.
 
 Defined cases: a null or blank text has an empty set and no links; fewer words than ``size``: one
 shingle; repeated rows: one node; a null id never names a component with other ids in it, and a
@@ -199,7 +201,24 @@ def _neighbours(forest: Forest, reach: int):
     return found
 
 
-def _candidates(nodes: DataFrame, forest: Forest, trees: int, reach: int, count: int) -> DataFrame:
+def _regions(nodes: DataFrame, forest: Forest) -> DataFrame:
+    """(node, region) for each tree; nodes share a region if they share ``shortest`` values there."""
+    width = forest.depth * 4
+    prefix = f"substring(signature, tree * {width} + 1, {4 * forest.shortest})"
+    return nodes.selectExpr(
+        "node", "signature", f"explode(sequence(0, {forest.trees - 1})) as tree"
+    ).selectExpr("node", f"concat(unhex(lpad(hex(tree), 2, '0')), {prefix}) as region")
+
+
+def _crowds(nodes: DataFrame, forest: Forest) -> DataFrame:
+    """The regions that are crowds, settled."""
+    counts = _regions(nodes, forest).groupBy("region").count()
+    return settled(counts.where(f"count >= {forest.crowd}").select("region"), "crowds")
+
+
+def _candidates(
+    nodes: DataFrame, crowds: DataFrame, forest: Forest, trees: int, reach: int, count: int
+) -> DataFrame:
     """Distinct candidate pairs from the first ``trees`` trees; ``nodes``: node, label, sketch, signature."""
     width = forest.depth * 4
     rows = nodes.selectExpr(
@@ -210,10 +229,16 @@ def _candidates(nodes: DataFrame, forest: Forest, trees: int, reach: int, count:
         "sketch",
         f"concat(unhex(lpad(hex(tree), 2, '0')),"
         f" substring(signature, tree * {width} + 1, {width})) as key",
-    )
+    ).withColumn("region", F.expr(f"substring(key, 1, {1 + 4 * forest.shortest})"))
     tasks = max(1, count * trees // NODES_PER_TASK)
+    crowds = crowds.withColumn("crowded", F.lit(True))
+    if crowds.count() * 80 <= BROADCAST_BYTES:
+        crowds = F.broadcast(crowds)
+    rows = rows.join(crowds, "region", "left").withColumn(
+        "spread", F.expr("if(crowded, concat(key, node), region)")
+    )
     pairs = (
-        rows.repartitionByRange(tasks, "key", "node")
+        rows.repartitionByRange(tasks, "spread")
         .sortWithinPartitions("key", "node")
         .select("node", "label", "sketch", "key")
         .mapInArrow(_neighbours(forest, reach), "a binary, b binary")
@@ -221,16 +246,9 @@ def _candidates(nodes: DataFrame, forest: Forest, trees: int, reach: int, count:
     return pairs.selectExpr("least(a, b) as a", "greatest(a, b) as b").distinct()
 
 
-def _in_crowds(labelled: DataFrame, forest: Forest) -> DataFrame:
+def _in_crowds(labelled: DataFrame, crowds: DataFrame, forest: Forest) -> DataFrame:
     """(row, node, label) of the nodes that share ``shortest`` values with a crowd in any tree."""
-    width = forest.depth * 4
-    prefix = f"substring(signature, tree * {width} + 1, {4 * forest.shortest})"
-    rows = labelled.selectExpr(
-        "node", "signature", f"explode(sequence(0, {forest.trees - 1})) as tree"
-    ).selectExpr("node", f"concat(unhex(lpad(hex(tree), 2, '0')), {prefix}) as region")
-    crowds = rows.groupBy("region").count().where(f"count >= {forest.crowd}").select("region")
-    crowds = settled(crowds, "crowds")
-    found = narrow(rows, "region", crowds, 80).select("node").distinct()
+    found = narrow(_regions(labelled, forest), "region", crowds, 80).select("node").distinct()
     return settled(
         labelled.join(found, "node").selectExpr("row", "node", "coalesce(label, node) as label"),
         "crowded",
@@ -401,6 +419,7 @@ def _members(documents: DataFrame, forest: Forest) -> DataFrame:
         "nodes",
     )
     count = nodes.count()
+    crowds = _crowds(nodes, forest)
     links = labels = None
     for trees, reach in ((forest.first_trees, 1), (forest.trees, forest.reach)):
         labelled = (
@@ -408,7 +427,7 @@ def _members(documents: DataFrame, forest: Forest) -> DataFrame:
             if labels is None
             else nodes.join(labels, "node", "left")
         )
-        pairs = settled(_candidates(labelled, forest, trees, reach, count), "neighbours")
+        pairs = settled(_candidates(labelled, crowds, forest, trees, reach, count), "neighbours")
         found = _links(pairs, nodes, documents, forest)
         links = found if links is None else links.union(found)
         labels = components(links, "binary")
@@ -416,7 +435,7 @@ def _members(documents: DataFrame, forest: Forest) -> DataFrame:
         links = links.union(_links(_likely(pairs, nodes, forest), nodes, documents, forest))
         labels = components(links, "binary")
 
-    crowded = _in_crowds(nodes.join(labels, "node", "left"), forest)
+    crowded = _in_crowds(nodes.join(labels, "node", "left"), crowds, forest)
     if crowded.count():
         pairs = _likely(_crowd_candidates(crowded, documents, forest), nodes, forest)
         links = links.union(_links(pairs, nodes, documents, forest))

@@ -7,6 +7,7 @@ import random
 import numpy as np
 import pytest
 
+from tallybook.llm import minhash_forest
 from tallybook.llm.minhash_forest import Forest, deduplicated, near_duplicates
 
 DOCUMENTS = "doc_id bigint, text string, lang string, source string, n_chars bigint"
@@ -99,6 +100,25 @@ def test_one_text_of_common_passages_stays_of_each_component(of_common_passages)
     assert sorted(r.doc_id for r in kept) == sorted(set(least))
 
 
+def test_links_do_not_depend_on_where_tasks_end(spark, monkeypatch):
+    """With one tree a pair meets there or nowhere, and many bounds of tasks lie between pairs."""
+    rng = random.Random(12)
+    rows = []
+    for i in range(150):
+        words = [f"w{rng.randrange(5_000)}" for _ in range(80)]
+        for k in range(2):
+            rows.append((2 * i + k, " ".join(words), "en", "s", 0))
+            words[40] = "changed"
+    documents = spark.createDataFrame(rows, DOCUMENTS)
+    forest = Forest(size=4, trees=1, first_trees=1)
+    found = []
+    for nodes in (50_000, 5):
+        monkeypatch.setattr(minhash_forest, "NODES_PER_TASK", nodes)
+        found.append({r.doc_id: r.component_id for r in near_duplicates(documents, forest).collect()})
+    assert sum(i != component for i, component in found[0].items()) > 90
+    assert found[1] == found[0]
+
+
 def test_one_row_of_each_group_stays(spark):
     base = " ".join(f"w{i}" for i in range(60))
     other = " ".join(f"v{i}" for i in range(60))
