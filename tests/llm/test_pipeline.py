@@ -5,8 +5,11 @@ from __future__ import annotations
 import random
 
 import corpus_pipeline
+import pyarrow as pa
 import pytest
 
+from tallybook.llm.shared import PORTION_BYTES
+
 DOCUMENTS = "doc_id bigint, text string, lang string, source string, n_chars bigint"
 
 
@@ -108,3 +111,23 @@ def test_run_on_empty_tables(spark, folder, tmp_path):
     for name in ("documents", "labels", "benchmark"):
         spark.read.parquet(f"{path}/{name}.parquet").limit(0).write.parquet(f"{tmp_path}/{name}.parquet")
     assert corpus_pipeline.run(spark, str(tmp_path)).collect() == []
+
+
+def test_texts_go_to_python_in_portions(spark, folder):
+    """Also in the query that the caller of a stage runs."""
+    path, *_ = folder
+    rng = random.Random(6)
+    texts = [(i, " ".join(prose(rng, 2_000)), "en", "s", 0) for i in range(1_600)]
+    docs = spark.createDataFrame(texts, DOCUMENTS).coalesce(1)
+
+    def sizes(batches):
+        for batch in batches:
+            yield pa.RecordBatch.from_arrays([pa.array([batch.nbytes])], names=["n"])
+
+    portion = "spark.sql.execution.arrow.maxBytesPerBatch"
+    for stage in (corpus_pipeline.quality, corpus_pipeline.decontaminate):
+        spark.conf.unset(portion)
+        kept = stage(spark, docs, path)
+        portions = [r.n for r in kept.mapInArrow(sizes, "n bigint").collect()]
+        assert sum(portions) > 2 * PORTION_BYTES and max(portions) < 1.2 * PORTION_BYTES
+    spark.conf.unset(portion)
