@@ -27,7 +27,7 @@ from dataclasses import dataclass
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
-from tallybook.llm.shared import settled
+from tallybook.llm.shared import BROADCAST_BYTES, settled
 
 # Buckets of a source's hashed ids; a bucket is what one task orders at a time.
 BUCKETS = 4096
@@ -98,6 +98,8 @@ def _streamed(documents: DataFrame, mix: Mix) -> DataFrame:
         .join(targets(sizes, mix), F.expr("of_source_ <=> source_"))
         .drop("words_", "source_")
     )
+    if sums.count() * 100 <= BROADCAST_BYTES:
+        offsets = F.broadcast(offsets)  # else the texts are shuffled once more, for the join
     within = Window.partitionBy("source_", "bucket_").orderBy("hash_", "id_", "tie_")
     up_to = within.rowsBetween(Window.unboundedPreceding, Window.currentRow)
     return (

@@ -131,3 +131,17 @@ def test_texts_go_to_python_in_portions(spark, folder):
         portions = [r.n for r in kept.mapInArrow(sizes, "n bigint").collect()]
         assert sum(portions) > 2 * PORTION_BYTES and max(portions) < 1.2 * PORTION_BYTES
     spark.conf.unset(portion)
+
+
+def test_texts_are_not_shuffled_to_the_offsets_of_their_streams(spark, folder):
+    path, *_ = folder
+    docs = spark.read.parquet(f"{path}/documents.parquet")
+    threshold = "spark.sql.autoBroadcastJoinThreshold"
+    before = spark.conf.get(threshold)
+    spark.conf.set(threshold, "-1")
+    try:
+        plan = corpus_pipeline.mix(spark, docs, path)._jdf.queryExecution().executedPlan().toString()
+    finally:
+        spark.conf.set(threshold, before)
+    # What is sorted and merged are targets and offsets of sources; the texts' join is the other one.
+    assert plan.count("SortMergeJoin") == 1 and plan.count("BroadcastHashJoin") == 1
