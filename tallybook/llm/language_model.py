@@ -32,7 +32,6 @@ from __future__ import annotations
 
 import heapq
 import pickle
-import zlib
 from collections.abc import Callable, Iterator
 from dataclasses import dataclass
 
@@ -52,21 +51,24 @@ ORDERS = (1, 2, 3, 5)  # bytes before, for spelling
 CODED = 1 << 16
 COMMON = 256
 ESCAPE, LAST = 0, 1  # the first two tokens of the code
-GATES = 3**INPUTS
+GATES = 4**INPUTS  # of a context: never seen, up to three times, more; a digit is free
 STEPS = 33  # of the refining table, over the stretched prediction -8..8
 CELLS = STEPS * 8
 FREQUENT = 1 << 19
 SYMBOLS = 4096  # predicted at a time
+COUNTED = 1 << 22  # places of the slot table that are sorted at a time
 FIRST = 1024  # symbols of a task's first learning steps
 CHUNKS = 64  # of the slot table, on its way between tasks
 RATE = 0.1
 DOUBT = np.float32(0.15)  # added to the zeros and ones of a slot
 END = np.uint64(0x6A09E667F3BCC908)  # stands for the hash of the end of a text
+NO_CONTEXT = np.uint32(0x51ED270B)
 
 HELD_OUT = "coalesce(crc32(cast(cast(doc_id as string) as binary)) % 10 = 0, false)"
 
 Code = tuple[np.ndarray, np.ndarray, np.ndarray]
-#: Symbols, their contexts, the row each belongs to, and the number of rows.
+#: Symbols, their contexts (without the one that is none), the row each belongs to, and the number
+#: of rows.
 Stream = tuple[np.ndarray, np.ndarray, np.ndarray, int]
 Reader = Callable[[pa.RecordBatch], Iterator[Stream]]
 
@@ -104,6 +106,37 @@ def _context(value: np.ndarray, seed: int) -> np.ndarray:
     return (mixed(value, seed) >> np.uint64(32)).astype(np.uint32)
 
 
+def _packed(array: np.ndarray) -> bytes:
+    return pa.compress(np.ascontiguousarray(array), "zstd", asbytes=True)
+
+
+def _unpacked(packed: bytes, kind: type, size: int) -> np.ndarray:
+    raw = pa.decompress(packed, size * np.dtype(kind).itemsize, "zstd")
+    return np.frombuffer(raw, dtype=kind)
+
+
+class Places:
+    """Finds hashes among sorted ones; the first bits of a hash tell where to begin."""
+
+    def __init__(self, hashes: np.ndarray):
+        bits = max(len(hashes), 1).bit_length()
+        self.shift = np.uint64(64 - bits)
+        self.hashes = np.append(hashes, np.uint64((1 << 64) - 1))
+        edges = np.arange(1 << bits, dtype=np.uint64) << self.shift
+        self.first = np.searchsorted(hashes, edges).astype(np.int32)
+
+    def of(self, hashes: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+        """Where each hash would stand, and whether it does."""
+        at = self.first.take((hashes >> self.shift).astype(np.int64)).astype(np.int64)
+        found = self.hashes.take(at)
+        late = np.flatnonzero(found < hashes)
+        while len(late):
+            at[late] += 1
+            found[late] = self.hashes.take(at[late])
+            late = late[found[late] < hashes[late]]
+        return at, (found == hashes) & (at < len(self.hashes) - 1)
+
+
 def spelled(words: list[bytes]) -> Stream:
     """The bytes of words, each closed by a space."""
     letters = np.frombuffer(b" ".join([*words, b""]), dtype=np.uint8)
@@ -139,12 +172,12 @@ class Coded:
     def __init__(self, hashes: np.ndarray):
         hashes = np.concatenate((np.array([END], dtype=np.uint64), hashes))
         order = np.argsort(hashes)
-        self.hashes, self.symbols = hashes[order], order + 1
+        self.places, self.symbols = Places(hashes[order]), np.append(order + 1, ESCAPE)
 
     def symbols_of(self, hashes: np.ndarray) -> np.ndarray:
         """The symbol of each word, an escape for the others."""
-        at = np.minimum(np.searchsorted(self.hashes, hashes), len(self.hashes) - 1)
-        return np.where(self.hashes[at] == hashes, self.symbols[at], ESCAPE)
+        at, known = self.places.of(hashes)
+        return np.where(known, self.symbols.take(at), ESCAPE)
 
     def stream(self, words: Words) -> tuple[np.ndarray, Stream]:
         """The hashes of all tokens of a block of texts, and their stream."""
@@ -158,25 +191,21 @@ class Coded:
         word[ends] = False
         tokens[word], tokens[ends] = words.hashes, END
         symbols = self.symbols_of(tokens)
-        begin = starts[owner]
-        here = np.arange(len(tokens))
-
-        def before(places: np.ndarray) -> np.ndarray:
-            """The tokens at places, nothing for those that lie in another text."""
-            return np.where(places >= begin, tokens[np.maximum(places, 0)], np.uint64(0))
-
+        # Between two common words of a text the subject is the same, and so is its context.
         common = (symbols > LAST) & (symbols <= LAST + COMMON)
-        at = np.concatenate(([-1, -1], np.flatnonzero(common)))
-        count = np.cumsum(common) - common
-        subject = mixed(before(at[count + 1]), 71) + mixed(before(at[count]), 71)
-        one, two = before(here - 1), before(here - 2)
-        contexts = [
-            np.full(len(tokens), 0x51ED270B, dtype=np.uint32),
-            _context(subject, 72),
-            _context(one, 73),
-            _context(one + mixed(two, 74), 75),
-        ]
-        return tokens, (symbols, np.stack(contexts), owner, m)
+        edges = np.sort(np.concatenate((starts, np.flatnonzero(common) + 1)))
+        own = owner[edges]
+        after = edges > starts[own]  # a common word of the text
+        last = np.where(after, tokens[edges - 1], np.uint64(0))
+        second = np.concatenate((np.zeros(1, dtype=np.uint64), last))[:-1]
+        second = np.where(after, second, np.uint64(0))
+        subject = _context(mixed(last, 71) + mixed(second, 71), 72)
+        subject = np.repeat(subject, np.diff(np.append(edges, len(tokens))))
+        one = np.concatenate((np.zeros(1, dtype=np.uint64), tokens))[:-1]
+        one[starts] = 0
+        two = np.concatenate((np.zeros(1, dtype=np.uint64), one))[:-1]
+        two[starts] = 0
+        return tokens, (symbols, [subject, _context(one, 73), _context(one + mixed(two, 74), 75)], owner, m)
 
 
 def _token_reader(coded: Broadcast) -> Reader:
@@ -194,9 +223,11 @@ def _counted(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for start, words in blocks(as_bytes(batch.column(0))):
             own = training[start : start + len(words)]
             learns = np.repeat(own, np.diff(words.bounds))
-            _, first, at = np.unique(words.hashes, return_index=True, return_inverse=True)
-            times = np.bincount(at, learns, len(first)).astype(np.int64)
-            found = [words.word(i) for i in first] + [b""]
+            order = np.argsort(words.hashes)
+            ordered = words.hashes[order]
+            begin = np.flatnonzero(np.append(True, ordered[1:] != ordered[:-1])[: len(order)])
+            times = np.add.reduceat(learns[order], begin, dtype=np.int64) if len(begin) else begin
+            found = [words.word(i) for i in order[begin].tolist()] + [b""]
             yield pa.RecordBatch.from_arrays(
                 [pa.array(found, type=pa.binary()), pa.array(np.append(times, own.sum()))],
                 names=["word", "n"],
@@ -234,76 +265,137 @@ def _squash(x: np.ndarray) -> np.ndarray:
 
 # The mixed prediction that each cell of the refining table stands for.
 _CENTRES = _squash(np.linspace(-8, 8, STEPS)).repeat(8)
+# A prediction is 0 or has a size of 2**-24 to 8, so its exponent leaves two bits free.
+_SMALLER, _LARGER = np.float32(2.0**-96), np.float32(2.0**96)
+_KIND = np.uint32(3 << 29)
+
+
+def _predictions(zeros: np.ndarray, ones: np.ndarray) -> np.ndarray:
+    """Stretched predictions, and how often they were seen (never, up to three times, more) in the
+    free bits of their exponents, so that both are read at once."""
+    seen = zeros + ones
+    kinds = (seen > 0).astype(np.uint32) + (seen > 3)
+    x = np.clip(np.log((ones + DOUBT) / (zeros + DOUBT)), -8, 8)
+    return (x * _SMALLER).view(np.uint32) | (kinds << np.uint32(29))
+
+
+def _tables(zeros: np.ndarray, ones: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """Predictions of all slots; and of each slot's zeros and ones, without the bit's own occurrence."""
+    every, others = np.empty(SLOTS, dtype=np.uint32), np.empty((SLOTS, 2), dtype=np.uint32)
+    for start in range(0, SLOTS, SLOTS // CHUNKS):
+        part = slice(start, start + SLOTS // CHUNKS)
+        zero, one = zeros[part], ones[part]
+        every[part] = _predictions(zero, one)
+        others[part, 0] = _predictions(np.maximum(zero - 1, 0), one)
+        others[part, 1] = _predictions(zero, np.maximum(one - 1, 0))
+    return every, others.ravel()
 
 
 class Mixer:
-    """Predictions of bits from slot counts, mixing weights, and the refining table."""
+    """Predictions of bits from slot counts, mixing weights, and the refining table.
+
+    ``table`` has the predictions of slots, or of slots and bits for learning.
+    """
 
-    def __init__(self, code: Code, zeros: np.ndarray | None = None, ones: np.ndarray | None = None):
-        none = np.zeros(SLOTS, dtype=np.float32)
+    def __init__(
+        self,
+        code: Code,
+        zeros: np.ndarray | None = None,
+        ones: np.ndarray | None = None,
+        table: np.ndarray | None = None,
+    ):
+        none = np.zeros(1, dtype=np.float32)
         self.code = code
         self.zeros, self.ones = none if zeros is None else zeros, none if ones is None else ones
+        self.table = table
         lengths, nodes, bits = code
-        self.lengths, self.width = lengths, nodes.shape[1]
-        self.nodes = (nodes.ravel().astype(np.uint32) + np.uint32(1)) * np.uint32(0x9E3779B1)
-        self.bits = bits.ravel().astype(np.uint8)
+        self.lengths = lengths.astype(np.int64)
+        self.begins = np.cumsum(self.lengths) - self.lengths
+        # The steps of all symbols in a row: node, bit, and place in the code.
+        used = np.arange(nodes.shape[1]) < self.lengths[:, None]
+        self.steps = nodes[used].astype(np.int64)
+        self.nodes = (self.steps.astype(np.uint32) + np.uint32(1)) * np.uint32(0x9E3779B1)
+        self.bits = bits[used].astype(np.uint8)
+        self.places = np.minimum(np.nonzero(used)[1], 7).astype(np.uint8)
         self.weights = np.full((INPUTS, GATES), 0.3)
         self.refined = _CENTRES
-        self.stretched: np.ndarray | None = None
 
     def __reduce__(self):
-        """Code and counts, compressed; weights and the refining table travel by themselves."""
-        code = tuple(part.astype(np.int32) for part in self.code)
-        return _unpacked, (zlib.compress(pickle.dumps((code, self.zeros, self.ones), 5), 1),)
-
-    def portions(self, symbols: np.ndarray, contexts: np.ndarray, size: int = SYMBOLS):
-        """(first symbol, symbol of each bit, slots, bits, places) for so many symbols at a time."""
-        for start in range(0, len(symbols), size):
-            own = symbols[start : start + size]
-            count = self.lengths[own]
-            at = np.repeat(np.arange(len(own)), count)
-            place = np.arange(len(at)) - np.repeat(np.cumsum(count) - count, count)
-            step = own[at] * self.width + place
-            slots = contexts[:, start : start + size][:, at] + self.nodes[step]
-            slots = (slots * np.uint32(0x85EBCA6B)) >> np.uint32(32 - SLOT_BITS)
-            yield start, at, slots.astype(np.int64), self.bits[step], np.minimum(place, 7)
+        """Code and table, compressed; weights and the refining table travel by themselves."""
+        code = pickle.dumps(tuple(part.astype(np.int32) for part in self.code), 5)
+        table = None if self.table is None else _packed(self.table)
+        size = 0 if self.table is None else len(self.table)
+        return _arrived, (len(code), _packed(np.frombuffer(code, dtype=np.uint8)), size, table)
 
     @staticmethod
-    def predictions(zeros: np.ndarray, ones: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
-        """Stretched predictions, and how often they were seen: never, up to three times, more."""
-        seen = zeros + ones
-        kinds = (seen > 0).astype(np.uint8) + (seen > 3)
-        return np.clip(np.log((ones + DOUBT) / (zeros + DOUBT)), -8, 8), kinds
-
-    def mix(self, x: np.ndarray, kinds: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
-        gate = kinds[0].astype(np.int64)
-        for k in range(1, INPUTS):
-            gate += kinds[k] * np.int64(3**k)
+    def slots(contexts: np.ndarray, nodes: np.ndarray) -> np.ndarray:
+        return ((contexts + nodes) * np.uint32(0x85EBCA6B)) >> np.uint32(32 - SLOT_BITS)
+
+    def portions(self, symbols: np.ndarray, contexts, size: int = SYMBOLS):
+        """(first symbol, bits of each, the bits' steps, slots by context) for so many at a time.
+
+        Without a fourth context, the first one is none, and its slots are ``None``.
+        """
+        lengths, begins = self.lengths.take(symbols), self.begins.take(symbols)
+        for start in range(0, len(symbols), size):
+            count = lengths[start : start + size]
+            ends = np.cumsum(count)
+            steps = np.repeat(begins[start : start + size] - ends + count, count)
+            steps += np.arange(len(steps))
+            nodes = self.nodes.take(steps, mode="clip")
+            slots = [
+                self.slots(np.repeat(context[start : start + size], count), nodes)
+                for context in contexts
+            ]
+            yield start, count, steps, [None] * (INPUTS - len(slots)) + slots
+
+    def fixed(self) -> np.ndarray:
+        """The slot of each step without a context."""
+        return self.slots(NO_CONTEXT, self.nodes)
+
+    def mix(self, found: list[np.ndarray]) -> tuple[np.ndarray, list[np.ndarray], np.ndarray]:
+        """Gates, predictions and their mix, from entries of the table by context."""
+        gate = np.zeros(len(found[0]), dtype=np.uint32)
+        x = []
+        for k, entry in enumerate(found):
+            kinds = entry & _KIND
+            x.append((entry ^ kinds).view(np.float32) * _LARGER)
+            gate |= kinds >> np.uint32(29 - 2 * k)
+        gate = gate.astype(np.int64)
         weights = self.weights.astype(np.float32)
-        score = sum(weights[k][gate] * x[k] for k in range(INPUTS))
-        return gate, np.clip(score, -8, 8)
+        score = weights[0].take(gate, mode="clip") * x[0]
+        for k in range(1, INPUTS):
+            score += weights[k].take(gate, mode="clip") * x[k]
+        return gate, x, np.clip(score, -8, 8)
 
     @staticmethod
     def cells(score: np.ndarray, places: np.ndarray) -> np.ndarray:
         return np.rint((score + 8) * ((STEPS - 1) / 16)).astype(np.int64) * 8 + places
 
-    def log10(self, symbols: np.ndarray, contexts: np.ndarray) -> np.ndarray:
+    def log10(self, symbols: np.ndarray, contexts) -> np.ndarray:
         """log10 of each symbol's probability."""
-        if self.stretched is None:
-            self.stretched, self.kinds = self.predictions(self.zeros, self.ones)
+        if self.table is None:
+            self.table, _ = _tables(self.zeros, self.ones)
+        table, fixed = self.table, self.table[self.fixed()]
         out, refined = np.zeros(len(symbols)), self.refined.astype(np.float32)
-        for start, at, slots, bits, places in self.portions(symbols, contexts):
-            _, score = self.mix(self.stretched[slots], self.kinds[slots])
-            one = (_squash(score) + refined[self.cells(score, places)]) / 2
-            likely = np.log10(np.clip(np.where(bits, one, 1 - one), 1e-6, 1))
-            own = out[start : start + SYMBOLS]
-            own += np.bincount(at, likely, len(own))
+        for start, count, steps, slots in self.portions(symbols, contexts):
+            found = [
+                fixed.take(steps, mode="clip") if own is None else table.take(own.astype(np.int64), mode="clip")
+                for own in slots
+            ]
+            _, _, score = self.mix(found)
+            cells = self.cells(score, self.places.take(steps, mode="clip"))
+            one = (_squash(score) + refined.take(cells, mode="clip")) / 2
+            right = np.where(self.bits.take(steps, mode="clip"), one, 1 - one)
+            likely = np.log10(np.clip(right, 1e-6, 1))
+            # Every symbol has a bit, so no stretch is empty.
+            out[start : start + SYMBOLS] = np.add.reduceat(likely, np.cumsum(count) - count, dtype=float)
         return out
 
 
-def _unpacked(packed: bytes) -> Mixer:
-    code, zeros, ones = pickle.loads(zlib.decompress(packed))
-    return Mixer(code, zeros, ones)
+def _arrived(length: int, code: bytes, size: int, table: bytes | None) -> Mixer:
+    code = pickle.loads(_unpacked(code, np.uint8, length).tobytes())
+    return Mixer(code, table=None if table is None else _unpacked(table, np.uint32, size).copy())
 
 
 @dataclass(frozen=True)
@@ -320,26 +412,45 @@ class Trained:
         return mixer
 
 
+def _added(counts: np.ndarray, places: list[np.ndarray]) -> None:
+    """One more for each of ``places``; sorted ones are met in the order of memory."""
+    rows = np.sort(np.concatenate(places))
+    begin = np.flatnonzero(np.append(True, rows[1:] != rows[:-1]))
+    counts[rows[begin]] += np.diff(begin, append=len(rows)).astype(np.int32)
+
+
 def _counting(shared: Broadcast, read: Reader):
     def counting(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        """The task's slot counts, zeros before ones, in ``CHUNKS`` compressed parts."""
+        """The task's slot counts, zero and one in turn, in ``CHUNKS`` compressed parts."""
         mixer: Mixer = shared.value
         counts = np.zeros(2 * SLOTS, dtype=np.int32)
+        often = np.zeros(len(mixer.lengths), dtype=np.int64)
         held: list[np.ndarray] = []
         size = 0
         for batch in batches:
             for symbols, contexts, _, _ in read(batch):
-                for _, _, slots, bits, _ in mixer.portions(symbols, contexts):
-                    held.append((slots + bits * np.int64(SLOTS)).ravel())
-                    size += held[-1].size
-                    if size > SLOTS:
-                        counts += np.bincount(np.concatenate(held), minlength=2 * SLOTS)
+                if len(contexts) < INPUTS:
+                    often += np.bincount(symbols, minlength=len(often))
+                for _, _, steps, slots in mixer.portions(symbols, contexts):
+                    bits = mixer.bits.take(steps, mode="clip")
+                    for own in slots:
+                        if own is not None:
+                            held.append((own << np.uint32(1)) | bits)
+                            size += len(bits)
+                    if size > COUNTED:
+                        _added(counts, held)
                         held, size = [], 0
         if held:
-            counts += np.bincount(np.concatenate(held), minlength=2 * SLOTS)
+            _added(counts, held)
+        # Without a context a symbol's slots are its nodes'.
+        steps, bits = mixer.steps, mixer.bits
+        of_node = np.bincount(2 * steps + bits, np.repeat(often, mixer.lengths)).astype(np.int32)
+        used = np.flatnonzero(of_node)
+        node = ((used >> 1).astype(np.uint32) + np.uint32(1)) * np.uint32(0x9E3779B1)
+        slot = mixer.slots(NO_CONTEXT, node).astype(np.int64)
+        np.add.at(counts, 2 * slot + (used & 1), of_node[used])
         for chunk, part in enumerate(np.split(counts, CHUNKS)):
-            packed = zlib.compress(part.astype(np.int64).tobytes(), 1)
-            columns = [pa.array([chunk], pa.int32()), pa.array([packed], pa.binary())]
+            columns = [pa.array([chunk], pa.int32()), pa.array([_packed(part)], pa.binary())]
             yield pa.RecordBatch.from_arrays(columns, names=["chunk", "counts"])
 
     return counting
@@ -347,14 +458,15 @@ def _counting(shared: Broadcast, read: Reader):
 
 def _chunks(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
     """Each of the task's chunks summed over the tasks that counted."""
+    size = 2 * SLOTS // CHUNKS
     sums: dict[int, np.ndarray] = {}
     for batch in batches:
         for chunk, packed in zip(*(column.to_pylist() for column in batch.columns), strict=True):
-            part = np.frombuffer(zlib.decompress(packed), dtype=np.int64)
-            sums[chunk] = sums[chunk] + part if chunk in sums else part
+            if chunk not in sums:
+                sums[chunk] = np.zeros(size, dtype=np.int64)
+            sums[chunk] += _unpacked(packed, np.int32, size)
     for chunk, part in sums.items():
-        packed = zlib.compress(part.tobytes(), 1)
-        columns = [pa.array([chunk], pa.int32()), pa.array([packed], pa.binary())]
+        columns = [pa.array([chunk], pa.int32()), pa.array([_packed(part)], pa.binary())]
         yield pa.RecordBatch.from_arrays(columns, names=["chunk", "counts"])
 
 
@@ -365,27 +477,33 @@ def _learning(shared: Broadcast, read: Reader):
         Weights take a step for each gate and portion, at a rate that falls with what it has seen.
         """
         mixer: Mixer = shared.value
+        table, bit_of = mixer.table, mixer.bits
+        fixed = table[(mixer.fixed().astype(np.int64) << 1) | bit_of]
         weights = mixer.weights = np.full((INPUTS, GATES), 0.3)
         square, done = np.zeros((INPUTS, GATES)), np.zeros(GATES)
-        ones, every = np.zeros(CELLS), np.zeros(CELLS)
+        refining = np.zeros(2 * CELLS, dtype=np.int64)
         for batch in batches:
             for symbols, contexts, _, _ in read(batch):
                 size = SYMBOLS if done.max() > 200 else FIRST
-                for _, _, slots, bits, places in mixer.portions(symbols, contexts, size):
-                    own = bits.astype(np.float32)
-                    zero = np.maximum(mixer.zeros[slots] - (1 - own), 0)
-                    x, kinds = mixer.predictions(zero, np.maximum(mixer.ones[slots] - own, 0))
-                    gate, score = mixer.mix(x, kinds)
-                    cells = mixer.cells(score, places)
-                    ones += np.bincount(cells, own, CELLS)
-                    every += np.bincount(cells, minlength=CELLS)
-                    error = own - _squash(score)
+                for _, _, steps, slots in mixer.portions(symbols, contexts, size):
+                    bits = bit_of.take(steps, mode="clip")
+                    found = [
+                        fixed.take(steps, mode="clip")
+                        if own is None
+                        else table.take(((own << np.uint32(1)) | bits).astype(np.int64), mode="clip")
+                        for own in slots
+                    ]
+                    gate, x, score = mixer.mix(found)
+                    cells = mixer.cells(score, mixer.places.take(steps, mode="clip"))
+                    refining += np.bincount(2 * cells + bits, minlength=2 * CELLS)
+                    error = bits.astype(np.float32) - _squash(score)
                     total = np.bincount(gate, minlength=GATES)
                     done += total > 0
                     for k in range(INPUTS):
                         slope = np.bincount(gate, error * x[k], GATES) / (total + 8)
                         square[k] += slope**2
                         weights[k] += RATE * slope / np.sqrt(square[k] + 1e-6)
+        ones, every = refining[1::2], refining[0::2] + refining[1::2]
         at = np.arange(INPUTS * GATES + CELLS)
         value = np.concatenate(((weights * done).ravel(), ones))
         weight = np.concatenate((np.tile(done, INPUTS), every))
@@ -408,11 +526,15 @@ def trained(rows: DataFrame, code: Code, read: Reader) -> Trained:
     )
     counts = np.zeros((CHUNKS, 2 * SLOTS // CHUNKS), dtype=np.float32)
     for chunk, packed in zip(*(column.to_pylist() for column in counted.columns), strict=True):
-        counts[chunk] = np.frombuffer(zlib.decompress(packed), dtype=np.int64)
-    zeros, ones = counts.reshape(2, SLOTS)
-    shared = context.broadcast(Mixer(code, zeros, ones))
+        counts[chunk] = _unpacked(packed, np.int64, counts.shape[1])
+    del counted
+    zeros, ones = counts.reshape(SLOTS, 2).T
+    every, others = _tables(zeros, ones)
+    del counts, zeros, ones
+    learning = context.broadcast(Mixer(code, table=others))
+    del others
     sums = (
-        rows.mapInArrow(_learning(shared, read), "at bigint, value double, weight double")
+        rows.mapInArrow(_learning(learning, read), "at bigint, value double, weight double")
         .groupBy("at")
         .agg(F.sum("value").alias("value"), F.sum("weight").alias("weight"))
         .toArrow()
@@ -423,6 +545,9 @@ def trained(rows: DataFrame, code: Code, read: Reader) -> Trained:
     done = weight[:-CELLS]
     learned = np.where(done > 0, value[:-CELLS] / np.maximum(done, 1), 0.3)
     refined = (value[-CELLS:] + 4 * _CENTRES) / (weight[-CELLS:] + 4)
+    learning.destroy()
+    empty.destroy()
+    shared = context.broadcast(Mixer(code, table=every))
     return Trained(shared, learned.reshape(INPUTS, GATES), refined)
 
 
@@ -461,7 +586,7 @@ def _looked_up(frequent: Broadcast, coded: Broadcast, mixing: Trained):
     """Documents with the sums over their tokens, and their words to look up as rows."""
 
     def looked_up(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        hashes, counts, base, spelling = frequent.value
+        places, counts, base, spelling = frequent.value
         mixer = mixing.mixer()
         serial = TaskContext.get().partitionId() << 40
         names = [column.split()[0] for column in LOOKED_UP.split(", ")]
@@ -469,8 +594,7 @@ def _looked_up(frequent: Broadcast, coded: Broadcast, mixing: Trained):
             for start, words in blocks(as_bytes(batch.column(2))):
                 tokens, (symbols, contexts, owner, m) = coded.value.stream(words)
                 model = np.bincount(owner, mixer.log10(symbols, contexts), m)
-                place = np.minimum(np.searchsorted(hashes, tokens), max(len(hashes) - 1, 0))
-                hit = hashes[place] == tokens if len(hashes) else np.zeros(len(tokens), bool)
+                place, hit = places.of(tokens)
                 own, at = owner[hit], place[hit]
                 rows = serial + np.arange(m)
                 serial += m
@@ -563,7 +687,7 @@ def scored(documents: DataFrame) -> DataFrame:
     counts = top["n"].to_numpy()[order]
     frequent = context.broadcast(
         (
-            top["hash"].to_numpy().view(np.uint64)[order],
+            Places(top["hash"].to_numpy().view(np.uint64)[order]),
             counts,
             np.log10((counts + 0.1) / ground),
             top["log10"].to_numpy()[order],
