@@ -311,12 +311,11 @@ class Mixer:
         lengths, nodes, bits = code
         self.lengths = lengths.astype(np.int64)
         self.begins = np.cumsum(self.lengths) - self.lengths
-        # The steps of all symbols in a row: node, bit, and place in the code.
+        # The steps of all symbols in a row: node, bit (1 bit), and place in the code (3 bits).
         used = np.arange(nodes.shape[1]) < self.lengths[:, None]
-        self.steps = nodes[used].astype(np.int64)
-        self.nodes = (self.steps.astype(np.uint32) + np.uint32(1)) * np.uint32(0x9E3779B1)
-        self.bits = bits[used].astype(np.uint8)
-        self.places = np.minimum(np.nonzero(used)[1], 7).astype(np.uint8)
+        places = np.minimum(np.nonzero(used)[1], 7)
+        self.steps = (nodes[used] << 4 | bits[used] << 3 | places).astype(np.uint32)
+        self.fixed: np.ndarray | None = None
         self.weights = np.full((INPUTS, GATES), 0.3)
         self.refined = _CENTRES
 
@@ -329,65 +328,89 @@ class Mixer:
 
     @staticmethod
     def slots(contexts: np.ndarray, nodes: np.ndarray) -> np.ndarray:
-        return ((contexts + nodes) * np.uint32(0x85EBCA6B)) >> np.uint32(32 - SLOT_BITS)
+        hashes = nodes + np.uint32(1)
+        hashes *= np.uint32(0x9E3779B1)
+        hashes += contexts
+        hashes *= np.uint32(0x85EBCA6B)
+        hashes >>= np.uint32(32 - SLOT_BITS)
+        return hashes
 
     def portions(self, symbols: np.ndarray, contexts, size: int = SYMBOLS):
-        """(first symbol, bits of each, the bits' steps, slots by context) for so many at a time.
-
-        Without a fourth context, the first one is none, and its slots are ``None``.
-        """
+        """(first symbol, bits of each, the bits' steps, slots by context) for so many at a time."""
         lengths, begins = self.lengths.take(symbols), self.begins.take(symbols)
         for start in range(0, len(symbols), size):
             count = lengths[start : start + size]
-            ends = np.cumsum(count)
-            steps = np.repeat(begins[start : start + size] - ends + count, count)
-            steps += np.arange(len(steps))
-            nodes = self.nodes.take(steps, mode="clip")
-            slots = [
+            at = np.repeat(begins[start : start + size] - np.cumsum(count) + count, count)
+            at += np.arange(len(at))
+            steps = self.steps.take(at, mode="clip")
+            nodes = steps >> np.uint32(4)
+            slots = (
                 self.slots(np.repeat(context[start : start + size], count), nodes)
                 for context in contexts
-            ]
-            yield start, count, steps, [None] * (INPUTS - len(slots)) + slots
+            )
+            yield start, count, steps, slots
 
-    def fixed(self) -> np.ndarray:
-        """The slot of each step without a context."""
-        return self.slots(NO_CONTEXT, self.nodes)
+    def entries(self, steps: np.ndarray, slots, contexts: int, learns: bool = False):
+        """Entries of the table by context; ``learns`` if it has them by slot and bit.
 
-    def mix(self, found: list[np.ndarray]) -> tuple[np.ndarray, list[np.ndarray], np.ndarray]:
+        With one context less, the first one is none, and its entries are as few as nodes.
+        """
+        both = steps >> np.uint32(3)
+        if contexts < INPUTS:
+            if self.fixed is None:
+                nodes = np.arange(int(self.steps.max() >> 4) + 1, dtype=np.uint32)
+                own = self.slots(NO_CONTEXT, nodes).astype(np.int64).repeat(2)
+                self.fixed = self.table[2 * own + np.arange(len(own)) % 2 if learns else own]
+            yield self.fixed.take(both.astype(np.int64), mode="clip")
+        bits = both & np.uint32(1)
+        for own in slots:
+            if learns:
+                own <<= np.uint32(1)
+                own |= bits
+            yield self.table.take(own.astype(np.int64), mode="clip")
+
+    def mix(self, found) -> tuple[np.ndarray, list[np.ndarray], np.ndarray]:
         """Gates, predictions and their mix, from entries of the table by context."""
-        gate = np.zeros(len(found[0]), dtype=np.uint32)
-        x = []
+        gate, x = None, []
         for k, entry in enumerate(found):
             kinds = entry & _KIND
-            x.append((entry ^ kinds).view(np.float32) * _LARGER)
-            gate |= kinds >> np.uint32(29 - 2 * k)
+            entry ^= kinds
+            x.append(entry.view(np.float32))
+            x[k] *= _LARGER
+            kinds >>= np.uint32(29 - 2 * k)
+            gate = kinds if gate is None else np.bitwise_or(gate, kinds, out=gate)
         gate = gate.astype(np.int64)
         weights = self.weights.astype(np.float32)
-        score = weights[0].take(gate, mode="clip") * x[0]
+        score = weights[0].take(gate, mode="clip")
+        score *= x[0]
         for k in range(1, INPUTS):
-            score += weights[k].take(gate, mode="clip") * x[k]
-        return gate, x, np.clip(score, -8, 8)
+            own = weights[k].take(gate, mode="clip")
+            own *= x[k]
+            score += own
+        return gate, x, np.clip(score, -8, 8, out=score)
 
     @staticmethod
-    def cells(score: np.ndarray, places: np.ndarray) -> np.ndarray:
-        return np.rint((score + 8) * ((STEPS - 1) / 16)).astype(np.int64) * 8 + places
+    def cells(score: np.ndarray, steps: np.ndarray) -> np.ndarray:
+        """Twice the cells of the refining table: by prediction, bit, and place in the code."""
+        cells = np.rint((score + 8) * ((STEPS - 1) / 16)).astype(np.uint32)
+        cells <<= np.uint32(4)
+        cells |= steps & np.uint32(15)
+        return cells.astype(np.int64)
 
     def log10(self, symbols: np.ndarray, contexts) -> np.ndarray:
         """log10 of each symbol's probability."""
         if self.table is None:
             self.table, _ = _tables(self.zeros, self.ones)
-        table, fixed = self.table, self.table[self.fixed()]
-        out, refined = np.zeros(len(symbols)), self.refined.astype(np.float32)
+        refined = self.refined.astype(np.float32).reshape(STEPS, 1, 8).repeat(2, axis=1).ravel()
+        out = np.zeros(len(symbols))
         for start, count, steps, slots in self.portions(symbols, contexts):
-            found = [
-                fixed.take(steps, mode="clip") if own is None else table.take(own.astype(np.int64), mode="clip")
-                for own in slots
-            ]
-            _, _, score = self.mix(found)
-            cells = self.cells(score, self.places.take(steps, mode="clip"))
-            one = (_squash(score) + refined.take(cells, mode="clip")) / 2
-            right = np.where(self.bits.take(steps, mode="clip"), one, 1 - one)
-            likely = np.log10(np.clip(right, 1e-6, 1))
+            _, _, score = self.mix(self.entries(steps, slots, len(contexts)))
+            one = refined.take(self.cells(score, steps), mode="clip")
+            one += _squash(score)
+            one /= 2
+            # The probability of a zero is what the one's lacks.
+            one -= (steps >> np.uint32(3) & np.uint32(1) ^ np.uint32(1)).astype(np.float32)
+            likely = np.log10(np.clip(np.abs(one, out=one), 1e-6, 1, out=one), out=one)
             # Every symbol has a bit, so no stretch is empty.
             out[start : start + SYMBOLS] = np.add.reduceat(likely, np.cumsum(count) - count, dtype=float)
         return out
@@ -414,9 +437,12 @@ class Trained:
 
 def _added(counts: np.ndarray, places: list[np.ndarray]) -> None:
     """One more for each of ``places``; sorted ones are met in the order of memory."""
-    rows = np.sort(np.concatenate(places))
+    rows = np.concatenate(places)
+    rows.sort()
     begin = np.flatnonzero(np.append(True, rows[1:] != rows[:-1]))
-    counts[rows[begin]] += np.diff(begin, append=len(rows)).astype(np.int32)
+    times = np.append(begin[1:], len(rows)).astype(np.int32)
+    times -= begin.astype(np.int32)
+    counts[rows[begin]] += times
 
 
 def _counting(shared: Broadcast, read: Reader):
@@ -432,23 +458,22 @@ def _counting(shared: Broadcast, read: Reader):
                 if len(contexts) < INPUTS:
                     often += np.bincount(symbols, minlength=len(often))
                 for _, _, steps, slots in mixer.portions(symbols, contexts):
-                    bits = mixer.bits.take(steps, mode="clip")
+                    bits = steps >> np.uint32(3) & np.uint32(1)
                     for own in slots:
-                        if own is not None:
-                            held.append((own << np.uint32(1)) | bits)
-                            size += len(bits)
+                        own <<= np.uint32(1)
+                        own |= bits
+                        held.append(own)
+                        size += len(own)
                     if size > COUNTED:
                         _added(counts, held)
                         held, size = [], 0
         if held:
             _added(counts, held)
         # Without a context a symbol's slots are its nodes'.
-        steps, bits = mixer.steps, mixer.bits
-        of_node = np.bincount(2 * steps + bits, np.repeat(often, mixer.lengths)).astype(np.int32)
+        of_node = np.bincount(mixer.steps >> np.uint32(3), np.repeat(often, mixer.lengths))
         used = np.flatnonzero(of_node)
-        node = ((used >> 1).astype(np.uint32) + np.uint32(1)) * np.uint32(0x9E3779B1)
-        slot = mixer.slots(NO_CONTEXT, node).astype(np.int64)
-        np.add.at(counts, 2 * slot + (used & 1), of_node[used])
+        slot = mixer.slots(NO_CONTEXT, (used >> 1).astype(np.uint32)).astype(np.int64)
+        np.add.at(counts, 2 * slot + (used & 1), of_node[used].astype(np.int32))
         for chunk, part in enumerate(np.split(counts, CHUNKS)):
             columns = [pa.array([chunk], pa.int32()), pa.array([_packed(part)], pa.binary())]
             yield pa.RecordBatch.from_arrays(columns, names=["chunk", "counts"])
@@ -477,8 +502,6 @@ def _learning(shared: Broadcast, read: Reader):
         Weights take a step for each gate and portion, at a rate that falls with what it has seen.
         """
         mixer: Mixer = shared.value
-        table, bit_of = mixer.table, mixer.bits
-        fixed = table[(mixer.fixed().astype(np.int64) << 1) | bit_of]
         weights = mixer.weights = np.full((INPUTS, GATES), 0.3)
         square, done = np.zeros((INPUTS, GATES)), np.zeros(GATES)
         refining = np.zeros(2 * CELLS, dtype=np.int64)
@@ -486,24 +509,19 @@ def _learning(shared: Broadcast, read: Reader):
             for symbols, contexts, _, _ in read(batch):
                 size = SYMBOLS if done.max() > 200 else FIRST
                 for _, _, steps, slots in mixer.portions(symbols, contexts, size):
-                    bits = bit_of.take(steps, mode="clip")
-                    found = [
-                        fixed.take(steps, mode="clip")
-                        if own is None
-                        else table.take(((own << np.uint32(1)) | bits).astype(np.int64), mode="clip")
-                        for own in slots
-                    ]
+                    found = mixer.entries(steps, slots, len(contexts), learns=True)
                     gate, x, score = mixer.mix(found)
-                    cells = mixer.cells(score, mixer.places.take(steps, mode="clip"))
-                    refining += np.bincount(2 * cells + bits, minlength=2 * CELLS)
-                    error = bits.astype(np.float32) - _squash(score)
+                    refining += np.bincount(mixer.cells(score, steps), minlength=2 * CELLS)
+                    error = (steps >> np.uint32(3) & np.uint32(1)).astype(np.float32)
+                    error -= _squash(score)
                     total = np.bincount(gate, minlength=GATES)
                     done += total > 0
                     for k in range(INPUTS):
                         slope = np.bincount(gate, error * x[k], GATES) / (total + 8)
                         square[k] += slope**2
                         weights[k] += RATE * slope / np.sqrt(square[k] + 1e-6)
-        ones, every = refining[1::2], refining[0::2] + refining[1::2]
+        zeros, ones = (part.ravel() for part in refining.reshape(STEPS, 2, 8).swapaxes(0, 1))
+        every = zeros + ones
         at = np.arange(INPUTS * GATES + CELLS)
         value = np.concatenate(((weights * done).ravel(), ones))
         weight = np.concatenate((np.tile(done, INPUTS), every))

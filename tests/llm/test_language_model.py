@@ -23,7 +23,7 @@ def test_predictions_and_how_often_they_were_seen_are_read_at_once():
         zero = zeros if bit is None else np.maximum(zeros - (1 - bit), 0)
         one = ones if bit is None else np.maximum(ones - bit, 0)
         entries = every if bit is None else others[bit::2]
-        gate, x, _ = lm.Mixer(lm.code_of(np.arange(4))).mix([entries] * lm.INPUTS)
+        gate, x, _ = lm.Mixer(lm.code_of(np.arange(4))).mix([entries.copy() for _ in range(lm.INPUTS)])
         plain = np.clip(np.log((one + lm.DOUBT) / (zero + lm.DOUBT)), -8, 8)
         assert all((own == plain).all() for own in x)
         seen = zero + one
@@ -83,7 +83,7 @@ def test_slot_counts_are_those_of_every_bit(monkeypatch):
         none = np.full(len(symbols), lm.NO_CONTEXT, dtype=np.uint32)
         for k, symbol in enumerate(symbols):
             for step in range(lengths[symbol]):
-                node = np.uint32((int(nodes[symbol, step]) + 1) * 0x9E3779B1 % (1 << 32))
+                node = nodes[symbol, step : step + 1].astype(np.uint32)
                 for context in (none, *contexts):
                     plain[2 * int(lm.Mixer.slots(context[k : k + 1], node)[0]) + bits[symbol, step]] += 1
     assert (found == plain).all()
